@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .spotsigs import OP9_SQL, op9_spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_spotsigs": op9_spotsigs,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op9_spotsigs": OP9_SQL,
     "op10_mixing": OP10_SQL,
 }
