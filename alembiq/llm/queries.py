@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op5_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .simhash import op4_simhash
 from .spotsigs import OP9_SQL, op9_spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op9_spotsigs": op9_spotsigs,
     "op10_mixing": op10_mixing,
