@@ -11,8 +11,10 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .simhash import op4_simhash
 from .spotsigs import OP9_SQL, op9_spotsigs
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
