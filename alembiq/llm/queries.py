@@ -11,6 +11,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .simhash import op4_simhash
 from .spotsigs import OP9_SQL, op9_spotsigs
+from .token_output import op6_token_output
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_output": op6_token_output,
     "op9_spotsigs": op9_spotsigs,
     "op10_mixing": op10_mixing,
 }
