@@ -13,6 +13,7 @@ from .simhash import op4_simhash
 from .spotsigs import OP9_SQL, op9_spotsigs
 from .token_output import op6_token_output
 from .toxicity import op1_toxicity
+from .warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
@@ -20,12 +21,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_output": op6_token_output,
+    "op8_warc": op8_warc,
     "op9_spotsigs": op9_spotsigs,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op8_warc": OP8_SQL,
     "op9_spotsigs": OP9_SQL,
     "op10_mixing": OP10_SQL,
 }
