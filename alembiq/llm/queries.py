@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op5_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .preference import op7_preference
 from .simhash import op4_simhash
 from .spotsigs import OP9_SQL, op9_spotsigs
 from .token_output import op6_token_output
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_output": op6_token_output,
+    "op7_preference": op7_preference,
     "op8_warc": op8_warc,
     "op9_spotsigs": op9_spotsigs,
     "op10_mixing": op10_mixing,
