@@ -10,6 +10,7 @@ from .decontaminate import op5_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .preference import op7_preference
+from .quality import op3_quality
 from .simhash import op4_simhash
 from .spotsigs import OP9_SQL, op9_spotsigs
 from .token_output import op6_token_output
@@ -19,6 +20,7 @@ from .warc import OP8_SQL, op8_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_output": op6_token_output,
