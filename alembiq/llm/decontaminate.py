@@ -6,7 +6,7 @@ under all masks are joined with those of all document windows; each hit fixes an
 tokens of the benchmark item around the hit are compared with the aligned document tokens.
 
 Document tokens become an array of 64-bit hashes once; windows are exploded from it inside one
-generated stage that also holds the join, so only hits leave it. The benchmark's windows are
+generated stage that also holds the join, so only hits leave it, each with the tokens around it. The benchmark's windows are
 broadcast when their measured count is within BROADCAST_ROWS, and meet the documents' windows in a
 shuffled join otherwise.
 
@@ -35,13 +35,13 @@ BROADCAST_ROWS = 500_000
 
 
 def token_hashes(text: Column) -> Column:
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    tokens = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
 def _masked(tokens: Column, at: Column, mask: str) -> Column:
     """Hash of the tokens that the mask selects from position ``at`` (from 0) on, and of the mask."""
-    return F.xxhash64(F.lit(mask), *[F.get(tokens, at + i) for i, c in enumerate(mask) if c == "1"])
+    return F.xxhash64(F.lit(int(mask, 2)), *[F.get(tokens, at + i) for i, c in enumerate(mask) if c == "1"])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -68,15 +68,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = written(benchmark_windows(benchmark), "benchmark-windows")
     n, spans = windows.count(), [r["span"] for r in windows.select("span").distinct().collect()]
     tokens = docs.select("doc_id", token_hashes(F.col("text")).alias("t"))
-    at = tokens.where(F.size("t") > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("t") - 1)))
+    at = tokens.withColumn("i", F.explode(F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1))))
     masks = [m for m in MASKS if SPAN in spans] + ["1" * s for s in sorted(spans) if s < SPAN]
-    if not masks:
-        masks = ["1"]
-    seeds = F.array(*[F.when(F.col("i") + len(m) <= F.size("t"), _masked(F.col("t"), F.col("i"), m)) for m in masks])
+    seeds = F.array(*[F.when(F.col("i") + len(m) <= F.size("t"), _masked(F.col("t"), F.col("i"), m)) for m in masks or ["1"]])
     hashed = at.withColumn("seed", F.explode(seeds))
     probe = F.broadcast(windows) if n <= BROADCAST_ROWS else windows
-    hits = hashed.join(probe, "seed")
-    agree = sum((F.coalesce((F.get("t", F.col("i") - F.col("lead") + k) == F.get("near", F.lit(k))), F.lit(False)).cast("int") for k in range(WINDOW)), F.lit(0))
+    start = F.col("i") - F.col("lead")
+    cut = F.slice("t", F.greatest(start, F.lit(0)) + 1, F.lit(WINDOW))
+    # Written, because the comparison would make the generated code of the stage above too long to be compiled.
+    hits = written(hashed.join(probe, "seed").select("doc_id", "item_id", "near", cut.alias("cut"), F.greatest(-start, F.lit(0)).alias("missing")), "benchmark-hits")
+    agree = sum((F.coalesce(F.get("cut", F.lit(k) - F.col("missing")) == F.get("near", F.lit(k)), F.lit(False)).cast("int") for k in range(WINDOW)), F.lit(0))
     rated = hits.select("doc_id", "item_id", (agree / F.size("near")).alias("share")).where(F.col("share") >= AGREE)
     each = rated.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
     return each.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("best"))
