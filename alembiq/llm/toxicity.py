@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -111,25 +112,43 @@ _automata: dict[Lexicon, ahocorasick.Automaton] = {}
 
 def learned_words(texts: list[str | None], toxic: list[bool]) -> dict[str, float]:
     """Word beginnings of toxic documents, with the logarithm of their odds as weight."""
-    contexts: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    wanted: dict[str, set] = {}
-    for side in (True, False):  # beginnings not found in toxic documents need no count in the others
-        seen = contexts[side]
-        for text, y in zip(texts, toxic):
-            if bool(y) != side:
-                continue
-            w = fold(text).split()
-            for before, word, after in zip(["", *w], w, [*w[1:], ""]):
-                key = hash((before, after))
-                for n in range(SHORTEST, min(len(word), LONGEST) + 1):
-                    if side or word[:n] in wanted:
-                        seen[word[:n]].add(key)
-        if side:
+    folded = [fold(t) for t in texts]
+
+    def tokens(side: bool) -> Iterator[tuple[str, int]]:
+        """Each word, and the pair of its neighbours as a number."""
+        for text, y in zip(folded, toxic):
+            if bool(y) == side:
+                w = text.split()
+                for before, word, after in zip(["", *w], w, [*w[1:], ""]):
+                    if len(word) >= SHORTEST:
+                        yield word, zlib.crc32(f"{before} {after}".encode())
+
+    # A longer beginning is seen in no more contexts than a shorter one, so only those that suffice are made longer.
+    wanted: dict[str, int] = {}
+    frontier: set[str] | None = None
+    least = 0
+    for n in range(SHORTEST, LONGEST + 1):
+        seen: dict[str, set[int]] = defaultdict(set)
+        for word, key in tokens(True):
+            if len(word) >= n and (frontier is None or word[: n - 1] in frontier):
+                seen[word[:n]].add(key)
+        if frontier is None:
             share = max(0.02, min(0.5, sum(map(bool, toxic)) / max(1, len(toxic))))
-            least = max(4, math.ceil(math.log(0.01 / max(1, len(seen))) / math.log(share)))
-            wanted = {p: c for p, c in seen.items() if len(c) >= least}
-    clean = contexts[False]
-    kept = {p: len(c) for p, c in wanted.items() if len(clean.get(p, ())) <= 0.02 * len(c)}
+            least = max(4, math.ceil(math.log(0.002 / max(1, len(seen))) / math.log(share)))
+        level = {p: len(c) for p, c in seen.items() if len(c) >= least}
+        wanted |= level
+        frontier = set(level)
+    roots = {p[:SHORTEST] for p in wanted}
+    clean: dict[str, set[int]] = defaultdict(set)
+    for word, key in tokens(False):
+        if word[:SHORTEST] in roots:
+            for n in range(SHORTEST, min(len(word), LONGEST) + 1):
+                p = word[:n]
+                if p in wanted:
+                    clean[p].add(key)
+                    if len(clean[p]) > 0.02 * wanted[p]:  # no sign of toxicity: forgotten
+                        del wanted[p], clean[p]
+    kept = wanted
     out = {}
     for p, n in kept.items():
         longer = any(kept.get(q, 0) >= 0.95 * n for q in kept if len(q) == len(p) + 1 and q.startswith(p)) if len(p) < LONGEST else False
