@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import number
 from ..session import checkpointed
+from .statistics import correlation
 
 
 def impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -77,8 +78,8 @@ def scale(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -
 def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row: n, r2, rmse, mae, pearson (0 where undefined), from sums of one pass."""
     y, p = F.col(truth).cast("double"), F.col(predicted).cast("double")
-    a = df.where(y.isNotNull() & p.isNotNull()).agg(F.count("*").alias("n"), F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("v"), F.avg(F.abs(y - p)).alias("mae"), F.corr(y, p).alias("r"))
-    return a.select("n", F.when(F.col("v") > 0, 1 - F.col("sse") / (F.col("v") * F.col("n"))).otherwise(0.0).alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("pearson"))
+    a = df.where(y.isNotNull() & p.isNotNull()).agg(F.count("*").alias("n"), F.sum((y - p) * (y - p)).alias("sse"), F.var_pop(y).alias("v"), F.avg(F.abs(y - p)).alias("mae"), correlation(y, p).alias("r"))
+    return a.select("n", F.when(F.col("v") > 0, 1 - F.col("sse") / (F.col("v") * F.col("n"))).otherwise(0.0).alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), "mae", F.coalesce("r", F.lit(0.0)).alias("pearson"))
 
 
 def classification_metrics(df: DataFrame, truth: str, predicted: str, positive: int = 1) -> DataFrame:

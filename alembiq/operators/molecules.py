@@ -6,7 +6,8 @@ returns all its results at once, so several properties cost one parse. Failures
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,43 +18,50 @@ from ..chem import kernel, match
 from ..functions.scores import number
 from ..functions.similarity import popcount
 
+
+
+def _udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A pandas UDF that is made when it is called, since its type is parsed by a session."""
+    return lambda f: wraps(f)(lambda *columns: F.pandas_udf(f, kind)(*columns))
+
+
 PROPERTY_TYPE = "MolWt double, HBD int, HBA int, RotatableBonds int, RingCount int, AromaticRings int, HeavyAtomCount int, NumHeteroatoms int, FractionCSP3 double, FormalCharge int"
 
 
-@F.pandas_udf(PROPERTY_TYPE)
+@_udf(PROPERTY_TYPE)
 def properties(smiles: pd.Series) -> pd.DataFrame:
     names = [x.split()[0] for x in PROPERTY_TYPE.split(", ")]
     rows = [kernel.properties(m) if (m := kernel.read(s)) is not None else {} for s in smiles]
     return pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in names if n not in ("MolWt", "FractionCSP3")})
 
 
-@F.pandas_udf("smiles string, errors array<string>")
+@_udf("smiles string, errors array<string>")
 def validated(smiles: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernel.validate(s) for s in smiles], columns=["smiles", "errors"])
 
 
-@F.pandas_udf("smiles string, steps array<string>")
+@_udf("smiles string, steps array<string>")
 def standardized(smiles: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernel.standardize(s) for s in smiles], columns=["smiles", "steps"])
 
 
-@F.pandas_udf("string")
+@_udf("string")
 def scaffold(smiles: pd.Series) -> pd.Series:
     """The scaffold's SMILES, empty for molecules without rings."""
     return pd.Series([kernel.canonical(kernel.scaffold(m)) if (m := kernel.read(s)) is not None else None for s in smiles])
 
 
-@F.pandas_udf("array<string>")
+@_udf("array<string>")
 def fragments(smiles: pd.Series) -> pd.Series:
     return pd.Series([kernel.fragments(m) if (m := kernel.read(s)) is not None else None for s in smiles])
 
 
-@F.pandas_udf("map<string,int>")
+@_udf("map<string,int>")
 def features(smiles: pd.Series) -> pd.Series:
     return pd.Series([kernel.features(m) if (m := kernel.read(s)) is not None else None for s in smiles])
 
 
-@F.pandas_udf("cyp_alerts array<string>, herg_alerts array<string>, ames_alerts array<string>, hepatotox_alerts array<string>")
+@_udf("cyp_alerts array<string>, herg_alerts array<string>, ames_alerts array<string>, hepatotox_alerts array<string>")
 def admet_alerts(smiles: pd.Series) -> pd.DataFrame:
     names = ["cyp_alerts", "herg_alerts", "ames_alerts", "hepatotox_alerts"]
     return pd.DataFrame([kernel.admet_alerts(m) if (m := kernel.read(s)) is not None else dict.fromkeys(names, []) for s in smiles], columns=names)

@@ -65,7 +65,7 @@ def screen_similarity(library: DataFrame, references: DataFrame, threshold: floa
     if n > BROADCAST_ROWS:
         blocks = max(1, n // BROADCAST_ROWS)
         refs = refs.withColumn("block", F.pmod(F.xxhash64("r"), F.lit(blocks)))
-        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         met = rows.join(refs, "block")
     else:
         met = rows.crossJoin(F.broadcast(refs))

@@ -54,6 +54,13 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n")).select("bin", (F.lit(low) + F.col("bin") * width).alias("low"), (F.lit(low) + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's coefficient as an aggregate over rows where both are present; null where either is constant (``corr`` fails there in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with the mean rank of each row's value. Ranks come from counts of distinct values, joined back."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
@@ -66,17 +73,19 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho and n over the rows where both are present."""
     both = df.select(number(F.col(x)).alias("x"), number(F.col(y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     ranked = average_rank(average_rank(both, "x", "rx"), "y", "ry")
-    return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    return ranked.agg(correlation(F.col("rx"), F.col("ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Slope and intercept of the least-squares line."""
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    """Slope and intercept of the least-squares line; null where ``x`` is constant."""
+    a, b = (F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c).cast("double")) for c in (x, y))
+    out = df.agg((F.covar_pop(a, b) / F.nullif(F.var_pop(a), F.lit(0.0))).alias("slope"), F.avg(a).alias("_a"), F.avg(b).alias("_b"))
+    return out.select("slope", (F.col("_b") - F.col("slope") * F.col("_a")).alias("intercept"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, r for all pairs of columns, each over the rows where both are present, in one pass."""
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(number(F.col(a)), number(F.col(b))).alias("r")) for i, a in enumerate(columns) for b in columns[i:]]
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(number(F.col(a)), number(F.col(b))).alias("r")) for i, a in enumerate(columns) for b in columns[i:]]
     return df.agg(F.array(*cells).alias("rows")).select(F.inline("rows"))
 
 
