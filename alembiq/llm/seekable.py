@@ -35,7 +35,7 @@ def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 class Writer:
     """Append frames, then ``close`` with the bytes of the index."""
 
-    def __init__(self, uri: str, level: int = 3):
+    def __init__(self, uri: str, level: int = 1):
         self.fs, self.path = _open_fs(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}.part"

@@ -8,8 +8,9 @@ shard, plus what precedes it in the shard.
 
 Byte-level vocabularies are encoded piece by piece: their pre-tokenizer always begins a new token at
 a space between other characters, so the pieces between single spaces have ids of their own, and the
-library is asked once for each piece that is not remembered. Texts with two spaces in a row or a
-space at the end, and other vocabularies, are encoded as a whole.
+library is asked for those that are not remembered, many at once: of their ids, those whose token
+begins with a space begin a piece. Texts with a space between white space or at the end, and other
+vocabularies, are encoded as a whole.
 
 Defined results: null and empty texts have the end id only; rows follow doc_id, then text, null ids
 last; rows that repeat a doc_id are documents of their own; strings of special tokens in a text are
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +37,15 @@ from .common import partitions, table, work_path
 
 #: Ids a frame holds at least, unless the shard ends.
 FRAME_IDS = 1 << 18
-#: Pieces a worker remembers before it forgets all of them.
-REMEMBERED = 400_000
+#: Pieces a worker remembers before it forgets those it has not met since it last forgot some.
+REMEMBERED = 700_000
 #: Characters that go to the library at once.
 BATCH_CHARS = 1 << 20
 END_ID = 2
 _HEAD = struct.Struct("<BQ")
+_INSIDE = re.compile(r"\s \s")
+#: Characters of texts that are encoded together.
+GROUP_CHARS = 1 << 22
 
 
 def vocabulary() -> str:
@@ -63,32 +68,70 @@ class Encoder:
         pre = told.get("pre_tokenizer") or {}
         model = told.get("model") or {}
         self.by_piece = not told.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not model.get("dropout") and not any(" " in t["content"] for t in told.get("added_tokens", []))
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _library(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(",.", (x.tobytes() for x in self._library([",", "."]))))
+        #: Pieces that begin with white space; the space before them ends a word, but is not always a token's start.
+        self.blank: set[str] = set()
+        self.starts = np.array([(t or "").startswith("\u0120") for t in map(self.lib.id_to_token, range(self.lib.get_vocab_size()))])
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         out, i = [], 0
         while i < len(texts):
             j, chars = i, 0
             while j < len(texts) and (j == i or chars + len(texts[j]) <= BATCH_CHARS):
                 chars += len(texts[j])
                 j += 1
-            out += [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts[i:j], add_special_tokens=False)]
+            out += [np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(texts[i:j], add_special_tokens=False)]
             i = j
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces, each encoded as it stands after a space.
+
+        A comma or full stop after a letter or digit is a token sequence of its own, so only what
+        stands before it is asked for.
+        """
+        marked = [x for x in pieces if x[-1] in ",." and x[-2:-1].isalnum() and x[-2].isascii()]
+        if marked:
+            skip = set(marked)
+            stems = {x[:-1] for x in marked}
+            pieces = [x for x in pieces if x not in skip and x not in stems] + [x for x in stems if x not in self.known]
+        for i in range(0, len(pieces), 200):
+            part = pieces[i : i + 200]
+            ids = self._library([" " + " ".join(part)])[0]
+            at = np.nonzero(self.starts[ids])[0]
+            if len(at) != len(part) or (len(at) and at[0]):
+                self.known.update(zip(part, (x.tobytes() for x in self._library([f" {x}" for x in part]))))
+                continue
+            width = self.dtype.itemsize
+            raw, cuts = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        known, marks = self.known, self.marks
+        known.update((x, known[x[:-1]] + marks[x[-1]]) for x in marked)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end id."""
         split = [t.split(" ") if self.by_piece and "  " not in t and not t.endswith(" ") else None for t in texts]
-        first, later = self.known
-        if len(first) + len(later) > REMEMBERED:
-            first.clear()
-            later.clear()
-        new_first = list({p[0] for p in split if p} - first.keys())
-        new_later = list({x for p in split if p for x in p[1:]} - later.keys())
-        first.update(zip(new_first, self._library(new_first)))
-        later.update(zip(new_later, self._library([f" {x}" for x in new_later])))
-        whole = iter(self._library([t for t, p in zip(texts, split) if p is None]))
-        return [next(whole) if p is None else first[p[0]] + b"".join(map(later.__getitem__, p[1:])) for p in split]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        pieces: set[str] = set()
+        for p in split:
+            if p:
+                pieces.update(p)
+        pieces.discard("")
+        known, older = self.known, self.older
+        new = [x for x in pieces if x not in known]
+        if older:
+            known.update((x, older[x]) for x in new if x in older)
+            new = [x for x in new if x not in known]
+        self.blank.update(x for x in new if x[0].isspace())
+        if not self.blank.isdisjoint(pieces):
+            split = [None if p and _INSIDE.search(t) else p for t, p in zip(texts, split)]
+        self._learn(new)
+        firsts = iter(self._library([p[0] if p else t for t, p in zip(texts, split)]))
+        get = known.__getitem__
+        return [next(firsts).tobytes() + (b"".join(map(get, p[1:])) if p else b"") for p in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -170,23 +213,23 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
     """Write ``docs`` as shards into ``folder``. Returns a manifest, one entry a shard in order: path, n_docs, n_tokens, start."""
     path = path or vocabulary()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = encoder(path), None
         part = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{part:06d}.zst"
         end = np.array([end_id], enc.dtype).tobytes()
         try:
             for b in batches:
-                ids, texts = b["doc_id"].tolist(), b["text"].tolist()
+                ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
                 i = 0
                 while i < len(texts):
                     j, chars = i, 0
-                    while j < len(texts) and (j == i or chars + len(texts[j]) <= BATCH_CHARS):
+                    while j < len(texts) and (j == i or chars + len(texts[j]) <= GROUP_CHARS):
                         chars += len(texts[j])
                         j += 1
                     out = out or ShardWriter(uri, enc.dtype)
                     for d, x in zip(ids[i:j], enc.encode(texts[i:j])):
-                        out.add(None if pd.isna(d) else int(d), x + end)
+                        out.add(d, x + end)
                     i = j
         except BaseException:
             if out:
@@ -194,12 +237,12 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
             raise
         if out:
             n, tokens = out.close()
-            yield pd.DataFrame({"part": [part], "path": [uri], "n_docs": [n], "n_tokens": [tokens]})
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([n], pa.int64()), pa.array([tokens], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
     dealt = rows.repartitionByRange(shards or partitions(docs.sparkSession), order[0]).sortWithinPartitions(*order)
-    found = dealt.mapInPandas(write, "part int, path string, n_docs long, n_tokens long").collect()  # one row a shard
+    found = dealt.mapInArrow(write, "part int, path string, n_docs long, n_tokens long").collect()  # one row a shard
     manifest, start = [], 0
     for r in sorted(found, key=lambda r: r["part"]):
         manifest.append({"path": r["path"], "n_docs": r["n_docs"], "n_tokens": r["n_tokens"], "start": start})
@@ -210,19 +253,16 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
 def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, start in zip(b["path"], b["start"]):
-                rows = []
-                for d, at, ids in ShardReader(uri):
-                    rows.append((d, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
-                        rows = []
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+            for uri, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
+                rows = [(d, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in ShardReader(uri)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
     files = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
-    return files.repartition(max(1, len(manifest))).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, len(manifest))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
