@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +38,13 @@ from .common import partitions, table, work_path
 #: Ids a frame holds at least, unless the shard ends.
 FRAME_IDS = 1 << 18
 #: Pieces a worker remembers before it forgets those it has not met since it last forgot some.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Characters that go to the library at once.
 BATCH_CHARS = 1 << 20
 END_ID = 2
 _HEAD = struct.Struct("<BQ")
-_INSIDE = re.compile(r"\s \s")
-#: Characters of texts that are encoded together.
-GROUP_CHARS = 1 << 22
+#: Bytes of texts that are encoded together.
+GROUP_BYTES = 1 << 24
 
 
 def vocabulary() -> str:
@@ -71,8 +70,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks = dict(zip(",.", (x.tobytes() for x in self._library([",", "."]))))
-        #: Pieces that begin with white space; the space before them ends a word, but is not always a token's start.
-        self.blank: set[str] = set()
         self.starts = np.array([(t or "").startswith("\u0120") for t in map(self.lib.id_to_token, range(self.lib.get_vocab_size()))])
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -86,17 +83,17 @@ class Encoder:
             i = j
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Remember pieces, each encoded as it stands after a space.
 
         A comma or full stop after a letter or digit is a token sequence of its own, so only what
         stands before it is asked for.
         """
+        known, marks = self.known, self.marks
         marked = [x for x in pieces if x[-1] in ",." and x[-2:-1].isalnum() and x[-2].isascii()]
-        if marked:
-            skip = set(marked)
-            stems = {x[:-1] for x in marked}
-            pieces = [x for x in pieces if x not in skip and x not in stems] + [x for x in stems if x not in self.known]
+        asked = pieces.difference(marked)
+        asked.update([x[:-1] for x in marked])
+        pieces = list(asked.difference(known))
         for i in range(0, len(pieces), 200):
             part = pieces[i : i + 200]
             ids = self._library([" " + " ".join(part)])[0]
@@ -107,31 +104,66 @@ class Encoder:
             width = self.dtype.itemsize
             raw, cuts = ids.tobytes(), [*(at * width).tolist(), len(ids) * width]
             self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        known, marks = self.known, self.marks
-        known.update((x, known[x[:-1]] + marks[x[-1]]) for x in marked)
+        known.update([(x, known[x[:-1]] + marks[x[-1]]) for x in marked])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, without an end id."""
-        split = [t.split(" ") if self.by_piece and "  " not in t and not t.endswith(" ") else None for t in texts]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each as it stands after a space."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        pieces: set[str] = set()
-        for p in split:
-            if p:
-                pieces.update(p)
-        pieces.discard("")
         known, older = self.known, self.older
-        new = [x for x in pieces if x not in known]
+        new = set(pieces).difference(known)
         if older:
-            known.update((x, older[x]) for x in new if x in older)
-            new = [x for x in new if x not in known]
-        self.blank.update(x for x in new if x[0].isspace())
-        if not self.blank.isdisjoint(pieces):
-            split = [None if p and _INSIDE.search(t) else p for t, p in zip(texts, split)]
+            kept = [x for x in new if x in older]
+            known.update(zip(kept, map(older.__getitem__, kept)))
+            new.difference_update(kept)
         self._learn(new)
-        firsts = iter(self._library([p[0] if p else t for t, p in zip(texts, split)]))
-        get = known.__getitem__
-        return [next(firsts).tobytes() + (b"".join(map(get, p[1:])) if p else b"") for p in split]
+        return list(map(known.__getitem__, pieces))
+
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> list[bytes]:
+        """Ids of each text, with an end id if one is given.
+
+        Texts are split and their pieces numbered by Arrow; Python sees each distinct piece once, and
+        the ids of all texts are gathered by numpy.
+        """
+        end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        n = len(texts)
+        whole = np.ones(n, bool)
+        out: list[bytes] = [b""] * n
+        if self.by_piece:
+            whole = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False).astype(bool)
+        for _ in range(2):
+            plain = np.nonzero(~whole)[0]
+            if not len(plain):
+                break
+            lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+            offsets = offsets - offsets[0]
+            numbered = flat.dictionary_encode()
+            pieces, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().copy()
+            blank = [i for i, x in enumerate(pieces) if x[:1].isspace()]
+            if blank:  # a space before other white space need not begin a token: such texts go to the library
+                hit = np.unique(np.searchsorted(offsets, np.nonzero(np.isin(at, blank))[0], side="right") - 1)
+                whole[plain[hit]] = True
+                continue
+            heads = self._library(pc.list_element(lists, 0).to_pylist())
+            at[offsets[:-1]] = len(pieces) + np.arange(len(plain))
+            later = self._pieces([x or "x" for x in pieces])  # an empty piece can only be a text's first
+            parts = later + [h.tobytes() for h in heads]
+            size = np.fromiter(map(len, parts), np.int32, len(parts)) // self.dtype.itemsize
+            start = np.concatenate(([0], np.cumsum(size)))[:-1]
+            pool = np.frombuffer(b"".join(parts), self.dtype)
+            each = size[at]
+            ends = np.cumsum(each)
+            ids = pool[np.repeat((start[at] - (ends - each)).astype(np.int32), each) + np.arange(ends[-1], dtype=np.int32)]
+            raw, cuts = ids.tobytes(), np.concatenate(([0], ends))[offsets] * self.dtype.itemsize
+            for k, a, b in zip(plain.tolist(), cuts.tolist(), cuts[1:].tolist()):
+                out[k] = raw[a:b] + end
+            break
+        rest = np.nonzero(whole)[0].tolist()
+        for k, ids in zip(rest, self._library([texts[k].as_py() for k in rest])):
+            out[k] = ids.tobytes() + end
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -147,7 +179,7 @@ class ShardWriter:
     """Documents' ids into one shard, in the order given."""
 
     def __init__(self, uri: str, dtype: np.dtype):
-        self.out, self.dtype = seekable.Writer(uri), dtype
+        self.out, self.dtype = seekable.Writer(uri, level=1), dtype
         self.held: list[bytes] = []
         self.n_held = 0
         self.index: list[tuple[int, bool, int, int]] = []
@@ -217,20 +249,15 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
         enc, out = encoder(path), None
         part = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{part:06d}.zst"
-        end = np.array([end_id], enc.dtype).tobytes()
         try:
             for b in batches:
-                ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                i = 0
-                while i < len(texts):
-                    j, chars = i, 0
-                    while j < len(texts) and (j == i or chars + len(texts[j]) <= GROUP_CHARS):
-                        chars += len(texts[j])
-                        j += 1
+                texts = b.column("text")
+                group = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // GROUP_BYTES
+                cuts = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1).tolist(), b.num_rows]
+                for i, j in zip(cuts, cuts[1:]):
                     out = out or ShardWriter(uri, enc.dtype)
-                    for d, x in zip(ids[i:j], enc.encode(texts[i:j])):
-                        out.add(d, x + end)
-                    i = j
+                    for d, ids in zip(b.column("doc_id")[i:j].to_pylist(), enc.encode(texts[i:j], end_id)):
+                        out.add(d, ids)
         except BaseException:
             if out:
                 out.out.abandon()
