@@ -65,6 +65,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def range_cuts(df: DataFrame, column: str, parts: int, error: float) -> list[float]:
+    """At most ``parts`` - 1 distinct values that cut the column into about equal ranges; none for empty and all-null columns."""
+    at = [i / parts for i in range(1, parts)]
+    return sorted(set(df.where(F.col(column).isNotNull()).approxQuantile(column, at, error))) if at else []
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, partitions, remove, strip_spaces, table, work_path, written
+from .common import lower_ascii, partitions, range_cuts, remove, strip_spaces, table, work_path, written
 
 KEY = ("h1", "h2")
 
@@ -104,7 +104,8 @@ class LineRuns:
         """Add a batch (doc_id, h1, h2; distinct in a document). Returns the hashes no run had before, with their keeper."""
         batch = lines.groupBy(*KEY).agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n_docs"))
         if not self.runs():
-            rows = batch.withColumn("first", F.lit(True))
+            fresh = written(batch.withColumn("first", F.lit(True)), "line-fresh")
+            rows = fresh
         else:
             batch = written(batch, "line-batch")
             fresh, again = batch, None
@@ -117,9 +118,8 @@ class LineRuns:
             again = again.select(*KEY, F.lit(None).cast(batch.schema["keeper"].dataType).alias("keeper"), "n_docs", F.lit(False).alias("first"))
             rows = fresh.unionByName(again)
         name = self._write(self._dealt(rows))
-        new = self.spark.table(name).where("first").drop("first", "n_docs")
         self._push(name, 0)
-        return new
+        return fresh.drop("first", "n_docs")
 
     def totals(self) -> DataFrame:
         """h1, h2, keeper, n_docs over all runs, which are compacted into one."""
@@ -141,7 +141,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     Descending batches make a key's first holder its keeper, so a key's keeper never changes.
     """
     spark = docs.sparkSession
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    cuts = range_cuts(docs, "doc_id", batches, 0.01)
     at = sum((F.coalesce(F.col("doc_id") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     lines = written(line_hashes(docs, min_chars).withColumn("batch", at), "line-hashes")
     runs = LineRuns(spark)

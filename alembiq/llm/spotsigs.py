@@ -17,10 +17,12 @@ repeated rows and equal texts have equal fingerprints; an empty table gives an e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, partitions, table, written
+from .common import SPACES, partitions, range_cuts, table, written
 
 #: Common words of four languages (fixed values).
 ANCHORS = (
@@ -102,9 +104,9 @@ def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
     often = spots.groupBy("sig").agg(F.count("*").alias("df"))
     ranked = spots.join(often, "sig").groupBy("fingerprint", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("order"))
     rare = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
-    keys = ranked.select("fingerprint", "n", F.explode(rare)["sig"].alias("sig"))
+    keys = ranked.select("fingerprint", "n", F.explode(rare).alias("r")).select("fingerprint", "n", F.col("r.sig").alias("sig"))
     # Lengths are dealt into partitions whose bounds grow by 1/threshold, so partners lie in the same or the next one.
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9) if threshold < 1 else F.col("n").cast("long")
     keys = written(keys.withColumn("part", part), "spot-keys")
     near = keys.select(F.col("fingerprint").alias("other"), F.col("n").alias("m"), "sig", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
     fits = (F.col("fingerprint") < F.col("other")) & (F.least("n", "m") >= F.ceil(F.greatest("n", "m") * threshold))
@@ -122,7 +124,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts or partitions(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)))
+    cuts = range_cuts(docs, "doc_id", parts, 0.25 / parts)
     part = sum((F.coalesce(F.col("doc_id") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     firsts = rows.select("doc_id").groupBy(part.alias("part")).agg(F.max("doc_id").alias("first")).collect()  # one row a range
     order = [(r["part"], r["first"]) for r in sorted(firsts, key=lambda r: -r["part"])]
