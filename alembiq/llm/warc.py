@@ -9,7 +9,8 @@ record is read by decompressing one frame.
 Payloads are compared by SHA-1 and length. Holders of a payload are found by an aggregation, and
 meet their pages in a join in which payloads held by more than one in HOT of all pages are broadcast
 (there are at most HOT of them), so a payload that fills a third of the table is dealt out. Pages
-are then dealt out by page_id once, with their payloads, and each task writes the bundle of its part.
+and what is known of their payloads' holders are then dealt out by page_id together, so payloads are
+shuffled once, and each task writes the bundle of its part.
 
 Defined results: null and empty payloads are payloads of 0 bytes, equal to each other; of rows that
 repeat a page_id and payload the first is the response if that page_id holds it, and the others
@@ -156,29 +157,29 @@ def write_bundles(pages: DataFrame, folder: str, bundles: int | None = None, lea
 
     Payloads of fewer than ``least_bytes`` bytes are responses always.
     """
-    holders = with_holders(pages)
-    holders = holders.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "holder", F.lit(True).alias("shared"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    joined = rows.join(holders, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
-    joined = joined.select("page_id", "url", "payload", "digest", "holder", F.coalesce("shared", F.lit(False)).alias("shared"))
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.select("page_id", F.sha1("payload").alias("digest"), F.lit(True).alias("is_page"), F.lit(None).cast("long").alias("holder"), "url", "payload")
+    told = with_holders(pages).select("page_id", "digest", F.lit(False).alias("is_page"), "holder", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by page_id and digest; what is told of the holder of a payload comes before its pages."""
         uri = f"{folder}/bundle-{TaskContext.get().partitionId():06d}.warc.zst"
-        out, last, turn, held = None, None, 0, set()
+        out, at, turn, known, held = None, None, 0, {}, set()
         try:
             for b in batches:
-                for row in zip(*(b.column(c) for c in ("page_id", "url", "payload", "shared", "holder"))):
-                    page, url, payload, shared, holder = (x.as_py() for x in row)
-                    if out is None:
-                        out = BundleWriter(uri)
-                    turn = turn + 1 if last == (page,) else 0
-                    held = held if last == (page,) else set()
-                    last = (page,)
-                    digest = base32_sha1(payload)
-                    revisit = shared and len(payload) >= least_bytes and (holder != page or digest in held)
-                    held.add(digest)
-                    out.add(Record(page_urn(page, turn), "revisit" if revisit else "response", url or page_urn(page), digest, len(payload), payload, page_urn(holder) if revisit else None))
+                for row in zip(*(b.column(c) for c in ("page_id", "digest", "is_page", "holder", "url", "payload"))):
+                    page, key, is_page, holder, url, payload = (x.as_py() for x in row)
+                    if at != (page,):
+                        at, turn, known, held = (page,), 0, {}, set()
+                    if not is_page:
+                        known[key] = holder
+                        continue
+                    out = out or BundleWriter(uri)
+                    revisit = key in known and len(payload) >= least_bytes and (known[key] != page or key in held)
+                    held.add(key)
+                    out.add(Record(page_urn(page, turn), "revisit" if revisit else "response", url or page_urn(page), base32_sha1(payload), len(payload), payload, page_urn(known[key]) if revisit else None))
+                    turn += 1
         except BaseException:
             if out:
                 out.out.abandon()
@@ -186,7 +187,7 @@ def write_bundles(pages: DataFrame, folder: str, bundles: int | None = None, lea
         if out:
             yield pa.RecordBatch.from_pydict({"path": [uri], "n": [out.close()]})
 
-    dealt = joined.repartition(bundles or partitions(pages.sparkSession), "page_id").sortWithinPartitions("page_id", "digest")
+    dealt = rows.unionByName(told).repartition(bundles or partitions(pages.sparkSession), "page_id").sortWithinPartitions("page_id", "digest", "is_page")
     return [r.asDict() for r in dealt.mapInArrow(write, "path string, n long").collect()]  # one row a bundle
 
 
