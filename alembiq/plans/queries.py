@@ -590,3 +590,107 @@ def cluster_diversity(spark, d):
 
     rows = VectorAssembler(inputCols=_DIMS, outputCol="features").transform(points(spark, d))
     return M.cluster_pick(rows, 8, id_="vec_id")
+
+
+# --- molecules -------------------------------------------------------------------------------
+
+#: Well-known drugs and building blocks (fixed values), since the tables hold no molecules.
+MOLECULES = (
+    ("aspirin", "CC(=O)Oc1ccccc1C(=O)O"), ("caffeine", "Cn1cnc2c1c(=O)n(C)c(=O)n2C"), ("ibuprofen", "CC(C)Cc1ccc(cc1)C(C)C(=O)O"), ("metformin", "CN(C)C(=N)NC(=N)N"),
+    ("naproxen", "COc1ccc2cc(ccc2c1)C(C)C(=O)O"), ("diclofenac", "O=C(O)Cc1ccccc1Nc1c(Cl)cccc1Cl"), ("celecoxib", "Cc1ccc(cc1)-c1cc(nn1-c1ccc(cc1)S(N)(=O)=O)C(F)(F)F"),
+    ("atorvastatin", "CC(C)c1c(C(=O)Nc2ccccc2)c(-c2ccccc2)c(-c2ccc(F)cc2)n1CCC(O)CC(O)CC(=O)O"), ("nicotine", "CN1CCCC1c1cccnc1"), ("sodium propionate", "[Na+].[O-]C(=O)CC"), ("nitrobenzene", "O=[N+]([O-])c1ccccc1"), ("broken", "C1CC("),
+)
+
+
+def molecules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MOLECULES), "name string, smiles string")
+
+
+@query(
+    "SELECT * FROM (VALUES ('aspirin', 180.2::DOUBLE, 1, 13), ('caffeine', 194.2, 2, 14), ('ibuprofen', 206.3, 1, 15), ('metformin', 129.2, 0, 9), ('naproxen', 230.3, 2, 17), ('diclofenac', 296.1, 2, 19), ('celecoxib', 381.4, 3, 26), "
+    "('atorvastatin', 558.7, 4, 41), ('nicotine', 162.2, 2, 12), ('sodium propionate', 96.1, 0, 6), ('nitrobenzene', 123.1, 1, 9), ('broken', NULL, NULL, NULL)) t(name, \"MolWt\", \"RingCount\", \"HeavyAtomCount\")"
+)
+def molecule_properties(spark, d):
+    from ..operators import molecules as X
+
+    return X.with_properties(molecules(spark)).select("name", F.round("MolWt", 1).alias("MolWt"), "RingCount", "HeavyAtomCount")
+
+
+@query("SELECT * FROM (VALUES ('aspirin'), ('ibuprofen'), ('naproxen'), ('diclofenac'), ('atorvastatin')) t(name)")
+def substructure_screen(spark, d):
+    from ..operators import molecules as X
+
+    return X.screen_substructure(molecules(spark), "C(=O)[O;H1]").select("name")
+
+
+@query("SELECT name, CASE WHEN name = 'broken' THEN 'failed' ELSE 'validated' END AS status FROM (VALUES ('aspirin'), ('caffeine'), ('ibuprofen'), ('metformin'), ('naproxen'), ('diclofenac'), ('celecoxib'), ('atorvastatin'), ('nicotine'), ('sodium propionate'), ('nitrobenzene'), ('broken')) t(name)")
+def molecule_validation(spark, d):
+    from ..operators import molecules as X
+
+    return X.validate(molecules(spark)).select("name", "status")
+
+
+@query()
+def molecule_profile(spark, d):
+    from . import workflows as W
+
+    return W.score(W.profile(molecules(spark))).select("name", "smiles", "lipinski_pass", "admet_class", "admet_score", "composite_score")
+
+
+@query()
+def molecule_similarity(spark, d):
+    from ..operators import molecules as X
+
+    fps = X.with_fingerprint(molecules(spark)).where("fp IS NOT NULL")
+    return P.similarity_pairs(fps, 0.1, id_="name", words=32)
+
+
+@query()
+def generate_mutants(spark, d):
+    from ..operators import molecules as X
+
+    return X.mutants(molecules(spark), 30)
+
+
+@query()
+def generate_decorated(spark, d):
+    from ..operators import molecules as X
+
+    return X.decorated(molecules(spark), 30)
+
+
+@query()
+def generate_recombined(spark, d):
+    from ..operators import molecules as X
+
+    return X.recombined(molecules(spark), 30)
+
+
+@query()
+def fragment_counts(spark, d):
+    from ..operators import molecules as X
+
+    return T.fragment_library(X.fragment_table(molecules(spark)), "fragments")
+
+
+@query()
+def hit_to_lead(spark, d):
+    from . import workflows as W
+
+    return W.hit_to_lead(molecules(spark), 10, 10).select("smiles", "rank", "composite_score")
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def streaming_window_counts(spark, d):
+    """Daily counts by event type, from the table read as a stream of files."""
+    from ..session import shared_folder
+    from ..streaming import scoring
+    import uuid
+
+    like = read(spark, d, "events")
+    stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if not d.startswith("/") else f"{d}/events.parque[t]")
+    name = f"events_{uuid.uuid4().hex}"
+    counted = stream.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    out = counted.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "mean")
+    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/alembiq/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
