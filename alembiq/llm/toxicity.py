@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,13 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, score, n_hits."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [lexicon.strength(t) for t in b["text"]]
-            x = np.array([f[0] for f in found], float)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": sigmoid(lexicon.slope * x + lexicon.intercept), "n_hits": [f[1] for f in found]})
+            found = [lexicon.strength(t.as_py()) for t in b.column("text")]
+            score = sigmoid(lexicon.slope * np.array([f[0] for f in found], float) + lexicon.intercept)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array([f[1] for f in found], pa.int64())], ["doc_id", "score", "n_hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc_id long, score double, n_hits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, score double, n_hits long")
 
 
 def clean_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:

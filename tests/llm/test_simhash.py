@@ -56,7 +56,7 @@ def found(df):
 
 
 def test_matches_all_pairs(spark):
-    rows = [(1000 - 7 * i, t) for i, t in enumerate(texts())] + [(None, "One"), (3, "One"), (3, "One")]
+    rows = [(1000 - 7 * i, t) for i, t in enumerate(texts())] + [(None, "One"), (3, "One"), (3, "One"), (2**60 + 1, "far away id")]
     assert found(S.near_duplicates(frame(spark, rows))) == brute(rows)
 
 
