@@ -38,7 +38,7 @@ from .common import partitions, table, work_path
 #: Ids a frame holds at least, unless the shard ends.
 FRAME_IDS = 1 << 18
 #: Pieces a worker remembers before it forgets those it has not met since it last forgot some.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Characters that go to the library at once.
 BATCH_CHARS = 1 << 20
 END_ID = 2
