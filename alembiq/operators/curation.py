@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.scores import confidence, number, pic50, to_nanomolar
+from .running import order_statistic
 
 
 def filter_relation(df: DataFrame, allowed: Sequence[str] = K.EXACT_RELATIONS, relation: str = "standard_relation") -> DataFrame:
@@ -48,9 +49,8 @@ def deduplicate(df: DataFrame, key: str, value: str = "standard_value", how: str
 def outlier_bounds(df: DataFrame, value: str, multiplier: float = K.IQR_MULTIPLIER) -> DataFrame:
     """One row: low and high of the log10 fence; null with fewer than four positive values.
 
-    Quartiles are the values at positions n/4 and 3n/4 (whole divisions) in order. They are found from
-    counts of distinct values, whose running totals are one window over the distinct values' ranges,
-    so no task collects the column.
+    Quartiles are the values at positions n/4 and 3n/4 (whole divisions) in order, found by repeated
+    histograms, so no task collects the column.
     """
     logs = df.select(F.log10(F.when(number(F.col(value)) > 0, number(F.col(value)))).alias("x")).where("x IS NOT NULL")
     n, q1, q3 = logs.agg(F.count("*").alias("n"), F.min("x"), F.max("x")).first()
@@ -61,35 +61,6 @@ def outlier_bounds(df: DataFrame, value: str, multiplier: float = K.IQR_MULTIPLI
     return df.sparkSession.createDataFrame([(q1 - spread, q3 + spread)], "low double, high double")
 
 
-def order_statistic(df: DataFrame, column: str, k: int, low: float, high: float, bins: int = 4096, small: int = 10_000) -> float:
-    """The value at position ``k`` (from 0) in order, by repeated histograms of the interval that holds it."""
-    while True:
-        inside = df.where(F.col(column).between(low, high))
-        if low == high:
-            return low
-        width = (high - low) / bins
-        cut = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
-        rows = inside.groupBy(cut.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()  # at most ``bins`` rows
-        for r in sorted(rows, key=lambda r: r["b"]):
-            if k < r["n"]:
-                if r["n"] <= small:
-                    held = sorted(x[0] for x in inside.where(F.col(column).between(r["lo"], r["hi"])).select(column).collect())
-                    return held[k]
-                if len(rows) == 1 and (r["lo"], r["hi"]) == (low, high):
-                    return inside.groupBy(column).count().orderBy(column).first()[0] if width == 0 else _by_value(inside, column, k)
-                low, high = r["lo"], r["hi"]
-                break
-            k -= r["n"]
-
-
-def _by_value(df: DataFrame, column: str, k: int) -> float:
-    for r in df.groupBy(column).count().orderBy(column).toLocalIterator():
-        if k < r["count"]:
-            return r[0]
-        k -= r["count"]
-    raise IndexError(k)
-
-
 def remove_outliers(df: DataFrame, value: str = "standard_value", multiplier: float = K.IQR_MULTIPLIER) -> DataFrame:
     """Rows whose log10 value lies inside the fence; values that are not positive numbers are dropped. Fewer than four values: all rows."""
     low, high = outlier_bounds(df, value, multiplier).first()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import number
 from ..session import checkpointed
+from .running import running_sum
 from .statistics import correlation
 
 
@@ -59,8 +60,8 @@ def group_split(df: DataFrame, group: str, test: float = 0.2, seed: int = 42) ->
     """``df`` with is_test: whole groups, in a hashed order, until the share is reached; the last group may exceed it. Null groups count as one."""
     g = F.coalesce(F.col(group).cast("string"), F.lit(""))
     sizes = df.groupBy(g.alias("_g")).agg(F.count("*").alias("_n"))
-    order = Window.orderBy(F.md5(F.concat(F.col("_g"), F.lit(f":{seed}"))), "_g").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.select("_g", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))  # one row a group
+    order = [F.md5(F.concat(F.col("_g"), F.lit(f":{seed}"))), F.col("_g")]
+    placed = running_sum(sizes, order, "_n", "_upto").select("_g", (F.col("_upto") - F.col("_n")).alias("_before"))
     n = df.agg((F.floor(F.count("*") * test)).alias("_limit"))
     tested = placed.crossJoin(F.broadcast(n)).select("_g", (F.col("_before") < F.col("_limit")).alias("is_test"))
     return df.withColumn("_g", g).join(tested, "_g").drop("_g")
@@ -173,10 +174,14 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, id_: str,
 
 
 def shuffled_labels(df: DataFrame, label: str, id_: str, seed: int) -> DataFrame:
-    """``df`` with the labels dealt out anew: the labels sorted by one hash meet the rows sorted by another."""
-    rows = lambda s, c: df.select(*c, F.row_number().over(Window.orderBy(id_hash(F.col(id_), s), id_)).alias("_i"))
-    labels = rows(seed + 1000, [F.col(label).alias("_new")])
-    return rows(seed, [F.col(c) for c in df.columns]).join(labels, "_i").drop(label, "_i").withColumnRenamed("_new", label)
+    """``df`` with the labels dealt out anew: the labels sorted by one hash meet the rows sorted by another. Ids must be distinct."""
+
+    def numbered(columns: list[Column], by: int) -> DataFrame:
+        rows = df.select(*columns, F.col(id_).alias("_id"), F.lit(1).alias("_one")).withColumn("_h", id_hash(F.col("_id"), by))
+        return running_sum(rows, [F.col("_h"), F.col("_id")], "_one", "_i").drop("_id", "_one", "_h")
+
+    labels = numbered([F.col(label).alias("_new")], seed + 1000)
+    return numbered([F.col(c) for c in df.columns], seed).join(labels, "_i").drop(label, "_i").withColumnRenamed("_new", label)
 
 
 def y_randomization(df: DataFrame, features: Sequence[str], label: str, id_: str, kind: str = "random_forest", n: int = 10, **params) -> dict:

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.scores import number
+from . import running
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], sample: bool = False) -> DataFrame:
-    """property, count, mean, std (of the population, or the sample), min, max, median: one row a column, in one pass over the table."""
+    """property, count, mean, std (of the population, or the sample), min, max, median: one row a column, in one pass over the table (and passes for the medians of large ones)."""
     std = F.stddev_samp if sample else F.stddev_pop
+    small = df.count() <= running.SMALL
     rows = []
     for c in columns:
         v = number(F.col(c))
-        rows.append(F.struct(F.lit(c).alias("property"), F.count(v).alias("count"), F.avg(v).alias("mean"), std(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median")))
+        middle = F.median(v) if small else F.lit(running.quantiles(df, c, [0.5])[0])
+        rows.append(F.struct(F.lit(c).alias("property"), F.count(v).alias("count"), F.avg(v).alias("mean"), std(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), middle.alias("median")))
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
@@ -30,7 +33,11 @@ def pass_rates(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 def quartiles(df: DataFrame, column: str) -> DataFrame:
     """n, mean, std (sample), min, q1, median, q3, iqr, max; quartiles are interpolated."""
     v = number(F.col(column))
-    out = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(v).alias("max"))
+    if df.count() <= running.SMALL:
+        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    else:
+        q = F.array(*[F.lit(x).cast("double") for x in running.quantiles(df, column, [0.25, 0.5, 0.75])])
+    out = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
     return out.select("n", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "max")
 
 
@@ -64,8 +71,8 @@ def correlation(x: Column, y: Column) -> Column:
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with the mean rank of each row's value. Ranks come from counts of distinct values, joined back."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_v"))  # over distinct values
-    ranks = counts.select("_v", (upto - (F.col("_n") - 1) / 2).alias(out))
+    upto = running.running_sum(counts, [F.col("_v")], "_n", "_upto")
+    ranks = upto.select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 

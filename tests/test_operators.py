@@ -9,6 +9,7 @@ from alembiq.functions import similarity as S
 from alembiq.operators import curation as C
 from alembiq.operators import modelling as M
 from alembiq.operators import pairs as P
+from alembiq.operators import running as Rn
 from alembiq.operators import screening as R
 from alembiq.operators import statistics as T
 
@@ -70,7 +71,7 @@ def test_order_statistic_narrows(spark):
     df = spark.range(3000).select((F.col("id") * F.col("id") % 1009).cast("double").alias("x"))
     values = sorted(float(i * i % 1009) for i in range(3000))
     for k in (0, 750, 1500, 2999):
-        assert C.order_statistic(df, "x", k, values[0], values[-1], bins=8, small=5) == values[k]
+        assert Rn.order_statistic(df, "x", k, values[0], values[-1], bins=8, small=5) == values[k]
 
 
 def test_labels(spark):
@@ -311,3 +312,13 @@ def test_y_randomization(spark):
     df = spark.range(120).select("id", (F.col("id") % 11).cast("double").alias("a")).withColumn("y", 3 * F.col("a"))
     r = M.y_randomization(df, ["a"], "y", "id", "linear", n=3)
     assert r["valid"] and r["original"] > 0.99
+
+
+def test_large_tables_give_the_same_numbers(spark, monkeypatch):
+    df = spark.range(997).select((F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * F.col("id") % 89).cast("double").alias("y"), F.concat(F.lit("g"), (F.col("id") % 50).cast("string")).alias("g"))
+    small = (one(T.spearman(df, "x", "y")), one(T.quartiles(df, "y")), [r.asDict() for r in T.numeric_summary(df, ["x", "y"]).collect()], sorted(map(tuple, M.group_split(df, "g").select("g", "is_test").distinct().collect())))
+    monkeypatch.setattr(Rn, "SMALL", 10)
+    large = (one(T.spearman(df, "x", "y")), one(T.quartiles(df, "y")), [r.asDict() for r in T.numeric_summary(df, ["x", "y"]).collect()], sorted(map(tuple, M.group_split(df, "g").select("g", "is_test").distinct().collect())))
+    assert large[0]["rho"] == pytest.approx(small[0]["rho"]) and large[1] == pytest.approx(small[1]) and large[3] == small[3]
+    for a, b in zip(large[2], small[2]):
+        assert {k: v for k, v in a.items() if k != "property"} == pytest.approx({k: v for k, v in b.items() if k != "property"})
