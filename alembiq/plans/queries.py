@@ -694,3 +694,19 @@ def streaming_window_counts(spark, d):
     out = counted.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "mean")
     out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/alembiq/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE - min(embedding[1]::DOUBLE) OVER (PARTITION BY label), 9) AS strain FROM embeddings")
+def strain_energy(spark, d):
+    from ..operators import conformers as Y
+
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("mol"), F.get("embedding", F.lit(0)).cast("double").alias("energy"))
+    return Y.with_strain(rows).select("vec_id", F.round("strain", 9).alias("strain"))
+
+
+@query("SELECT label AS mol, arg_min(vec_id, {'e': embedding[1]::DOUBLE, 'v': vec_id}) AS best_conformer_id, min(embedding[1]::DOUBLE) AS lowest_energy, count(*) AS n_conformers FROM embeddings GROUP BY label")
+def lowest_conformer(spark, d):
+    from ..operators import conformers as Y
+
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("conf"), F.col("label").alias("mol"), F.get("embedding", F.lit(0)).cast("double").alias("energy"))
+    return Y.lowest(rows)
