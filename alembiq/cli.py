@@ -219,6 +219,103 @@ def _protein(s, df, a):
     return files.prepare_protein(s, a.input)
 
 
+DESCRIPTORS = {"MolWt": "MolWt", "NumHDonors": "HBD", "NumHAcceptors": "HBA", "NumRotatableBonds": "RotatableBonds", "RingCount": "RingCount", "NumAromaticRings": "AromaticRings", "FractionCSP3": "FractionCSP3", "HeavyAtomCount": "HeavyAtomCount", "NumHeteroatoms": "NumHeteroatoms"}
+
+
+@command("analyze descriptors", opt("--names", nargs="+", default=sorted(DESCRIPTORS)))
+def _descriptors(s, df, a):
+    return M.with_properties(df).select(*df.columns, *[F.col(DESCRIPTORS[n]).cast("double").alias(n) for n in a.names if n in DESCRIPTORS])
+
+
+@command("data fetch-bioactivity", opt("--max-results", type=int, default=10_000))
+def _pages(s, df, a):
+    return files.activities(s, a.input).limit(a.max_results)
+
+
+@command("data fetch", opt("--max-results", type=int, default=100))
+def _compounds(s, df, a):
+    return files.compounds(s, a.input).limit(a.max_results)
+
+
+@command("benchmark run", N, SEED, opt("--strategies", nargs="+", default=["brics", "mutate", "scaffold"]))
+def _benchmark(s, df, a):
+    return W.benchmark({x: (lambda seeds, n, x=x: W.analogs(seeds, n, x, a.seed)) for x in a.strategies}, df, a.n)
+
+
+@command("benchmark compare", opt("--rank-by", default="uniqueness"), opt("--lower", action="store_true"))
+def _ranked(s, df, a):
+    return statistics.rank_strategies(s.read.csv(a.input, header=True, inferSchema=True), a.rank_by, not a.lower)
+
+
+@command("generate active-pick", opt("--model-path", required=True), opt("--strategy", default="ucb"), opt("--batch-size", type=int, default=20), opt("--kappa", type=float, default=1.0))
+def _pick(s, df, a):
+    d = M.with_fingerprint(M.with_properties(_numbered(df)))
+    if a.strategy == "diversity":
+        return modelling.maxmin_pick(d, a.batch_size, "source_index")
+    spread = modelling.PropertyModel.load(s, a.model_path).tree_spread(d, "source_index")
+    rated = d.join(spread, "source_index")
+    if a.strategy == "balanced":
+        return modelling.acquire_balanced(rated, a.batch_size, "fp", id_="source_index")
+    return modelling.acquire(rated, a.strategy, a.batch_size, kappa=a.kappa, id_="source_index")
+
+
+@command("model info")
+def _info_model(s, df, a):
+    m = modelling.PropertyModel.load(s, a.input)
+    top = sorted((m.importances() or {}).items(), key=lambda x: -x[1])[:10]
+    return s.createDataFrame([(m.kind, m.task, len(m.features), json.dumps(dict(top)))], "kind string, task string, n_features int, top_features string")
+
+
+@command("pipeline run", opt("--config", required=True))
+def _run(s, df, a):
+    return W.screen_and_score(df, config=W.Config.from_yaml(a.config))
+
+
+@command("pipeline init-config")
+def _init(s, df, a):
+    W.Config().to_yaml(a.input)
+    return s.createDataFrame([(a.input,)], "written string")
+
+
+@command("viz scatter", opt("--x", required=True), opt("--y", required=True))
+def _scatter(s, df, a):
+    return df.select(a.x, a.y)
+
+
+@command("viz chemical-space", opt("--properties", nargs="+", default=["MolWt", "HBD", "HBA", "RotatableBonds", "RingCount"]))
+def _space(s, df, a):
+    from pyspark.ml.feature import VectorAssembler
+
+    d = M.with_properties(df).na.drop(subset=a.properties)
+    return modelling.project(VectorAssembler(inputCols=a.properties, outputCol="features").transform(d)).drop("features")
+
+
+@command("dock run", opt("--protein", required=True))
+def _dock(s, df, a):
+    return W.dock(df, a.protein)
+
+
+@command("dock interactions", opt("--protein", required=True))
+def _interactions(s, df, a):
+    """Contacts of atoms given as two PDB files."""
+    bare = lambda d: d.select("x", "y", "z", "element", F.lit(0).alias("mol"), F.lit(0).alias("hydrogens"), F.lit(0).alias("charge"), F.lit(None).cast("int").alias("ring"), F.lit(0).alias("ring_position"), F.lit(False).alias("aromatic"))
+    return pairs.plif(pairs.contacts(bare(files.load_pdb(s, a.input)), bare(files.prepare_protein(s, a.protein))))
+
+
+@command("workflow research-report", opt("--training-data", required=True))
+def _research(s, df, a):
+    return s.createDataFrame([(json.dumps(W.research_report(df, files.load(s, a.training_data)), default=str),)], "report string")
+
+
+@command("workflow docking-report")
+def _docking(s, df, a):
+    return s.createDataFrame([(json.dumps(W.docking_report(s.read.csv(a.input, header=True, inferSchema=True)), default=str),)], "report string")
+
+
+#: Commands whose input is no molecule file.
+OWN_INPUT = ("data fetch", "data fetch-bioactivity", "data fetch-and-curate", "benchmark compare", "model info", "pipeline init-config", "dock prepare-protein", "dock run", "dock interactions", "workflow optimize", "workflow docking-report")
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="alembiq", description=__doc__)
     parser.add_argument("--version", action="version", version=__version__)
@@ -237,8 +334,7 @@ def main(args: list[str] | None = None) -> int:
     a = parser.parse_args(args)
     spark = session()
     f, _ = COMMANDS[f"{a.group} {a.action}"]
-    own = a.group in ("dock",) or a.action in ("fetch-and-curate", "optimize")
-    df = None if own else files.load(spark, a.input, getattr(a, "format", "auto"))
+    df = None if f"{a.group} {a.action}" in OWN_INPUT else files.load(spark, a.input, getattr(a, "format", "auto"))
     out = f(spark, df, a)
     if a.output:
         files.save(out, a.output)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_made: list[tuple[SparkSession, str]] = []
 
 
 def session(app: str = "alembiq", **conf: str) -> SparkSession:
@@ -31,5 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/alembiq/{name}-{uuid.uuid4().hex}"
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def clean_up() -> None:
+    """Remove the tables ``checkpointed`` wrote; call it when no DataFrame that reads them is needed any more. Runs when the driver ends."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone; the shared folder's owner cleans up then
+            return

@@ -93,6 +93,25 @@ def test_cli(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["similarity"] == 1.0
 
 
+def test_more_commands(spark, tmp_path, capsys):
+    p = tmp_path / "m.csv"
+    p.write_text("smiles,activity\n" + "".join(f"{s},{5 + i % 4}\n" for i, s in enumerate([x for x in SMILES if x and x != "bad("] * 6)))
+    uri, model = f"file://{p}", f"file://{tmp_path}/model"
+    assert cli.main(["model", "train", uri, "--model-path", model]) == 0
+    assert cli.main(["model", "info", model]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["n_features"] == 8
+    assert cli.main(["model", "evaluate", uri, "--model-path", model]) == 0
+    assert cli.main(["generate", "active-pick", uri, "--model-path", model, "--batch-size", "3"]) == 0
+    assert len([x for x in capsys.readouterr().out.splitlines() if "acquisition" in x]) == 3
+    assert cli.main(["analyze", "descriptors", uri, f"file://{tmp_path}/d.csv", "--names", "MolWt", "nothing"]) == 0
+    assert "nothing" not in spark.read.csv(f"file://{tmp_path}/d.csv", header=True).columns
+    assert cli.main(["pipeline", "init-config", str(tmp_path / "c.yaml")]) == 0
+    assert cli.main(["pipeline", "run", uri, f"file://{tmp_path}/r.csv", "--config", str(tmp_path / "c.yaml")]) == 0
+    assert cli.main(["viz", "chemical-space", uri, f"file://{tmp_path}/v.csv"]) == 0
+    with pytest.raises(W.BackendUnavailable):
+        cli.main(["dock", "run", "x.sdf", "--protein", "p.pdb"])
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 3.0), ("2024-01-01 05:00:00", "b", 2.0)], "t string, k string, value double").withColumn("t", F.to_timestamp("t"))
     df.write.parquet(f"file://{tmp_path}/in")
