@@ -46,8 +46,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _remove_all() -> None:
-    for spark, path in _written:
+def clean_up() -> None:
+    """Remove all intermediate tables and files; call it when no DataFrame that reads them is needed any more. Runs when the driver ends."""
+    while _written:
+        spark, path = _written.pop()
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; the shared folder's owner cleans up then
