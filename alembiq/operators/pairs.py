@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -82,6 +82,27 @@ def diversity(pairs: DataFrame, similarity: str = "similarity") -> DataFrame:
     return out.withColumn("diversity", 1 - F.coalesce("mean", F.lit(0.0)))
 
 
+def all_pairs_diversity(df: DataFrame, id_: str = "id", fp: str = "fp", words: int | None = None) -> DataFrame:
+    """The statistics of ``diversity`` over all pairs, none left out for its similarity.
+
+    Equal fingerprints are one class. Classes are crossed, and pairs counted by common bits and sizes
+    inside each task, so only the counts leave it; all statistics are exact sums over those counts.
+    """
+    rows = _counted(df, id_, fp, ("a", "fa", "na"), words).groupBy("fa", "na").agg(F.min("a").alias("a"), F.count("*").alias("ma"))
+    other = rows.select(F.col("a").alias("b"), F.col("fa").alias("fb"), F.col("na").alias("nb"), F.col("ma").alias("mb"))
+    common = S.common_bits(F.col("fa"), F.col("fb"), words)
+    cross = rows.crossJoin(other).where("a < b").select(common.alias("c"), F.least("na", "nb").alias("lo"), F.greatest("na", "nb").alias("hi"), (F.col("ma") * F.col("mb")).alias("w"))
+    same = rows.where("ma > 1").select(F.col("na").alias("c"), F.col("na").alias("lo"), F.col("na").alias("hi"), F.expr("ma * (ma - 1) div 2").alias("w"))
+    sizes = cross.groupBy("c", "lo", "hi").agg(F.sum("w").alias("w")).unionByName(same.groupBy("c", "lo", "hi").agg(F.sum("w").alias("w")))
+    bins = sizes.select(S.tanimoto(F.col("c"), F.col("lo"), F.col("hi")).alias("s"), "w").groupBy("s").agg(F.sum("w").alias("w"))
+    upto = bins.withColumn("upto", F.sum("w").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy()))
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("s")))
+    mean = F.sum(F.col("s") * F.col("w")) / F.sum("w")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("s") * F.col("s") * F.col("w")) / F.sum("w") - mean * mean))
+    out = upto.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n_pairs"), mean.alias("mean"), ((at(F.floor((F.col("all") + 1) / 2)) + at(F.floor(F.col("all") / 2) + 1)) / 2).alias("median"), F.min("s").alias("min"), F.max("s").alias("max"), std.alias("std"))
+    return out.withColumn("diversity", 1 - F.coalesce("mean", F.lit(0.0)))
+
+
 def within_distance(left: DataFrame, right: DataFrame, cutoff: float, keep: Column | None = None) -> DataFrame:
     """Pairs of points (columns x, y, z) no farther apart than ``cutoff``, with their distance; columns are prefixed l_ and r_.
 

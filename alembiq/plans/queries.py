@@ -318,6 +318,15 @@ def pairwise_diversity(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("mean", "std", "diversity")})
 
 
+@query(
+    f"WITH {_FP_SQL}, s AS (SELECT a.n AS na, b.n AS nb, {_COMMON.format(a='a', b='b')} AS c FROM f a JOIN f b ON a.id < b.id), t AS (SELECT c / (na + nb - c) AS s FROM s) "
+    "SELECT count(*) AS n_pairs, round(avg(s), 9) AS mean, median(s) AS median, min(s) AS min, max(s) AS max, round(stddev_pop(s), 9) AS std, round(1 - avg(s), 9) AS diversity FROM t"
+)
+def pairwise_diversity_all(spark, d):
+    out = P.all_pairs_diversity(fingerprints(spark, d), words=1)
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "std", "diversity")})
+
+
 _ATOMS_SQL = "t AS (SELECT vec_id AS atom, label AS mol, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y, embedding[3]::DOUBLE * 20 AS z, CASE vec_id % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'N' WHEN 2 THEN 'O' ELSE 'S' END AS element, vec_id % 2 AS hydrogens, vec_id % 3 - 1 AS charge FROM embeddings), l AS (SELECT * FROM t WHERE mol < 5), r AS (SELECT * FROM t WHERE mol >= 5)"
 
 

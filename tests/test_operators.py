@@ -322,3 +322,14 @@ def test_large_tables_give_the_same_numbers(spark, monkeypatch):
     assert large[0]["rho"] == pytest.approx(small[0]["rho"]) and large[1] == pytest.approx(small[1]) and large[3] == small[3]
     for a, b in zip(large[2], small[2]):
         assert {k: v for k, v in a.items() if k != "property"} == pytest.approx({k: v for k, v in b.items() if k != "property"})
+
+
+def test_diversity_counts_all_pairs(spark):
+    fps = [0b1111, 0b1111, 0b1111, 0b11, 0b110000, 0b1110]
+    df = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "id long, fp array<long>")
+    s = [(a & b).bit_count() / (a | b).bit_count() for i, a in enumerate(fps) for b in fps[:i]]
+    got = P.all_pairs_diversity(df, words=1).first()
+    assert got["n_pairs"] == 15 and got["min"] == 0 and got["max"] == 1
+    assert abs(got["mean"] - sum(s) / 15) < 1e-12 and got["median"] == sorted(s)[7] and abs(got["diversity"] - 1 + sum(s) / 15) < 1e-12
+    assert abs(got["std"] - (sum(x * x for x in s) / 15 - (sum(s) / 15) ** 2) ** 0.5) < 1e-12
+    assert P.all_pairs_diversity(df.limit(0), words=1).first()["diversity"] == 1
