@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from alembiq.llm import decontaminate as D
@@ -58,3 +59,31 @@ def test_empty_tables(spark):
     assert D.contaminated(some, bench(spark, [])).count() == 0
     assert D.contaminated(documents(spark, []), bench(spark, [(1, "a b")])).count() == 0
     assert D.decontaminated(some, bench(spark, [])).count() == 1
+
+
+def test_masks_seed_every_accepted_window():
+    for n in range(D.SPAN, D.WINDOW + 1):
+        for k in range(n + 1):
+            if (n - k) / n < D.AGREE:
+                break
+            for bad in itertools.combinations(range(n), k):
+                agree = "".join("0" if i in bad else "1" for i in range(n))
+                assert any(all(a == "1" for a, m in zip(agree[s:], mask) if m == "1") for mask in D.MASKS for s in range(n - len(mask) + 1)), (n, bad)
+
+
+def test_finds_all_that_brute_force_finds(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(f"k{i}x{j}" for j in range(n))) for i, n in enumerate([11, 12, 14, 15, 15, 16, 17, 20, 24, 30, 59])]
+    docs, want = [], set()
+    for i in range(400):
+        item, text = items[i % len(items)]
+        w = text.split()
+        every = i % 5 == 0
+        for j in range(4, len(w), 5) if every else r.sample(range(len(w)), max(2, round(len(w) * r.choice([0.15, 0.2, 0.25, 0.3])))):
+            w[j] = "other"
+        n = min(16, len(w))
+        if any(sum(x != "other" for x in w[s : s + n]) / n >= 0.8 for s in range(len(w) - n + 1)):
+            want.add(i)
+        docs.append((i, " ".join(["a", "b"] * (i % 3) + w + ["c"] * (i % 2)), "s"))
+    assert 100 < len(want) < 380
+    assert {x["doc_id"] for x in D.contaminated(documents(spark, docs), bench(spark, items)).collect()} == want
