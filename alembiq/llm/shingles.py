@@ -1,0 +1,156 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: an exact join by rare shingles.
+
+Sets of similarity t share at least t / (1 + t) of their summed sizes. Put in any one order, two such
+sets share a shingle among the first n - ceil(t * n) + 1 of each, so texts meet by these shingles only
+and no pair is missed. The order puts shingles that a sample shows to be common last, so that the ones
+compared are rare; the sample decides the cost alone, never the result.
+
+Equal texts are one class before any pairing. A first round compares the classes that share a shingle
+with the smallest of them only, so a group of near copies becomes one component without its pairs; the
+second round pairs classes of different components. A pair is verified on whole sets, if the shingles
+it shares and the parities of its sets leave the similarity possible: each shingle flips one of 1,024
+bits, so sets differ in at least as many shingles as their bits differ.
+
+Defined results: shingles are of lower-cased ASCII words, a text of fewer words is one shingle; null,
+empty and blank texts are copies of one another; a null doc_id ranks after all others; an empty table
+gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+from .simhash import _shingle_hashes, components
+
+SHINGLE = 5
+#: The least similarity of a link, as a fraction.
+SIMILARITY = (4, 5)
+#: Texts sampled for the order, how many of them must share a shingle to make it common, and common shingles at most.
+SAMPLE, SHARED, COMMON = 4000, 3, 100_000
+#: 64-bit words of parities.
+PARITIES = 16
+
+
+def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes, sorted; 0 alone where there are no words."""
+    found = np.unique(_shingle_hashes(text, k))
+    return found if len(found) else np.zeros(1, np.uint64)
+
+
+def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(t * n) + 1 of a set, common shingles last (``common`` is ordered, the most common first)."""
+    num, den = SIMILARITY
+    n = len(found)
+    most = n - -(-num * n // den) + 1
+    if not len(common):
+        return found[:most]
+    by = np.argsort(common, kind="stable")
+    at = np.minimum(np.searchsorted(common[by], found), len(common) - 1)
+    rank = np.where(common[by][at] == found, len(common) - by[at], 0)
+    return found[np.argsort(rank, kind="stable")[:most]]
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((found & np.uint64(64 * PARITIES - 1)).astype(np.intp), minlength=64 * PARITIES) & 1).view(np.int64)
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _sets(texts: DataFrame, k: int, common: np.ndarray | None) -> DataFrame:
+    """key, n (size of the set), its parities, and p: its prefix, or the whole set where ``common`` is None."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                sets = [shingle_set(t.as_py(), k) for t in part.column("text")]
+                p = [(s if common is None else prefix(s, common)).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array(p, pa.list_(pa.int64()))], ["key", "n", "parities", "p"])
+
+    return texts.select("key", F.col("text").cast("string").alias("text")).mapInArrow(of, "key long, n long, parities array<long>, p array<long>")
+
+
+def _common(texts: DataFrame, k: int) -> np.ndarray:
+    n = texts.count()
+    share = max(1, n // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).dropDuplicates(["key"])
+    counts = _sets(some, k, None).select(F.explode("p").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    return np.array([r["h"] for r in counts.orderBy(F.col("n").desc(), "h").limit(COMMON).collect()], np.int64).view(np.uint64)
+
+
+def _possible(na: Column, nb: Column, shared: Column) -> Column:
+    """Whether sets of these sizes whose prefixes share so many can be similar: all later shingles of either may be shared, not more."""
+    num, den = SIMILARITY
+    rest = F.greatest(*[F.floor((n * num + den - 1) / den) - 1 for n in (na, nb)])
+    return (num + den) * (shared + rest) >= num * (na + nb)
+
+
+def _near(na: Column, nb: Column) -> Column:
+    return SIMILARITY[1] * F.least(na, nb) >= SIMILARITY[0] * F.greatest(na, nb)
+
+
+def _both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with the column of either side, as x and y."""
+    left, right = (of.select(F.col("key").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b, with sizes na, nb) whose whole sets are similar."""
+    num, den = SIMILARITY
+    differ = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(PARITIES)), F.lit(0))
+    close = (num + den) * differ <= (den - num) * (F.col("na") + F.col("nb"))
+    pairs = written(_both(pairs, first, "parities").where(close).select("a", "b", "na", "nb"), "shingle-pairs")
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    whole = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = written(_sets(whole, k, None).select("key", "p"), "shingle-sets")
+    met = _both(pairs, sets, "p").withColumn("both", F.size(F.array_intersect("x", "y")))
+    similar = den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))
+    return written(met.where(similar).select("a", "b"), "shingle-links")
+
+
+def links(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """a, b: links enough to connect all texts (columns key, text) that similar pairs connect."""
+    first = written(_sets(texts, k, _common(texts, k)).dropDuplicates(["key"]), "shingle-prefixes")
+    rows = first.select("key", "n", F.explode("p").alias("h"))
+    shared = rows.groupBy("h").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    met = written(rows.join(shared.select("h", "least"), "h"), "shingle-buckets")
+    stars = met.where((F.col("key") != F.col("least.key")) & _near(F.col("n"), F.col("least.n")))
+    stars = stars.groupBy(F.col("least.key").alias("a"), F.col("key").alias("b")).agg(F.first("least.n").alias("na"), F.first("n").alias("nb"), F.count("*").alias("c"))
+    found = _verified(stars.where(_possible(F.col("na"), F.col("nb"), F.col("c"))).select("a", "b", "na", "nb"), texts, first, k)
+    roots = components(found)
+    rooted = written(met.select("h", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", F.coalesce("root", "key").alias("root")), "shingle-rooted")
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    rooted = written(rooted.join(mixed, "h"), "shingle-mixed")
+    left, right = (rooted.select("h", F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}")) for s in "ab")
+    other = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near(F.col("na"), F.col("nb")))
+    other = other.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+    return found.unionByName(_verified(other.where(_possible(F.col("na"), F.col("nb"), F.col("c"))).select("a", "b", "na", "nb"), texts, first, k))
+
+
+def deduplicated(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """One document of each component of similar texts, the one of smallest doc_id, with the columns of ``docs``.
+
+    Rows without a doc_id are kept. Rows that repeat a kept doc_id with the same text are reduced to one.
+    """
+    texts = docs.select(_key(F.col("text")).alias("key"), "text")
+    rows = docs.select(F.col("doc_id").alias("_copy"), _key(F.col("text")).alias("_key"))
+    classes = written(rows.groupBy("_key").agg(F.min("_copy").alias("first")), "shingle-classes")
+    roots = components(links(texts, k))
+    of = written(classes.join(roots, F.col("_key") == F.col("node"), "left").select("_key", "first", F.coalesce("root", "_key").alias("root")), "shingle-roots")
+    named = of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("_key", "component_id")
+    dropped = written(rows.join(named, "_key").where("_copy <> component_id").select("_copy", "_key").distinct(), "shingle-dropped")
+    kept = docs.join(dropped, (docs["doc_id"] == dropped["_copy"]) & (_key(docs["text"]) == dropped["_key"]), "left_anti")
+    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_copy")), "shingle-repeated")
+    if repeated.isEmpty():
+        return kept
+    again = docs["doc_id"] == repeated["_copy"]
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from alembiq.llm.common import table, work_path, written
 from alembiq.llm.decontaminate import decontaminated
 from alembiq.llm.mixing import mixed_documents
-from alembiq.llm.simhash import deduplicated
+from alembiq.llm.shingles import deduplicated
 from alembiq.llm.token_output import read_shards, write_shards
 from alembiq.llm.toxicity import clean_documents, fit
 
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), the one of smallest doc_id."""
     return deduplicated(docs)
 
 
@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL can express neither a learned lexicon, nor SimHash components, nor a tokenizer; tests/llm compares the stages with brute force.
+#: SQL can express neither a learned lexicon, nor components of near copies, nor a tokenizer; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

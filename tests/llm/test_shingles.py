@@ -1,0 +1,72 @@
+"""Near copies on five-word shingles against brute force over all pairs."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline as P
+from alembiq.llm import shingles as S
+
+from .helpers import documents
+
+
+def similar(a, b):
+    u, v = S.shingle_set(a), S.shingle_set(b)
+    both = len(np.intersect1d(u, v))
+    return 5 * both >= 4 * (len(u) + len(v) - both)
+
+
+def kept(rows):
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(rows[i][1], rows[j][1]):
+                root[find(i)] = find(j)
+    least = {find(i): min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
+    return sorted(rows[i][0] for i in range(len(rows)) if rows[i][0] == least[find(i)])
+
+
+def test_stage_drops_near_copies(spark):
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(3000)}"
+    line = " ".join(word() for _ in range(12))
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(r.randint(20, 200))] + (line.split() if i % 3 == 0 else [])
+        rows.append((len(rows), " ".join(w), "s"))
+        for _ in range(i % 4):
+            w = list(w)
+            for _ in range(r.randint(1, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = "other"
+            rows.append((len(rows), " ".join(w), "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (902, " \n", "s"), (903, "one two", "s"), (904, "ONE  two", "s"), (905, "one", "s")]
+    want = kept(rows)
+    assert 60 < len(want) < len(rows) - 30
+    got = P.near_dedup(spark, documents(spark, rows), "")
+    assert sorted(x["doc_id"] for x in got.collect()) == want
+
+
+def test_common_shingles_come_last_and_no_pair_is_lost():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(r.integers(1, 120))
+        a = np.unique(r.integers(0, 1000, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > 0.1], r.integers(1000, 2000, 3).astype(np.uint64)]))
+        common = r.permutation(1000)[:300].astype(np.uint64)
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(S.prefix(a, common), S.prefix(b, common)))
+        assert np.bitwise_count((S.parities(a) ^ S.parities(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * both
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    got = S.deduplicated(documents(spark, [(3, a, "s"), (5, a, "s"), (5, b, "s"), (5, b, "s"), (None, b, "s")]))
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted([(3, a), (5, b), (None, b)], key=str)
+    assert S.deduplicated(documents(spark, [])).count() == 0
