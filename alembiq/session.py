@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,30 +22,53 @@ def session(app: str = "alembiq", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may lack it (tests), and gets a folder of its own."""
     global _own
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = at.get() if at.isDefined() else None
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _own = _own or f"file://{tempfile.mkdtemp(prefix='alembiq-')}"
         found = _own
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/alembiq/{name}-{uuid.uuid4().hex}"
-    _made.append((df.sparkSession, path))
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path for one intermediate table or set of files; removed when the driver ends."""
+    path = f"{shared_folder(spark)}/alembiq/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def checkpointed(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, and survives lost executors.
+
+    ``instead`` is a result of this function that only ``df`` still needed; its files are removed.
+    """
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        remove(df.sparkSession, instead._written_to)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 @atexit.register
 def clean_up() -> None:
-    """Remove the tables ``checkpointed`` wrote; call it when no DataFrame that reads them is needed any more. Runs when the driver ends."""
+    """Remove all intermediate tables and files; call it when no DataFrame that reads them is needed any more. Runs when the driver ends."""
     while _made:
         spark, path = _made.pop()
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; the shared folder's owner cleans up then
             return
