@@ -214,12 +214,18 @@ def _correlation(s, df, a):
     return statistics.correlations(df, a.properties)
 
 
+@command("viz structures", opt("--smiles", default="smiles"))
+def _structures(s, df, a):
+    """An SVG drawing of each molecule, in column svg."""
+    return df.withColumn("svg", M.drawing(F.col(a.smiles)))
+
+
 @command("dock prepare-protein")
 def _protein(s, df, a):
     return files.prepare_protein(s, a.input)
 
 
-DESCRIPTORS = {"MolWt": "MolWt", "NumHDonors": "HBD", "NumHAcceptors": "HBA", "NumRotatableBonds": "RotatableBonds", "RingCount": "RingCount", "NumAromaticRings": "AromaticRings", "FractionCSP3": "FractionCSP3", "HeavyAtomCount": "HeavyAtomCount", "NumHeteroatoms": "NumHeteroatoms"}
+DESCRIPTORS = {"MolWt": "MolWt", "NumHDonors": "HBD", "NumHAcceptors": "HBA", "NumRotatableBonds": "RotatableBonds", "RingCount": "RingCount", "NumAromaticRings": "AromaticRings", "FractionCSP3": "FractionCSP3", "MolLogP": "LogP", "TPSA": "TPSA", "MolMR": "MolMR", "qed": "QED", "HeavyAtomCount": "HeavyAtomCount", "NumHeteroatoms": "NumHeteroatoms"}
 
 
 @command("analyze descriptors", opt("--names", nargs="+", default=sorted(DESCRIPTORS)))

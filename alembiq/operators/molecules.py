@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..chem import kernel, match
+from ..chem import brics, kernel, layout, match
 from ..functions.scores import number
 from ..functions.similarity import popcount
 
@@ -25,14 +25,14 @@ def _udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     return lambda f: wraps(f)(lambda *columns: F.pandas_udf(f, kind)(*columns))
 
 
-PROPERTY_TYPE = "MolWt double, HBD int, HBA int, RotatableBonds int, RingCount int, AromaticRings int, HeavyAtomCount int, NumHeteroatoms int, FractionCSP3 double, FormalCharge int"
+PROPERTY_TYPE = "MolWt double, LogP double, TPSA double, MolMR double, QED double, HBD int, HBA int, RotatableBonds int, RingCount int, AromaticRings int, HeavyAtomCount int, NumHeteroatoms int, FractionCSP3 double, FormalCharge int"
 
 
 @_udf(PROPERTY_TYPE)
 def properties(smiles: pd.Series) -> pd.DataFrame:
     names = [x.split()[0] for x in PROPERTY_TYPE.split(", ")]
     rows = [kernel.properties(m) if (m := kernel.read(s)) is not None else {} for s in smiles]
-    return pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in names if n not in ("MolWt", "FractionCSP3")})
+    return pd.DataFrame(rows, columns=names).astype({n: "Int32" for n, kind in (x.split() for x in PROPERTY_TYPE.split(", ")) if kind == "int"})
 
 
 @_udf("smiles string, errors array<string>")
@@ -53,7 +53,20 @@ def scaffold(smiles: pd.Series) -> pd.Series:
 
 @_udf("array<string>")
 def fragments(smiles: pd.Series) -> pd.Series:
-    return pd.Series([kernel.fragments(m) if (m := kernel.read(s)) is not None else None for s in smiles])
+    """Retrosynthetic fragments, cut ends marked by labelled dummy atoms."""
+    return pd.Series([brics.fragments(m) if (m := kernel.read(s)) is not None else None for s in smiles])
+
+
+@_udf("string")
+def molblock(smiles: pd.Series) -> pd.Series:
+    """Connection tables with flat coordinates, without their end line; null for unreadable molecules."""
+    return pd.Series([layout.molblock(m, "molecule").removesuffix("M  END") if (m := kernel.read(s)) is not None else None for s in smiles])
+
+
+@_udf("string")
+def drawing(smiles: pd.Series) -> pd.Series:
+    """SVG drawings; null for unreadable molecules."""
+    return pd.Series([layout.svg(m) if (m := kernel.read(s)) is not None else None for s in smiles])
 
 
 @_udf("map<string,int>")

@@ -202,10 +202,19 @@ def save(df: DataFrame, path: str, format: str = "auto") -> None:
 
 
 def sdf_text(df: DataFrame) -> DataFrame:
-    """Rows with molblock (or atoms and bonds) as SD records in column value; other columns become tags. Rows without structure are left out."""
+    """Rows as SD records in column value; other columns become tags.
+
+    A row without a molblock gets one with flat coordinates from its SMILES; rows whose SMILES cannot
+    be read, too, have no structure and are left out.
+    """
+    from ..operators.molecules import molblock
+
+    held = F.col("molblock") if "molblock" in df.columns else F.lit(None).cast("string")
+    made = molblock(F.when(held.isNull(), F.col("smiles"))) if "smiles" in df.columns else F.lit(None).cast("string")
     rest = [c for c, kind in df.dtypes if c not in ("molblock", "atoms", "bonds", "tags", "source_index", "status") and not kind.startswith(("array", "map", "struct"))]
     tag = F.concat_ws("", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"> <{c}>\n"), F.col(c).cast("string"), F.lit("\n\n"))) for c in rest])
-    return df.where("molblock IS NOT NULL").select(F.concat(F.rtrim("molblock"), F.lit("\nM  END\n"), tag, F.lit("$$$$")).alias("value"))
+    rows = df.select(F.coalesce(held, made).alias("block"), tag.alias("tag"))
+    return rows.where("block IS NOT NULL").select(F.concat(F.rtrim("block"), F.lit("M  END\n"), "tag", F.lit("$$$$")).alias("value"))
 
 
 def save_sdf(df: DataFrame, path: str) -> None:

@@ -32,6 +32,14 @@ def test_smi(spark, tmp_path):
 SDF = "ethanol\n  x\n\n  3  2  0  0\n    0.0000    0.0000    0.0000 C   0  0\n    1.5000    0.0000    0.0000 C   0  0\n    2.0000    1.0000    0.0000 O   0  0\n  1  2  1  0\n  2  3  1  0\nM  END\n> <activity>\n5.5\n\n> <name>\nfirst\nsecond\n\n$$$$\n"
 
 
+def test_sdf_from_smiles(spark, tmp_path):
+    df = spark.createDataFrame([("a", "CC(=O)Oc1ccccc1C(=O)O", 1.5), ("b", "bad(", 2.0), ("c", "[Na+].[O-]C", None)], "name string, smiles string, score double")
+    S.save(df, f"file://{tmp_path}/s.sdf")
+    rows = {r["tags"]["name"]: r for r in S.load(spark, f"file://{tmp_path}/s.sdf", format="sdf").collect()}
+    assert set(rows) == {"a", "c"} and len(rows["a"]["atoms"]) == 13 and len(rows["a"]["bonds"]) == 13 and rows["a"]["tags"]["score"] == "1.5"
+    assert "M  CHG  2   1   1   2  -1" in rows["c"]["molblock"]
+
+
 def test_sdf(spark, tmp_path):
     (tmp_path / "m.sdf").write_text(SDF + SDF.replace("ethanol", "two") + "broken\n\n\nxx\n$$$$\n")
     with gzip.open(tmp_path / "z.sdf.gz", "wt") as f:
