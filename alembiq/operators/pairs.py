@@ -10,32 +10,59 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import similarity as S
 from ..functions.geometry import distance, point
+from ..session import checkpointed
 
 #: References broadcast at most; beyond it pairs meet through bands of set-bit counts.
 BROADCAST_ROWS = 20_000
+#: Classes of a block of a band of set-bit counts, about.
+BLOCK_ROWS = 4096
 
 
 def _counted(df: DataFrame, id_: str, fp: str, names: Sequence[str], words: int | None) -> DataFrame:
     return df.where(F.col(fp).isNotNull()).select(F.col(id_).alias(names[0]), F.col(fp).alias(names[1]), S.popcount(F.col(fp), words).alias(names[2]))
 
 
-def similarity_pairs(df: DataFrame, threshold: float, id_: str = "id", fp: str = "fp", words: int | None = None) -> DataFrame:
-    """a < b and their Tanimoto similarity, for all pairs of at least ``threshold`` (> 0).
+def similarity_classes(df: DataFrame, threshold: float, id_: str = "id", fp: str = "fp", words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity) of classes whose Tanimoto similarity is at least ``threshold`` (> 0), and members (class, id).
 
-    Exact and pruned: similarity t needs t*na <= nb <= na/t set bits, so counts are dealt into bands
-    that grow by 1/t, and each row meets only its own and the next band; and equal fingerprints are
-    compared once, as classes. Bands are joined in blocks dealt by a hash of each side.
+    Equal fingerprints are one class, named by its smallest id; copies are never expanded. Exact and
+    pruned: similarity t needs t*na <= nb <= na/t set bits, so counts are dealt into bands that grow by
+    1/t, and a class meets only its own band and the next. A band is compared in pairs of blocks of about
+    BLOCK_ROWS classes, dealt by a hash, so a band that holds most classes is no single key.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
-    rows = _counted(df, id_, fp, ("a", "fa", "na"), words).where("na > 0")
-    band = F.floor(F.log(F.col("na").cast("double")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9) if threshold < 1 else F.col("na")
-    left = rows.withColumn("band", band)
-    right = left.select(F.col("a").alias("b"), F.col("fa").alias("fb"), F.col("na").alias("nb"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    common = S.common_bits(F.col("fa"), F.col("fb"), words)
-    met = left.join(right, "band").where(fits).withColumn("similarity", S.tanimoto(common, F.col("na"), F.col("nb")))
-    return met.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    rows = checkpointed(_counted(df, id_, fp, ("id", "f", "n"), words).where("n > 0"), "pairs")
+    classes = checkpointed(rows.groupBy("f", "n").agg(F.min("id").alias("class")), "pairs")
+    members = rows.join(classes.select("f", "class"), "f").select("class", "id")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9) if threshold < 1 else F.col("n")
+    banded = classes.withColumn("band", band)
+    # One row a band, and there are at most as many as the logarithm of the bits (threshold 1: as the bits).
+    blocks = banded.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    left = banded.join(F.broadcast(blocks), "band").select("band", place("class").alias("block"), F.col("class").alias("x"), F.col("f").alias("fx"), F.col("n").alias("nx"))
+    meets = banded.select(F.col("class").alias("y"), F.col("f").alias("fy"), F.col("n").alias("ny"), F.col("band").alias("own"), F.explode(F.array(F.col("band") - 1, "band")).alias("band"))
+    right = meets.join(F.broadcast(blocks), "band").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    once = (F.col("own") > F.col("band")) | (F.col("x") < F.col("y"))
+    fits = F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold
+    common = S.common_bits(F.col("fx"), F.col("fy"), words)
+    met = left.join(right, ["band", "block"]).where(once & fits).withColumn("similarity", S.tanimoto(common, F.col("nx"), F.col("ny")))
+    pairs = met.where(F.col("similarity") >= threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return pairs, members
+
+
+def similarity_pairs(df: DataFrame, threshold: float, id_: str = "id", fp: str = "fp", words: int | None = None) -> DataFrame:
+    """a < b and their Tanimoto similarity, for all pairs of rows of at least ``threshold`` (> 0); ids must be distinct.
+
+    The classes of ``similarity_classes`` are expanded into their members; use those where copies are many.
+    """
+    pairs, members = similarity_classes(df, threshold, id_, fp, words)
+    members = checkpointed(members, "pairs")
+    left, right = (members.select(F.col("class").alias(c), F.col("id").alias(i)) for c, i in (("a", "i"), ("b", "j")))
+    met = pairs.join(left, "a").join(right, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+    copied = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("a"))
+    same = left.join(copied, "a").join(right.withColumnRenamed("b", "a"), "a").where("i < j")
+    return met.unionByName(same.select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def nearest(df: DataFrame, query: DataFrame, k: int = 10, metric: str = "tanimoto", id_: str = "id", fp: str = "fp", words: int | None = None) -> DataFrame:
@@ -49,9 +76,9 @@ def nearest(df: DataFrame, query: DataFrame, k: int = 10, metric: str = "tanimot
 def screen_similarity(library: DataFrame, references: DataFrame, threshold: float = 0.7, metric: str = "tanimoto", how: str = "max", id_: str = "id", fp: str = "fp", words: int | None = None) -> DataFrame:
     """id and similarity (max or mean over the references) of library rows that reach the threshold; rows without a fingerprint score 0.
 
-    References are folded into one array held by every task, when their measured count allows it;
-    each library row is then scored in place, without a shuffle. Otherwise rows and references are
-    crossed in blocks and aggregated, with partial results a block.
+    Rows that repeat an id are scored one by one. References are broadcast, when their measured count
+    allows it; a row's similarities are then combined in the task that reads it. Otherwise rows and references meet
+    in blocks of references, with partial results a block.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie in [0, 1]")
@@ -61,7 +88,7 @@ def screen_similarity(library: DataFrame, references: DataFrame, threshold: floa
     n = refs.count()
     if not n:
         raise ValueError("no reference has a fingerprint")
-    rows = library.select(F.col(id_).alias("id"), F.col(fp).alias("f"), F.coalesce(S.popcount(F.col(fp), words), F.lit(0)).alias("n"))
+    rows = library.select(F.monotonically_increasing_id().alias("row"), F.col(id_).alias("id"), F.col(fp).alias("f"), F.coalesce(S.popcount(F.col(fp), words), F.lit(0)).alias("n"))
     if n > BROADCAST_ROWS:
         blocks = max(1, n // BROADCAST_ROWS)
         refs = refs.withColumn("block", F.pmod(F.xxhash64("r"), F.lit(blocks)))
@@ -72,16 +99,29 @@ def screen_similarity(library: DataFrame, references: DataFrame, threshold: floa
     common = F.coalesce(S.common_bits(F.col("f"), F.col("fr"), words), F.lit(0))
     value = S.METRICS[metric](common, F.col("n"), F.col("nr"))
     total = (F.max(value) if how == "max" else F.sum(value) / F.lit(n)).alias("similarity")
-    return met.groupBy("id").agg(total).where(F.col("similarity") >= threshold)
+    return met.groupBy("row", "id").agg(total).where(F.col("similarity") >= threshold).drop("row")
 
 
-def diversity(pairs: DataFrame, similarity: str = "similarity") -> DataFrame:
-    """One row of statistics of pair similarities; no pairs: diversity 1."""
-    s = F.col(similarity)
-    out = pairs.agg(F.count("*").alias("n_pairs"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"), F.stddev_pop(s).alias("std"))
+def _statistics(bins: DataFrame) -> DataFrame:
+    """One row of statistics of values ``s`` that occur ``w`` times each; one row a distinct value enters the window."""
+    upto = bins.withColumn("upto", F.sum("w").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy()))
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("s")))
+    mean = F.sum(F.col("s") * F.col("w")) / F.sum("w")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("s") * F.col("s") * F.col("w")) / F.sum("w") - mean * mean))
+    median = (at(F.floor((F.col("all") + 1) / 2)) + at(F.floor(F.col("all") / 2) + 1)) / 2
+    out = upto.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n_pairs"), mean.alias("mean"), median.alias("median"), F.min("s").alias("min"), F.max("s").alias("max"), std.alias("std"))
     return out.withColumn("diversity", 1 - F.coalesce("mean", F.lit(0.0)))
 
 
+def diversity(pairs: DataFrame, similarity: str = "similarity") -> DataFrame:
+    """One row of statistics of pair similarities; no pairs: diversity 1.
+
+    Similarities of fingerprints are fractions of few bits, so their distinct values are few, and only
+    the count of each leaves the tasks.
+    """
+    return _statistics(pairs.where(F.col(similarity).isNotNull()).groupBy(F.col(similarity).alias("s")).agg(F.count("*").alias("w")))
+
+
 def all_pairs_diversity(df: DataFrame, id_: str = "id", fp: str = "fp", words: int | None = None) -> DataFrame:
     """The statistics of ``diversity`` over all pairs, none left out for its similarity.
 
@@ -95,12 +135,7 @@ def all_pairs_diversity(df: DataFrame, id_: str = "id", fp: str = "fp", words: i
     same = rows.where("ma > 1").select(F.col("na").alias("c"), F.col("na").alias("lo"), F.col("na").alias("hi"), F.expr("ma * (ma - 1) div 2").alias("w"))
     sizes = cross.groupBy("c", "lo", "hi").agg(F.sum("w").alias("w")).unionByName(same.groupBy("c", "lo", "hi").agg(F.sum("w").alias("w")))
     bins = sizes.select(S.tanimoto(F.col("c"), F.col("lo"), F.col("hi")).alias("s"), "w").groupBy("s").agg(F.sum("w").alias("w"))
-    upto = bins.withColumn("upto", F.sum("w").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy()))
-    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("s")))
-    mean = F.sum(F.col("s") * F.col("w")) / F.sum("w")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("s") * F.col("s") * F.col("w")) / F.sum("w") - mean * mean))
-    out = upto.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n_pairs"), mean.alias("mean"), ((at(F.floor((F.col("all") + 1) / 2)) + at(F.floor(F.col("all") / 2) + 1)) / 2).alias("median"), F.min("s").alias("min"), F.max("s").alias("max"), std.alias("std"))
-    return out.withColumn("diversity", 1 - F.coalesce("mean", F.lit(0.0)))
+    return _statistics(bins)
 
 
 def within_distance(left: DataFrame, right: DataFrame, cutoff: float, keep: Column | None = None) -> DataFrame:

@@ -205,6 +205,31 @@ def admet(spark, d):
     return rules.with_admet(rows).select("id", F.round(F.col("admet_score") + 1e-6, 1).alias("score"), "admet_class")
 
 
+_ADMET_SQL = f"""WITH {_PROPS_SQL}, c AS (SELECT id, "MolWt" AS mw, "LogP" AS lp, "TPSA" AS tp, "RotatableBonds" AS rb, "AromaticRings" AS ar, {_V} AS v, {_VEB} AS veb,
+  id % 4 AS n_cyp, id % 3 = 0 AS herg, id % 3 AS n_ames, id % 4 AS n_hep FROM p),
+s AS (SELECT *, 1 - 0.25 * (coalesce(mw > 500, false)::INT + (lp > 3)::INT + (rb > 7)::INT + (ar > 3)::INT) AS stab, 0.155 * lp - 0.01 * tp + 0.164 AS bb,
+  0.3 * CASE WHEN v <= 1 THEN 1.0 WHEN v = 2 THEN 0.5 ELSE 0 END + 0.3 * CASE WHEN veb THEN 1.0 ELSE 0 END + 0.2 * CASE WHEN lp BETWEEN -0.4 AND 5.6 THEN 1.0 ELSE 0 END + 0.2 * CASE WHEN tp < 90 THEN 1.0 WHEN tp < 140 THEN 0.5 ELSE 0 END AS oral,
+  coalesce(lp > 3.7 AND mw > 400, false) AS fat FROM c)
+SELECT id, CASE WHEN tp < 90 THEN 'high' WHEN tp < 140 THEN 'moderate' ELSE 'low' END AS caco2_class, CASE WHEN v <= 1 AND veb AND tp < 140 THEN 'high' WHEN v <= 2 AND tp < 140 THEN 'moderate' ELSE 'low' END AS hia_class,
+  coalesce(mw > 400 AND tp > 75, false) AS pgp_substrate, round(oral, 9)::DOUBLE AS bioavailability_score, round(CAST(CAST(bb AS VARCHAR) AS DECIMAL(38, 20)), 3)::DOUBLE AS log_bb, bb > 0 AS bbb_penetrant, CASE WHEN abs(bb) > 0.3 THEN 'green' ELSE 'yellow' END AS bbb_risk,
+  CASE WHEN lp > 3 THEN 'high' WHEN lp > 1 THEN 'moderate' ELSE 'low' END AS ppb_class, CASE WHEN lp < 1 THEN 'low' WHEN lp < 3 THEN 'moderate' ELSE 'high' END AS vod_class,
+  CASE n_cyp WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' ELSE 'high' END AS cyp_class, stab::DOUBLE AS metabolic_stability_score, CASE WHEN stab >= 0.75 THEN 'high' WHEN stab >= 0.5 THEN 'moderate' ELSE 'low' END AS metabolic_class,
+  coalesce(mw < 500 AND lp < 2, false) AS renal_clearance, CASE WHEN stab >= 0.75 AND mw < 400 THEN 'short' WHEN stab < 0.5 AND mw > 500 THEN 'long' ELSE 'medium' END AS halflife_class,
+  fat OR herg AS herg_liability, CASE WHEN fat AND herg THEN 'red' WHEN fat OR herg THEN 'yellow' ELSE 'green' END AS herg_risk, herg::INT + fat::INT AS n_herg_alerts, CASE n_ames WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS ames_risk, CASE WHEN n_hep = 0 THEN 'green' WHEN n_hep <= 2 THEN 'yellow' ELSE 'red' END AS hepatotox_risk,
+  CASE WHEN mw < 400 AND lp BETWEEN 1 AND 4 AND tp < 120 THEN 'low_dose' WHEN mw > 600 OR lp > 5 OR lp < -1 THEN 'high_dose' ELSE 'moderate_dose' END AS mrdd_class FROM s"""
+
+
+@query(_ADMET_SQL)
+def admet_predictors(spark, d):
+    """Every predictor's own columns, with arrays of as many alerts as the id's remainders say."""
+    some = lambda n: F.slice(F.array(*[F.lit(f"alert{i}") for i in range(3)]), F.lit(1), n)
+    k = F.col("id")
+    rows = properties(spark, d).withColumns({"cyp_alerts": some((k % 4).cast("int")), "herg_alerts": some((k % 3 == 0).cast("int")), "ames_alerts": some((k % 3).cast("int")), "hepatotox_alerts": some((k % 4).cast("int"))})
+    out = rules.with_admet(rows)
+    names = ("caco2_class", "hia_class", "pgp_substrate", "log_bb", "bbb_penetrant", "bbb_risk", "ppb_class", "vod_class", "cyp_class", "metabolic_stability_score", "metabolic_class", "renal_clearance", "halflife_class", "herg_liability", "herg_risk", "ames_risk", "hepatotox_risk", "mrdd_class")
+    return out.select("id", F.round("admet_bioavailability_score", 9).alias("bioavailability_score"), F.size("admet_herg_alerts").alias("n_herg_alerts"), *[F.col(f"admet_{n}").alias(n) for n in names])
+
+
 @query(f"""WITH {_PROPS_SQL} SELECT 'caco2' AS flag, count(*) AS n FROM p WHERE "TPSA" >= 140 UNION ALL SELECT 'hia', count(*) FROM p WHERE NOT ({_V} <= 2 AND "TPSA" < 140)""")
 def liabilities(spark, d):
     rows = rules.with_admet(properties(spark, d)).select(F.col("admet_caco2_risk").alias("caco2"), F.col("admet_hia_risk").alias("hia"))
@@ -625,6 +650,63 @@ def molecule_properties(spark, d):
     return X.with_properties(molecules(spark)).select("name", F.round("MolWt", 1).alias("MolWt"), "RingCount", "HeavyAtomCount")
 
 
+#: Groups of the molecules built from part keys, with the published additive values of each on a benzene ring (fixed values):
+#: SMILES, weight, polar surface, logP, donors, nitrogen and oxygen atoms, heavy atoms.
+GROUPS = (
+    ("C", 15.035, 0.0, 0.58952, 0, 0, 1), ("O", 17.007, 20.23, -0.0133, 1, 1, 1), ("N", 16.023, 26.02, -0.1367, 1, 1, 1), ("F", 18.998, 0.0, 0.4202, 0, 0, 1), ("Cl", 35.45, 0.0, 0.9345, 0, 0, 1), ("Br", 79.904, 0.0, 1.0436, 0, 0, 1),
+    ("C(=O)O", 45.017, 37.30, -0.0207, 1, 2, 3), ("C#N", 26.018, 23.79, 0.15278, 0, 1, 2), ("[N+](=O)[O-]", 46.005, 43.14, 0.1893, 0, 3, 3), ("OC", 31.034, 9.23, 0.2897, 0, 1, 2), ("C(N)=O", 44.033, 43.09, -0.6200, 1, 2, 3),
+)
+_LIBRARY_SQL = "g AS (SELECT * FROM (VALUES {}) t(i, s, w, p, l, d, a, h)), lib AS (SELECT p_partkey AS id, x.s AS s1, y.s AS s2, 76.098 + x.w + y.w AS w, x.p + y.p AS p, 1.1244 + x.l + y.l AS l, x.d + y.d AS d, x.a + y.a AS a, 6 + x.h + y.h AS h FROM part JOIN g x ON x.i = p_partkey % {} JOIN g y ON y.i = p_partkey // {} % {})".format(
+    ", ".join(f"({i}, '{s}', {w}, {p}, {lp}, {dn}, {a}, {h})" for i, (s, w, p, lp, dn, a, h) in enumerate(GROUPS)), len(GROUPS), len(GROUPS), len(GROUPS)
+)
+
+
+def library(spark: SparkSession, d: str) -> DataFrame:
+    """id and smiles: part keys as benzene rings with two groups, para to one another."""
+    k, n = F.col("p_partkey"), len(GROUPS)
+    group = lambda i: F.get(F.array(*[F.lit(g[0]) for g in GROUPS]), i.cast("int"))
+    return read(spark, d, "part").select(k.alias("id"), F.concat(F.lit("c1cc("), group(k % n), F.lit(")ccc1"), group(F.floor(k / n) % n)).alias("smiles"))
+
+
+@query(f'WITH {_LIBRARY_SQL} SELECT id, round(w, 2)::DOUBLE AS "MolWt", round(p, 2)::DOUBLE AS "TPSA", round(l, 3)::DOUBLE AS "LogP", d::INT AS "HBD", a::INT AS "HBA", h::INT AS "HeavyAtomCount" FROM lib')
+def library_properties(spark, d):
+    from ..operators import molecules as X
+
+    out = X.with_properties(library(spark, d))
+    return out.select("id", *[F.round(F.round(c, 9), n).alias(c) for c, n in (("MolWt", 2), ("TPSA", 2), ("LogP", 3))], "HBD", "HBA", "HeavyAtomCount")
+
+
+@query(f"WITH {_LIBRARY_SQL} SELECT id, ((s1 = 'C(=O)O')::INT + (s2 = 'C(=O)O')::INT) AS match_count FROM lib WHERE 'C(=O)O' IN (s1, s2)")
+def library_acids(spark, d):
+    from ..operators import molecules as X
+
+    return X.screen_substructure(library(spark, d), "cC(=O)[O;H1]").select("id", "match_count")
+
+
+@query(f"WITH {_LIBRARY_SQL} SELECT least(s1, s2) AS one, greatest(s1, s2) AS two, count(*) AS n FROM lib GROUP BY 1, 2")
+def library_duplicates(spark, d):
+    """Canonical SMILES bring together the two ways to write a molecule; groups are told from the key."""
+    from ..operators import molecules as X
+
+    k, n = F.col("id"), len(GROUPS)
+    group = lambda i: F.get(F.array(*[F.lit(g[0]) for g in GROUPS]), i.cast("int"))
+    rows = X.validate(library(spark, d)).where("status = 'validated'").withColumns({"g1": group(k % n), "g2": group(F.floor(k / n) % n)})
+    return rows.groupBy("smiles").agg(F.min(F.least("g1", "g2")).alias("one"), F.max(F.greatest("g1", "g2")).alias("two"), F.count("*").alias("n")).select("one", "two", "n")
+
+
+@query(f"WITH {_LIBRARY_SQL} SELECT id, s1 IN ('OC', 'C(=O)O', 'C(N)=O') AS first_cut, s2 IN ('OC', 'C(=O)O', 'C(N)=O') AS second_cut FROM lib")
+def library_fragments(spark, d):
+    """Which of the two groups retrosynthesis cuts off: ethers, acids and amides leave the ring with labels 3 and 6, other groups stay."""
+    from ..operators import molecules as X
+
+    k, n = F.col("id"), len(GROUPS)
+    rows = X.fragment_table(library(spark, d)).withColumn("cuts", F.array_size(F.regexp_extract_all(F.array_join(F.filter("fragments", lambda f: F.contains(f, F.lit("c1"))), " "), F.lit(r"\[16\*\]"), F.lit(0))))
+    cut = lambda i: F.get(F.array(*[F.lit(g[0] in ("OC", "C(=O)O", "C(N)=O")) for g in GROUPS]), i.cast("int"))
+    both = rows.withColumns({"a": cut(k % n), "b": cut(F.floor(k / n) % n)})
+    # The number of cuts comes from the molecule, their places from the key.
+    return both.select("id", (F.col("a") & (F.col("cuts") == F.col("a").cast("int") + F.col("b").cast("int"))).alias("first_cut"), (F.col("b") & (F.col("cuts") == F.col("a").cast("int") + F.col("b").cast("int"))).alias("second_cut"))
+
+
 @query("SELECT * FROM (VALUES ('aspirin'), ('ibuprofen'), ('naproxen'), ('diclofenac'), ('atorvastatin')) t(name)")
 def substructure_screen(spark, d):
     from ..operators import molecules as X
