@@ -57,12 +57,18 @@ def checkpointed(df: DataFrame, name: str, instead: DataFrame | None = None) ->
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     if instead is not None:
-        remove(df.sparkSession, instead._written_to)
+        remove_written(instead)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+def remove_written(*results: DataFrame) -> None:
+    """Remove the files of results of ``checkpointed`` that nothing reads any more."""
+    for df in results:
+        remove(df.sparkSession, df._written_to)
+
+
 @atexit.register
 def clean_up() -> None:
     """Remove all intermediate tables and files; call it when no DataFrame that reads them is needed any more. Runs when the driver ends."""
