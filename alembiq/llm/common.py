@@ -1,66 +1,40 @@
-"""Helpers the corpus operators share: the shared work folder, written intermediate tables, word splitting."""
+"""Helpers the corpus operators share: written intermediate tables, word splitting, workers' memory."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, clean_up, remove, work_path  # noqa: F401
+
 #: The six white-space characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="alembiq-")
-        found = f"file://{_own_dir}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for one intermediate table or set of files; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/alembiq/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
+#: Rows of a batch that carries whole texts to Python at most, and rows of a few numbers that are broadcast at most.
+TEXT_ROWS, FEW = 2000, 1_000_000
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+written = checkpointed
 
 
-@atexit.register
-def clean_up() -> None:
-    """Remove all intermediate tables and files; call it when no DataFrame that reads them is needed any more. Runs when the driver ends."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone; the shared folder's owner cleans up then
-            return
+def text_batches(spark: SparkSession) -> None:
+    """Let batches for Python hold few rows from now on, since rows hold whole texts: workers and the JVM keep a batch in memory several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, and survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast if it has at most FEW rows, and shuffled otherwise."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def partitions(spark: SparkSession) -> int:
@@ -89,3 +63,25 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def released(task: Callable[..., Iterator], *forget: Callable[[], None]) -> Callable[..., Iterator]:
+    """``task``, a function over the batches of a partition, after which a Python worker gives its memory back.
+
+    Workers are used again by later tasks and stages, so what they keep would add up. ``forget`` is called first.
+    """
+
+    @wraps(task)
+    def run(*args) -> Iterator:
+        try:
+            yield from task(*args)
+        finally:
+            for f in forget:
+                f()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
