@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows a model is fitted on at most, in the order of a hash of doc_id.
 MAX_LABELLED = 8000
-#: Texts longer than this many code points are scored like all others, but no model is fitted on them.
-MAX_FIT_CHARS = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -17,17 +17,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs`` with a label that may be learned from, in column ``y``: at most ``most``, taken by hash order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: Sequence[str] = ("text",), most: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, the string ``columns`` and label ``y`` of rows that may be learned from: at most ``most`` documents, taken by hash order.
 
-    Ids with several differing labels take the larger; null labels and ids are left out. The ids are
-    at most ``most``, hence the broadcast.
+    Ids with several differing labels take the larger, and ids with several rows one of them; null labels
+    and ids are left out. The ids are at most ``most``, hence the broadcast.
     """
-    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = ids.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    taken = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumnRenamed("doc_id", "_id")
-    fits = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_FIT_CHARS)
-    return fits.join(F.broadcast(taken), F.col("doc_id") == F.col("_id")).drop("_id")
+    ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    ids = ids.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    taken = ids.orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("row"))
+    found = rows.join(F.broadcast(taken), F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return found.select("doc_id", "row.*", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

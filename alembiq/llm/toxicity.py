@@ -1,14 +1,15 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
 Folding lower-cases, strips accents and invisible characters, maps letters of other scripts that look
-like Latin ones, and reads digits and signs next to letters as the letters they stand for. The
-lexicon holds word beginnings with weights: seed words, and beginnings that labelled documents show
+like Latin ones, reads digits and signs next to letters as the letters they stand for, and joins words
+spelt letter by letter. The lexicon holds word beginnings with weights: seed words, and beginnings that labelled documents show
 to be toxic. Exception phrases cover lexicon words that are harmless in them. The sum of the weights
 found, over the logarithm of the length, becomes a score through a logistic fit.
 
 Learning counts, for each word beginning, the distinct pairs of neighbouring words it is seen between
 in toxic and in other documents; so copies and near copies of a document count once. A beginning is
-kept where so many toxic contexts could not fall together by chance.
+kept where so many toxic contexts could not fall together by chance. Contexts are counted in tables, so
+texts of any length take part.
 
 Defined results: null and empty texts have no matches and the lowest score; labels of rows whose
 crc32(doc_id) mod 3 is 1 are never read; without labels the seed lexicon and a fixed curve score;
@@ -21,7 +22,6 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import released, table, text_batches, written
 from .learning import MAX_LABELLED, held_out, labelled_sample, logistic, sigmoid
-from .common import table
 
 #: Seed words (fixed values), each with this weight.
 SEEDS = ("asshole", "bastard", "bitch", "disgusting", "dumbass", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "shithead", "stupid", "vermin", "worthless")
@@ -52,7 +52,10 @@ SHORTEST, LONGEST = 4, 12
 
 _FOLD = str.maketrans(HOMOGLYPHS)
 _SIGNS = str.maketrans(SUBSTITUTES)
-_SIGN_RUN = re.compile(r"(?<=[a-z])[0134579@$|]+|[0134579@$!|]+(?=[a-z])")
+#: Signs next to letters; an exclamation mark after a word ends it, and stands for no letter.
+_SIGN_RUN = re.compile("(?<=[a-z])[{0}]+|[{1}]+(?=[a-z])".format(*(re.escape("".join(x for x in SUBSTITUTES if x not in end)) for end in ("!", ""))))
+#: Words spelt letter by letter.
+_SPELT = re.compile(r"(?<![^\W_])[a-z](?:[.*_-][a-z]){2,}(?![^\W_])")
 _HIDDEN = re.compile("[̀-ͯ­​-‏⁠﻿]+")
 _NOT_WORD = re.compile(r"[\W_]+")
 #: 1, i and l stand for each other.
@@ -65,6 +68,7 @@ def fold(text: str | None) -> str:
     if not s.isascii():
         s = _HIDDEN.sub("", unicodedata.normalize("NFKD", s)).translate(_FOLD)
     s = _SIGN_RUN.sub(lambda m: m[0].translate(_SIGNS), s)
+    s = _SPELT.sub(lambda m: m[0][::2], s)
     return " " + _NOT_WORD.sub(" ", s).strip().translate(_SAME) + " "
 
 
@@ -79,6 +83,7 @@ class Lexicon:
 
     def automaton(self) -> ahocorasick.Automaton:
         if self not in _automata:
+            _automata.clear()
             a = ahocorasick.Automaton()
             for word, weight in self.words:
                 a.add_word(f" {word}", (len(word) + 1, weight))
@@ -111,64 +116,63 @@ class Lexicon:
 _automata: dict[Lexicon, ahocorasick.Automaton] = {}
 
 
-def learned_words(texts: list[str | None], toxic: list[bool]) -> dict[str, float]:
-    """Word beginnings of toxic documents, with the logarithm of their odds as weight."""
-    folded = [fold(t) for t in texts]
-
-    def tokens(side: bool) -> Iterator[tuple[str, int]]:
-        """Each word, and the pair of its neighbours as a number."""
-        for text, y in zip(folded, toxic):
-            if bool(y) == side:
-                w = text.split()
-                for before, word, after in zip(["", *w], w, [*w[1:], ""]):
-                    if len(word) >= SHORTEST:
-                        yield word, zlib.crc32(f"{before} {after}".encode())
-
-    # A longer beginning is seen in no more contexts than a shorter one, so only those that suffice are made longer.
-    wanted: dict[str, int] = {}
-    frontier: set[str] | None = None
-    least = 0
-    for n in range(SHORTEST, LONGEST + 1):
-        seen: dict[str, set[int]] = defaultdict(set)
-        for word, key in tokens(True):
-            if len(word) >= n and (frontier is None or word[: n - 1] in frontier):
-                seen[word[:n]].add(key)
-        if frontier is None:
-            share = max(0.02, min(0.5, sum(map(bool, toxic)) / max(1, len(toxic))))
-            least = max(4, math.ceil(math.log(0.002 / max(1, len(seen))) / math.log(share)))
-        level = {p: len(c) for p, c in seen.items() if len(c) >= least}
-        wanted |= level
-        frontier = set(level)
-    roots = {p[:SHORTEST] for p in wanted}
-    clean: dict[str, set[int]] = defaultdict(set)
-    for word, key in tokens(False):
-        if word[:SHORTEST] in roots:
-            for n in range(SHORTEST, min(len(word), LONGEST) + 1):
-                p = word[:n]
-                if p in wanted:
-                    clean[p].add(key)
-                    if len(clean[p]) > 0.02 * wanted[p]:  # no sign of toxicity: forgotten
-                        del wanted[p], clean[p]
-    kept = wanted
-    out = {}
-    for p, n in kept.items():
-        longer = any(kept.get(q, 0) >= 0.95 * n for q in kept if len(q) == len(p) + 1 and q.startswith(p)) if len(p) < LONGEST else False
-        if not longer:
-            out[p] = math.log((n + 0.5) / (len(clean.get(p, ())) + 0.5))
+def contexts(text: str | None) -> set[tuple[str, int]]:
+    """The first LONGEST letters of each word of SHORTEST letters or more, with the pair of its neighbours as a number."""
+    w = fold(text).split()
+    return {(word[:LONGEST], zlib.crc32(f"{before} {after}".encode())) for before, word, after in zip(["", *w], w, [*w[1:], ""]) if len(word) >= SHORTEST}
+
+
+def learned_words(sample: DataFrame) -> dict[str, float]:
+    """Word beginnings of toxic documents, with the logarithm of their odds as weight. ``sample``: text, y.
+
+    The contexts of whole texts are counted in tables; the driver gets the counts of beginnings that are
+    seen often enough in toxic documents and hardly in others.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, y in zip(b.column("text"), b.column("y").to_pylist()):
+                found = list(zip(*contexts(text.as_py())))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.int64()), pa.array([y > 0] * len(found[0]))], ["word", "context", "toxic"])
+
+    n, n_toxic = sample.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
+    if not n_toxic:
+        return {}
+    words = written(sample.select("text", "y").mapInArrow(released(of), "word string, context long, toxic boolean").distinct(), "toxic-contexts")
+    beginnings = F.transform(F.sequence(F.lit(SHORTEST), F.char_length("word")), lambda i: F.substring("word", F.lit(1), i))
+    each = words.select("context", "toxic", F.explode(beginnings).alias("p"))
+    counted = lambda rows: rows.distinct().groupBy("p").agg(F.count("*").alias("n"))
+    seen = written(counted(each.where("toxic").select("p", "context")), "toxic-beginnings")
+    share = max(0.02, min(0.5, n_toxic / n))
+    shortest = seen.where(F.char_length("p") == SHORTEST).count()
+    # A beginning is wanted where so many toxic contexts could not fall together by chance.
+    wanted = seen.where(F.col("n") >= max(4, math.ceil(math.log(0.002 / max(1, shortest)) / math.log(share))))
+    clean = counted(each.where("NOT toxic").join(wanted.select("p"), "p", "left_semi").select("p", "context")).withColumnRenamed("n", "clean")
+    found = wanted.join(clean, "p", "left").select("p", "n", F.coalesce("clean", F.lit(0)).alias("clean")).where(F.col("clean") <= 0.02 * F.col("n")).collect()
+    kept, others = {r["p"]: r["n"] for r in found}, {r["p"]: r["clean"] for r in found}
+    # A longer beginning of nearly the same contexts stands for a shorter one.
+    longer = {p[:-1] for p, m in kept.items() if m >= 0.95 * kept.get(p[:-1], math.inf)}
+    out = {p: math.log((m + 0.5) / (others[p] + 0.5)) for p, m in kept.items() if p not in longer}
     # What a shorter beginning covers needs no entry of its own.
-    return {p: x for p, x in out.items() if not any(p[:n] in out for n in range(SHORTEST, len(p)))}
+    return {p: x for p, x in out.items() if not any(p[:i] in out for i in range(SHORTEST, len(p)))}
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon:
-    """The lexicon and score curve learned from at most ``most`` labelled documents."""
-    sample = labelled_sample(docs, labels, "toxic", most).select("text", "y").toPandas()
-    texts, y = list(sample["text"]), (sample["y"] > 0).to_numpy() if len(sample) else np.zeros(0, bool)
-    words = {w.translate(_SAME): SEED_WEIGHT for w in SEEDS} | learned_words(texts, list(y))
+    """The lexicon and score curve learned from at most ``most`` labelled documents, of whose whole texts counts and strengths reach the driver."""
+    sample = written(labelled_sample(docs, labels, "toxic", most=most), "toxic-sample")
+    words = {w.translate(_SAME): SEED_WEIGHT for w in SEEDS} | learned_words(sample)
     lexicon = Lexicon(tuple(sorted(words.items())))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([lexicon.strength(t.as_py())[0] for t in b.column("text")], pa.float64())], ["y", "strength"])
+
+    got = sample.select("y", "text").mapInArrow(released(of), "y int, strength double").collect()  # at most ``most`` rows of two numbers
+    y = np.array([r["y"] > 0 for r in got], bool)
     if y.all() or not y.any():
         return lexicon
-    x = np.array([[lexicon.strength(t)[0]] for t in texts])
-    slope, intercept = logistic(x, y.astype(float), ridge=1e-3)
+    slope, intercept = logistic(np.array([[r["strength"]] for r in sorted(got)]), np.array([float(r["y"] > 0) for r in sorted(got)]), ridge=1e-3)
     return Lexicon(lexicon.words, lexicon.exceptions, float(slope), float(intercept))
 
 
@@ -181,16 +185,19 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             score = sigmoid(lexicon.slope * np.array([f[0] for f in found], float) + lexicon.intercept)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array([f[1] for f in found], pa.int64())], ["doc_id", "score", "n_hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, score double, n_hits long")
+    text_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(of), "doc_id long, score double, n_hits long")
 
 
 def clean_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns; one pass, no join."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(sigmoid(lexicon.slope * np.array([lexicon.strength(t)[0] for t in texts], float) + lexicon.intercept))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(sigmoid(lexicon.slope * np.array([lexicon.strength(t)[0] for t in texts], float) + lexicon.intercept))
 
+    text_batches(docs.sparkSession)
     return docs.where(score(F.col("text").cast("string")) < threshold)
 
 
