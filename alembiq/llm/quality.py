@@ -1,15 +1,17 @@
 """Quality classification by co-training of two views.
 
-The text view sees what is written: hashed frequencies of byte pairs and of character classes. The
-metadata view sees how the page is described and laid out: language, source, length, and measures of
-lines, words and repetition. Each view is a logistic regression. They start from the labelled rows;
-then, for some rounds, each view labels the unlabelled documents it is surest of, the surest good and
-the surest bad ones in proportion, and these enter the training rows of the *other* view. Afterwards
-each view is calibrated on labelled rows that neither was fitted on, and the score of a document is
-the mean of both calibrated logits, weighted by each view's calibration likelihood.
-
-Fitting uses at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, as vectors of fixed
-length; scoring covers every document, whole texts, in one pass.
+The text view sees what is written: hashed frequencies of byte pairs and of character classes, and how
+words are formed and repeated. The metadata view sees what is known of the page without reading it:
+language, source, and the number and lengths of its lines. Each view is a logistic regression. They start
+from the labelled rows; then, for some rounds, each view labels the unlabelled documents it is surest of,
+the surest good and the surest bad ones in proportion, and the *other* view is fitted on them, too.
+Afterwards each view is calibrated on labelled rows that neither was fitted on, and the score of a
+document is the mean of both calibrated logits, weighted by each view's calibration likelihood.
+
+Labelled rows are a sample of at most MAX_LABELLED. Of the unlabelled ones every distinct text takes part:
+their vectors are written once, a histogram of each view's logits over all of them gives the thresholds
+of a round, and the rows beyond these are fitted on through sums of gradients, so the driver holds a
+few numbers whatever the size. All pseudo-labels of a round together weigh PSEUDO of the labelled rows.
 
 Defined results: null and empty texts have zero vectors in the text view; null lang and source are
 categories of their own; labels of rows whose crc32(doc_id) mod 3 is 1 are never read; with labels of
@@ -20,32 +22,35 @@ are ignored; repeated rows are scored alike; an empty table gives an empty resul
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table
-from .learning import MAX_FIT_CHARS, MAX_LABELLED, held_out, labelled_sample, logistic, sigmoid
+from .common import SPACES, released, table, text_batches, written
+from .learning import MAX_LABELLED, held_out, labelled_sample, logistic, sigmoid
 
-#: Unlabelled documents that take part in fitting at most, in the order of a hash of doc_id.
-MAX_POOL = 8000
 PAIR_BINS = 256
 CATEGORY_BINS = 32
 ROUNDS = 4
-#: Share of the pool that a view labels in each round.
+#: Share of the unlabelled texts that a view labels in the first round; as many more in each further one.
 SURE = 0.05
+#: Weight of all pseudo-labels of a round over that of all labelled rows, and steps by which they are fitted.
+PSEUDO, STEPS = 0.5, 4
+#: Logits are counted in bins of 1/SCALE between -HALF/SCALE and HALF/SCALE; a pseudo-label needs one beyond LEAST.
+SCALE, HALF, LEAST = 64, 2048, 2.0
 
 _CLASS = np.zeros(256, np.intp)
 for _i in range(256):
     _c = chr(_i)
     _CLASS[_i] = 0 if _i >= 128 else 1 if _c.islower() else 2 if _c.isupper() else 3 if _c.isdigit() else 4 if _c in SPACES else 5 + (_c in ".,;:") + 2 * (_c in "!?") + 3 * (_c in "|%$&*#@^~<>{}[]\\=+")
 N_CLASS = 9
-TEXT_DIM = PAIR_BINS + N_CLASS
-META_DIM = 10 + 2 * CATEGORY_BINS
+WORD_DIM, LAYOUT_DIM = 6, 6
+TEXT_DIM = PAIR_BINS + N_CLASS + WORD_DIM
+META_DIM = LAYOUT_DIM + 2 * CATEGORY_BINS
 
 
 def text_view(text: str | None) -> np.ndarray:
@@ -58,30 +63,28 @@ def text_view(text: str | None) -> np.ndarray:
             out[:PAIR_BINS] += np.bincount(((low[:-1] * 31 + low[1:]) * 2654435761 >> 7) & (PAIR_BINS - 1), minlength=PAIR_BINS)
         out[:PAIR_BINS] = np.sqrt(out[:PAIR_BINS] / (len(b) - 1))
     if len(b):
-        out[PAIR_BINS:] = 4 * np.sqrt(np.bincount(_CLASS[b], minlength=N_CLASS)[:N_CLASS] / len(b))
+        out[PAIR_BINS:-WORD_DIM] = 4 * np.sqrt(np.bincount(_CLASS[b], minlength=N_CLASS)[:N_CLASS] / len(b))
+    words = (text or "").split()
+    if words:
+        n, distinct = len(words), len(set(words))
+        out[-WORD_DIM:] = (
+            distinct / n,
+            distinct / n * np.log1p(n),
+            sum(map(len, words)) / n / 5,
+            sum(1 for a, b in zip(words, words[1:]) if a == b) / n * 4,
+            sum(w[:1].isupper() for w in words) / n,
+            sum(w[-1:].isalnum() for w in words) / n,
+        )
     return out
 
 
 def metadata_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    t = text or ""
-    words, lines = t.split(), t.split("\n")
-    n, m = max(1, len(words)), max(1, len(lines))
-    distinct = len(set(words))
+    lines = list(map(len, (text or "").split("\n")))
+    n, m = sum(lines), len(lines)
     out = np.zeros(META_DIM, np.float32)
-    out[:10] = (
-        np.log1p(len(t)) / 5,
-        np.log1p(len(lines)) / 3,
-        np.log1p(len(t) / m) / 4,
-        len(set(lines)) / m,
-        distinct / n,
-        distinct / n * np.log1p(n),
-        sum(map(len, words)) / n / 5,
-        sum(1 for a, b in zip(words, words[1:]) if a == b) / n * 4,
-        sum(w[:1].isupper() for w in words) / n,
-        sum(w[-1:].isalnum() for w in words) / n,
-    )
+    out[:LAYOUT_DIM] = (np.log1p(n) / 5, np.log1p(m) / 3, np.log1p(n / m) / 4, np.log1p(max(lines)) / 5, sum(x == 0 for x in lines) / m, sum(0 < x < 40 for x in lines) / m)
     for k, v in enumerate((lang, source)):
-        out[10 + k * CATEGORY_BINS + (zlib.crc32(v.encode("utf-8", "surrogatepass")) % (CATEGORY_BINS - 1) + 1 if v is not None else 0)] = 1
+        out[LAYOUT_DIM + k * CATEGORY_BINS + (zlib.crc32(v.encode("utf-8", "surrogatepass")) % (CATEGORY_BINS - 1) + 1 if v is not None else 0)] = 1
     return out
 
 
@@ -115,38 +118,107 @@ class CoTrained:
         return sigmoid(sum(v.weight * v.calibrated(x) for v, x in zip(self.views, xs)) / total)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> View:
+def _fit(x: np.ndarray, y: np.ndarray) -> View:
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    return View(mean, scale, logistic((x - mean) / scale, y, w, ridge=5.0))
+    return View(mean, scale, logistic((x - mean) / scale, y, ridge=RIDGE))
+
+
+RIDGE = 5.0
+
+
+def histograms(views: list[View], xs: list[np.ndarray]) -> np.ndarray:
+    """How many rows have a logit in each bin, a row for each view."""
+    bins = [np.clip(np.floor(v.logit(x) * SCALE), -HALF, HALF - 1).astype(np.int64) + HALF for v, x in zip(views, xs)]
+    return np.stack([np.bincount(b, minlength=2 * HALF) for b in bins])
+
+
+def surest(counts: np.ndarray, share: float, good: float) -> tuple[float, float]:
+    """The logits up to which rows are the surest bad ones and from which they are the surest good ones."""
+    n = counts.sum()
+    low = np.searchsorted(np.cumsum(counts), n * share * (1 - good), side="right") - HALF
+    high = HALF - np.searchsorted(np.cumsum(counts[::-1]), n * share * good, side="right")
+    return min(low / SCALE, -LEAST), max(high / SCALE, LEAST)
+
+
+def gradients(views: list[View], sure: list[View], cuts: list[tuple[float, float]], xs: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view, the gradient over the rows that the other of the ``sure`` views labels, and last the number of these."""
+    out = []
+    for k, (v, x) in enumerate(zip(views, xs)):
+        low, high = cuts[1 - k]
+        other = sure[1 - k].logit(xs[1 - k])
+        taken = (other < low) | (other >= high)
+        z = np.hstack([(x[taken] - v.mean) / v.scale, np.ones((int(taken.sum()), 1))])
+        out.append(np.append(z.T @ (sigmoid(z @ v.coef) - (other[taken] >= high)), len(z)))
+    return out
+
+
+class Pool:
+    """Unlabelled rows held as matrices, one for each view."""
+
+    def __init__(self, xs: list[np.ndarray]):
+        self.xs = xs
+
+    def histograms(self, views: list[View]) -> np.ndarray:
+        return histograms(views, self.xs)
+
+    def gradients(self, views: list[View], sure: list[View], cuts: list[tuple[float, float]]) -> list[np.ndarray]:
+        return gradients(views, sure, cuts, self.xs)
+
+
+class TablePool:
+    """Unlabelled rows in a table (a, m: the vectors of both views as bytes)."""
 
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
-    """Fit both views from labelled and unlabelled vectors (a matrix a view), in the order given."""
+    def _summed(self, of: Callable[[list[np.ndarray]], np.ndarray], width: int) -> np.ndarray:
+        """The sum of ``of`` over all rows: summed in each task, then in a few, then here."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
+            for b in batches:
+                total += of([np.frombuffer(b"".join(b.column(c).to_pylist()), np.float16).reshape(b.num_rows, -1).astype(np.float32) for c in ("a", "m")])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+        def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((np.frombuffer(x, np.float64) for b in batches for x in b.column("part").to_pylist()), np.zeros(width))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+        parts = self.rows.select("a", "m").mapInArrow(released(each), "part binary").repartition(8).mapInArrow(few, "part binary").collect()
+        return sum((np.frombuffer(r["part"], np.float64) for r in parts), np.zeros(width))
+
+    def histograms(self, views: list[View]) -> np.ndarray:
+        return self._summed(lambda xs: histograms(views, xs).ravel().astype(float), 4 * HALF).reshape(2, -1)
+
+    def gradients(self, views: list[View], sure: list[View], cuts: list[tuple[float, float]]) -> list[np.ndarray]:
+        width = len(views[0].coef) + 1
+        found = self._summed(lambda xs: np.concatenate(gradients(views, sure, cuts, xs)), width + len(views[1].coef) + 1)
+        return [found[:width], found[width:]]
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: Pool | TablePool, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    """Fit both views from labelled vectors (a matrix a view), in the order given, and a pool of unlabelled ones."""
     if len(y) < 10 or y.min() == y.max():
         return CoTrained(constant=float(y.mean()) if len(y) else 0.5)
     held = np.arange(len(y)) % 4 == 3
     fit, calibrate = ~held, held
     if y[fit].min() == y[fit].max():
         fit = calibrate = np.ones(len(y), bool)
-    share = y[fit].mean()
-    given: list[dict[int, float]] = [{}, {}]  # pool rows with pseudo-labels, for each view
-    views: list[View] = []
-    for turn in range(rounds + 1):
-        views = []
-        for k in (0, 1):
-            rows = sorted(given[k])
-            x = np.vstack([labelled[k][fit], pool[k][rows]])
-            target = np.concatenate([y[fit], [given[k][r] for r in rows]])
-            views.append(_fit(x, target, np.concatenate([np.ones(fit.sum()), np.full(len(rows), 0.5)])))
-        if turn == rounds or not len(pool[0]):
-            break
-        for k in (0, 1):
-            logit = views[k].logit(pool[k])
-            free = [i for i in np.argsort(-logit, kind="stable").tolist() if i not in given[1 - k]]
-            n = int(sure * len(logit))
-            good, bad = round(n * share), n - round(n * share)
-            taken = [(i, 1.0) for i in free[:good] if logit[i] > 2] + [(i, 0.0) for i in free[len(free) - bad :] if logit[i] < -2]
-            given[1 - k].update(taken)
+    views = [_fit(x[fit], y[fit]) for x in labelled]
+    known = [np.hstack([(x[fit] - v.mean) / v.scale, np.ones((fit.sum(), 1))]) for x, v in zip(labelled, views)]
+    penalty = [np.append(np.full(z.shape[1] - 1, RIDGE), 1e-6) for z in known]
+    # A bound of the curvature, the pseudo-labelled rows taken to spread as the labelled ones: steps by it cannot overshoot.
+    curve = [np.linalg.inv(z.T @ z / 4 * (1 + PSEUDO) + np.diag(p)) for z, p in zip(known, penalty)]
+    for turn in range(1, rounds + 1):
+        cuts = [surest(c, sure * turn, float(y[fit].mean())) for c in pool.histograms(views)]
+        sure_views = [replace(v) for v in views]
+        for _ in range(STEPS):
+            given = pool.gradients(views, sure_views, cuts)
+            if not any(g[-1] for g in given):
+                break
+            for v, z, p, c, g in zip(views, known, penalty, curve, given):
+                weight = PSEUDO * fit.sum() / max(1.0, g[-1])
+                v.coef = v.coef - c @ (z.T @ (sigmoid(z @ v.coef) - y[fit]) + p * v.coef + weight * g[:-1])
     for k, v in enumerate(views):
         x, t = v.logit(labelled[k][calibrate]), y[calibrate]
         if t.min() < t.max():
@@ -167,28 +239,41 @@ def _vectors(b: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _typed(docs: DataFrame, *more: str) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")], *more)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, pool: int = MAX_POOL) -> CoTrained:
-    """Co-train on at most ``most`` labelled and ``pool`` unlabelled rows; only their vectors reach the driver."""
+def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The vectors (a, m: 16-bit numbers as bytes) of every distinct text, language and source without a label."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary()) for v in _vectors(part)]], ["key", "a", "m"])
+
+    rows = _typed(docs)
+    free = rows.join(labels.select(F.col("doc_id").cast("long").alias("known")).distinct(), F.col("doc_id") == F.col("known"), "left_anti")
+    keyed = free.select(F.xxhash64("text", "lang", "source").alias("key"), "text", "lang", "source")
+    return written(keyed.mapInArrow(released(vectors), "key long, a binary, m binary").dropDuplicates(["key"]).drop("key"), "quality-vectors")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, rounds: int = ROUNDS) -> CoTrained:
+    """Co-train on at most ``most`` labelled rows, whose vectors reach the driver, and on all unlabelled ones."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                a, m = _vectors(part)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([x.tobytes() for x in a]), pa.array([x.tobytes() for x in m])], ["doc_id", "y", "a", "m"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *[pa.array([x.tobytes() for x in v], pa.binary()) for v in _vectors(part)]], ["doc_id", "y", "a", "m"])
 
-    known = _typed(labelled_sample(docs, labels, "quality", most), "y")
-    free = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumnRenamed("doc_id", "_id")
-    other = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_FIT_CHARS).join(F.broadcast(free), F.col("doc_id") == F.col("_id"))
-    rows = known.unionByName(_typed(other, F.lit(None).cast("int").alias("y")))
-    got = sorted(rows.mapInArrow(vectors, "doc_id long, y int, a binary, m binary").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
-    stack = lambda key, side: np.vstack([np.frombuffer(r[key], np.float32) for r in got if (r["y"] is None) == side] or [np.zeros((0, TEXT_DIM if key == "a" else META_DIM), np.float32)])
-    y = np.array([float(r["y"] > 0) for r in got if r["y"] is not None])
-    return co_train([stack("a", False), stack("m", False)], y, [stack("a", True), stack("m", True)])
+    sample = labelled_sample(docs, labels, "quality", ("text", "lang", "source"), most)
+    got = sorted(sample.mapInArrow(released(vectors), "doc_id long, y int, a binary, m binary").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    y = np.array([float(r["y"] > 0) for r in got])
+    known = [np.vstack([np.frombuffer(r[c], np.float32) for r in got] or [np.zeros((0, d), np.float32)]) for c, d in (("a", TEXT_DIM), ("m", META_DIM))]
+    if len(y) < 10 or y.min() == y.max():
+        return co_train(known, y, Pool([x[:0] for x in known]))
+    return co_train(known, y, TablePool(unlabelled(docs, labels)), rounds)
 
 
 def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -200,7 +285,7 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
                 part = b.slice(i, 1000)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(_vectors(part)), pa.float64())], ["doc_id", "score"])
 
-    return _typed(docs).mapInArrow(of, "doc_id long, score double")
+    return _typed(docs).mapInArrow(released(of), "doc_id long, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

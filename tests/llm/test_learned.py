@@ -25,6 +25,30 @@ def test_folding():
     assert {T.fold(x) for x in same} == {" idiot "}
     assert T.fold("c1own clown") == " ciown ciown " and T.fold(None) == T.fold("") == "  "
     assert T.fold("58.202 of%%% wow!!") == " 58 202 of wow "
+    assert T.fold("s.t.u.p.i.d a.b x_y_z") == " stupid a b xyz "
+
+
+def test_every_sign_stands_for_its_letter():
+    for sign, letter in T.SUBSTITUTES.items():
+        assert T.fold(f"{sign}xq") == T.fold(f"{letter}xq"), sign
+        if sign != "!":
+            assert T.fold(f"xq{sign}") == T.fold(f"xq{letter}"), sign
+    assert T.Lexicon((("bitch", 4.0),)).strength("you 8itch")[1] == 1
+
+
+def test_matches_are_those_of_a_scan_of_all_words():
+    """Aho-Corasick against words looked at one by one."""
+    r = random.Random(4)
+    lexicon = T.Lexicon((("cat", 1.0), ("catfish", 2.0), ("dog", 4.0), ("can", 0.5)), ("cat nap", "hot dog", "dog day"))
+    for _ in range(500):
+        words = [r.choice(["cat", "cats", "catfish", "nap", "hot", "dog", "dogma", "day", "can", "x", "scat"]) for _ in range(r.randint(0, 12))]
+        spared = set()
+        for i in range(len(words) - 1):
+            if f"{words[i]} {words[i + 1]}" in lexicon.exceptions:
+                spared |= {i, i + 1}
+        hits = [max(w for p, w in lexicon.words if x.startswith(p)) for i, x in enumerate(words) if i not in spared and any(x.startswith(p) for p, _ in lexicon.words)]
+        total, n = lexicon.strength(" ".join(words))
+        assert n == len(hits) and abs(total * (1 + np.log1p((len(words) + 1) / 200)) - sum(hits)) < 0.02 * max(1, sum(hits))
 
 
 def test_exceptions_and_length():
@@ -34,12 +58,12 @@ def test_exceptions_and_length():
     assert lex.strength("idiot " + "word " * 5000)[0] < lex.strength("idiot word")[0]
 
 
-def test_copies_teach_nothing():
+def test_copies_teach_nothing(spark):
     r = random.Random(1)
     w = lambda n: " ".join(f"{r.choice('bcdfgklm')}{r.choice('aeiou')}{r.randrange(10**4)}x" for _ in range(n))
     copied = w(80)
     texts = [copied] * 60 + [w(40) + " grobble " + w(40) for _ in range(60)] + [w(80) for _ in range(400)]
-    found = T.learned_words(texts, [True] * 120 + [False] * 400)
+    found = T.learned_words(spark.createDataFrame([(t, int(i < 120)) for i, t in enumerate(texts)], "text string, y int"))
     assert any("grobbie".startswith(x) for x in found) and not any(T.fold(copied).find(f" {x}") >= 0 for x in found)
 
 
@@ -78,7 +102,27 @@ def test_co_training_uses_the_other_view():
     a = (y[:, None] * 2.0 - 1) + r.normal(0, 1.5, (4000, 4))
     b = (y[:, None] * 2.0 - 1) + r.normal(0, 1.5, (4000, 4))
     known, rest = slice(0, 40), slice(40, 3000)
-    model = Q.co_train([a[known], b[known]], y[known].astype(float), [a[rest], b[rest]])
+    model = Q.co_train([a[known], b[known]], y[known].astype(float), Q.Pool([a[rest], b[rest]]))
     p = model.score([a[3000:], b[3000:]])
+    alone = Q.co_train([a[known], b[known]], y[known].astype(float), Q.Pool([a[rest], b[rest]]), rounds=0).score([a[3000:], b[3000:]])
+    loss = lambda q: -np.mean(np.log(np.clip(np.where(y[3000:] == 1, q, 1 - q), 1e-6, 1)))
+    assert loss(p) < loss(alone)
     assert np.mean((p >= 0.5) == y[3000:]) > 0.9 and 0 <= p.min() <= p.max() <= 1
-    assert Q.co_train([a[:0], b[:0]], y[:0].astype(float), [a, b]).score([a[:3], b[:3]]).tolist() == [0.5] * 3
+    assert Q.co_train([a[:0], b[:0]], y[:0].astype(float), Q.Pool([a, b])).score([a[:3], b[:3]]).tolist() == [0.5] * 3
+
+
+def test_tables_sum_as_matrices_do(spark):
+    """Scores, thresholds and gradients over a table against those over the same vectors in one piece."""
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(50)]
+    docs = documents(spark, [(i, " ".join(r.choice(words, int(r.integers(1, 60)))) + "\n" * int(r.integers(0, 4)), f"s{i % 3}") for i in range(80)] + [(i, "copied", "s0") for i in range(80, 90)] + [(None, None, None)])
+    known = labels(spark, [(i, i % 2, 0) for i in range(0, 40)])
+    table_ = Q.unlabelled(docs, known)
+    assert table_.count() == 42
+    got = table_.collect()
+    xs = [np.vstack([np.frombuffer(x[c], np.float16).astype(np.float32) for x in got]) for c in "am"]
+    views = [Q.View(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), r.normal(0, 0.2, x.shape[1] + 1)) for x in xs]
+    a, b = Q.TablePool(table_.repartition(3)), Q.Pool(xs)
+    assert (a.histograms(views) == b.histograms(views)).all() and b.histograms(views).sum() == 84
+    cuts = [Q.surest(c, 0.5, 0.5) for c in b.histograms(views)]
+    assert all(np.allclose(p, q) for p, q in zip(a.gradients(views, views, cuts), b.gradients(views, views, cuts)))
