@@ -152,12 +152,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     return lines.drop("batch"), found
 
 
+#: Arrays that a document's dropped keys are dealt into.
+DROP_PARTS = 64
 #: Keys held by more than one in this many of all (document, key) rows are joined by broadcast; there are at most this many of them.
 HOT = 10_000
 
 
 def dropped_keys(lines: DataFrame, repeats: DataFrame) -> DataFrame:
-    """doc_id, drops: the first hashes of the keys each document loses.
+    """doc_id, drops: the keys each document loses, in DROP_PARTS arrays by their first hash, so that a line is looked up in one of them.
 
     A key's holders are spread over all tasks that read them: keys held by more than 1/HOT of the
     rows are at most HOT keys and are broadcast; the others meet their holders by a merge join, where
@@ -167,9 +169,21 @@ def dropped_keys(lines: DataFrame, repeats: DataFrame) -> DataFrame:
     hot = repeats.where(F.col("n_docs") > least)
     cold = repeats.where(F.col("n_docs") <= least)
     lost = ~F.col("doc_id").eqNullSafe(F.col("keeper"))
-    by_hot = lines.join(F.broadcast(hot), list(KEY)).where(lost).select("doc_id", "h1")
-    by_cold = lines.join(cold, list(KEY)).where(lost).select("doc_id", "h1")
-    return by_hot.unionByName(by_cold).groupBy("doc_id").agg(F.collect_set("h1").alias("drops"))
+    by_hot = lines.join(F.broadcast(hot), list(KEY)).where(lost).select("doc_id", *KEY)
+    by_cold = lines.join(cold, list(KEY)).where(lost).select("doc_id", *KEY)
+    each = by_hot.unionByName(by_cold).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("keys"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(DROP_PARTS - 1)), lambda i: F.filter("keys", lambda k: _drop_part(k["h1"]) == i))
+    return each.select("doc_id", parts.alias("drops"))
+
+
+def _drop_part(h1: Column) -> Column:
+    return F.pmod(h1, F.lit(DROP_PARTS)).cast("int")
+
+
+def _dropped(key: Column) -> Column:
+    """Whether ``drops`` has the key; null keys are never dropped."""
+    h1, h2 = F.xxhash64(key), F.xxhash64(F.lit("line"), key)
+    return key.isNotNull() & F.array_contains(F.get("drops", _drop_part(h1)), F.struct(h1.alias("h1"), h2.alias("h2")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
@@ -178,7 +192,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     drops = dropped_keys(lines, repeats).withColumnRenamed("doc_id", "_drop_id")
     joined = docs.select("doc_id", "text").join(drops, F.col("doc_id").eqNullSafe(F.col("_drop_id")), "left")
     parts = joined.withColumn("_lines", split_lines(F.col("text")))
-    keep = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("drops"), F.xxhash64(_long_key(x, min_chars))), F.lit(False)))
+    keep = F.filter("_lines", lambda x: ~_dropped(_long_key(x, min_chars)))
     left = parts.withColumn("_kept", F.when(F.col("drops").isNull(), F.col("_lines")).otherwise(keep))
     n = F.size("_lines").cast("long")
     return left.select("doc_id", n.alias("n_lines"), (n - F.size("_kept")).alias("n_dropped"), F.array_join("_kept", "\n").alias("kept"))
@@ -190,19 +204,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
-  FROM documents
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT row, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d
 ), k AS (
-  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  SELECT row, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l
 ), r AS (
-  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row) >= 3
 ), m AS (
-  SELECT k.doc_id, k.i, k.line, r.keeper IS NOT NULL AND r.keeper <> k.doc_id AS lost FROM k LEFT JOIN r ON k.key = r.key AND length(k.key) >= 20
+  SELECT k.row, k.doc_id, k.i, k.line, r.key IS NOT NULL AND r.keeper IS DISTINCT FROM k.doc_id AS lost FROM k LEFT JOIN r ON k.key = r.key AND length(k.key) >= 20
 )
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY row, doc_id
 """
