@@ -13,7 +13,7 @@ last assistant turn as prompt, and without a rejected completion.
 
 Defined results: turns follow turn, then role and text, null turns first; a null role or text renders
 as nothing but equals only null; conversations that are equal, or one the beginning of the other,
-have empty completions where no turn is left; a null conv_id is one conversation, never paired;
+have empty completions where no turn is left; a turn of null conv_id is a conversation of its own, never paired;
 repeated turns stay; marks inside a text stay as they are, since spans come from the turns and not from the
 marks; further columns are ignored; an empty table gives an empty result.
 """
@@ -33,7 +33,9 @@ BLOCK_BITS = 10
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id, turns: one row a conversation."""
     typed = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(typed)).alias("turns"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), typed.alias("t"))
+    named = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return named.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
 
 
 def pair(convs: DataFrame) -> DataFrame:
