@@ -9,13 +9,14 @@ record is read by decompressing one frame.
 Payloads are compared by SHA-1 and length. Holders of a payload are found by an aggregation, and
 meet their pages in a join in which payloads held by more than one in HOT of all pages are broadcast
 (there are at most HOT of them), so a payload that fills a third of the table is dealt out. Pages
-and what is known of their payloads' holders are then dealt out by page_id together, so payloads are
+and what is known of their payloads' holders are then dealt out by page_id and payload together, so payloads are
 shuffled once, and each task writes the bundle of its part.
 
 Defined results: null and empty payloads are payloads of 0 bytes, equal to each other; of rows that
 repeat a page_id and payload the first is the response if that page_id holds it, and the others
 revisit it; a null page_id is less than all others and can be a response only among its like; a null
-url is written as a URN of the page_id; an empty table gives no bundle and an empty result.
+url is written as the record's own identifier; control characters of a url are percent-encoded in the
+target URI and kept in a header of its own; an empty table gives no bundle and an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seekable
-from .common import partitions, table, work_path, written
+from .common import partitions, released, table, text_batches, work_path, written
 
 #: Bytes of records a frame holds at least, unless the bundle ends.
 FRAME_BYTES = 1 << 20
@@ -42,6 +45,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The date of records whose capture time is unknown.
 EPOCH = "1970-01-01T00:00:00Z"
 _PAGE = "urn:alembiq:page:"
+#: The header that keeps a URL that is no URI, as a JSON string.
+ORIGINAL = "Source-URL"
+_UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029\ud800-\udfff]")
+#: Bytes of payloads a bundle holds on average, at most; rows that leave a reader at once.
+BUNDLE_BYTES, READ_ROWS = 1 << 26, 1 << 14
+
+
+def header_uri(url: str) -> str:
+    """``url`` as a header can hold it."""
+    return _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), url)
 
 
 def base32_sha1(data: bytes) -> str:
@@ -50,6 +63,8 @@ def base32_sha1(data: bytes) -> str:
 
 @dataclass
 class Record:
+    """One record. The target URI is written with control and white-space characters percent-encoded, and a URL that this changes is kept beside it."""
+
     record_id: str
     kind: str
     uri: str
@@ -62,7 +77,8 @@ class Record:
         """A response with its payload, or a revisit with the HTTP headers alone."""
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {self.payload_bytes}\r\n\r\n".encode()
         body = http + (self.payload or b"" if self.kind == "response" else b"")
-        head = [("WARC-Type", self.kind), ("WARC-Record-ID", f"<{self.record_id}>"), ("WARC-Target-URI", self.uri), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{self.digest}")]
+        target = header_uri(self.uri)
+        head = [("WARC-Type", self.kind), ("WARC-Record-ID", f"<{self.record_id}>"), ("WARC-Target-URI", target), *([(ORIGINAL, json.dumps(self.uri))] if target != self.uri else []), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{self.digest}")]
         if self.kind == "revisit":
             head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{self.refers_to}>")]
         head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
@@ -83,12 +99,13 @@ class Record:
         kind = head["WARC-Type"]
         payload = data[split + 4 : stop] if kind == "response" else None
         refers = head.get("WARC-Refers-To", "").strip("<>") or None
-        return cls(head["WARC-Record-ID"].strip("<>"), kind, head["WARC-Target-URI"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"]), payload, refers), stop + 4
+        uri = json.loads(head[ORIGINAL]) if ORIGINAL in head else head["WARC-Target-URI"]
+        return cls(head["WARC-Record-ID"].strip("<>"), kind, uri, head["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"]), payload, refers), stop + 4
 
 
-def page_urn(page_id: int | None, turn: int = 0) -> str:
-    """The record identifier of a page; rows that repeat a page_id are told apart by their turn."""
-    return f"{_PAGE}{'null' if page_id is None else page_id}" + (f":{turn}" if turn else "")
+def page_urn(page_id: int | None, digest: str, turn: int = 0) -> str:
+    """The record identifier of a page and payload; rows that repeat both are told apart by their turn."""
+    return f"{_PAGE}{'null' if page_id is None else page_id}:{digest}" + (f":{turn}" if turn else "")
 
 
 def page_of(urn: str | None) -> int | None:
@@ -165,20 +182,22 @@ def write_bundles(pages: DataFrame, folder: str, bundles: int | None = None, lea
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by page_id and digest; what is told of the holder of a payload comes before its pages."""
         uri = f"{folder}/bundle-{TaskContext.get().partitionId():06d}.warc.zst"
-        out, at, turn, known, held = None, None, 0, {}, set()
+        out, at, turn, holder = None, None, 0, None
         try:
             for b in batches:
-                for row in zip(*(b.column(c) for c in ("page_id", "digest", "is_page", "holder", "url", "payload"))):
-                    page, key, is_page, holder, url, payload = (x.as_py() for x in row)
-                    if at != (page,):
-                        at, turn, known, held = (page,), 0, {}, set()
+                pages_, digests, kinds, holders = (b.column(c).to_pylist() for c in ("page_id", "digest", "is_page", "holder"))
+                for i, (page, key, is_page) in enumerate(zip(pages_, digests, kinds)):
+                    if at != (page, key):
+                        at, turn, holder = (page, key), 0, None
                     if not is_page:
-                        known[key] = holder
+                        holder = (holders[i],)
                         continue
                     out = out or BundleWriter(uri)
-                    revisit = key in known and len(payload) >= least_bytes and (known[key] != page or key in held)
-                    held.add(key)
-                    out.add(Record(page_urn(page, turn), "revisit" if revisit else "response", url or page_urn(page), base32_sha1(payload), len(payload), payload, page_urn(known[key]) if revisit else None))
+                    url, payload = b.column("url")[i].as_py(), b.column("payload")[i].as_py()
+                    revisit = holder is not None and len(payload) >= least_bytes and (holder[0] != page or turn > 0)
+                    digest = base32_sha1(payload)
+                    own = page_urn(page, digest, turn)
+                    out.add(Record(own, "revisit" if revisit else "response", url or own, digest, len(payload), payload, page_urn(holder[0], digest) if revisit else None))
                     turn += 1
         except BaseException:
             if out:
@@ -187,8 +206,13 @@ def write_bundles(pages: DataFrame, folder: str, bundles: int | None = None, lea
         if out:
             yield pa.RecordBatch.from_pydict({"path": [uri], "n": [out.close()]})
 
-    dealt = rows.unionByName(told).repartition(bundles or partitions(pages.sparkSession), "page_id").sortWithinPartitions("page_id", "digest", "is_page")
-    return [r.asDict() for r in dealt.mapInArrow(write, "path string, n long").collect()]  # one row a bundle
+    text_batches(pages.sparkSession)
+    if bundles is None:
+        size = rows.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0
+        bundles = max(partitions(pages.sparkSession), -(-size // BUNDLE_BYTES))
+    keys = ["page_id", "digest"]
+    dealt = rows.unionByName(told).repartition(bundles, *keys).sortWithinPartitions(*keys, "is_page")
+    return [r.asDict() for r in dealt.mapInArrow(released(write), "path string, n long").collect()]  # one row a bundle
 
 
 def read_bundles(spark: SparkSession, manifest: list[dict]) -> DataFrame:
@@ -196,18 +220,21 @@ def read_bundles(spark: SparkSession, manifest: list[dict]) -> DataFrame:
 
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
+    def rows(uri: str) -> Iterator[tuple]:
+        for r in BundleReader(uri):
+            if r.payload is not None and (len(r.payload) != r.payload_bytes or base32_sha1(r.payload) != r.digest):
+                raise ValueError(f"{uri}: the payload of {r.record_id} is damaged")
+            yield page_of(r.record_id), r.payload_bytes, r.digest, r.kind, page_of(r.refers_to) if r.refers_to else None
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri in b.column("path").to_pylist():
-                rows = []
-                for r in BundleReader(uri):
-                    if r.payload is not None and (len(r.payload) != r.payload_bytes or base32_sha1(r.payload) != r.digest):
-                        raise ValueError(f"{uri}: the payload of {r.record_id} is damaged")
-                    rows.append((page_of(r.record_id), r.payload_bytes, r.digest, r.kind, page_of(r.refers_to) if r.refers_to else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                found = rows(uri)
+                while part := list(islice(found, READ_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
     files = spark.createDataFrame([(m["path"],) for m in manifest], "path string")
-    return files.repartition(max(1, len(manifest))).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartition(max(1, len(manifest))).mapInArrow(released(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

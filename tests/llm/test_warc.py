@@ -32,10 +32,11 @@ def test_round_trip(spark, tmp_path):
 def test_one_record_by_identifier(spark, tmp_path):
     manifest = W.write_bundles(spark.createDataFrame(rows(), SCHEMA), f"file://{tmp_path}", bundles=1)
     bundle = W.BundleReader(manifest[0]["path"])
-    record = bundle.get(W.page_urn(6))
+    urn = lambda page, text: W.page_urn(page, W.base32_sha1(text.encode()))
+    record = bundle.get(urn(6, "z" * 3_000_000))
     assert (record.kind, len(record.payload), record.uri) == ("response", 3_000_000, "http://e")
-    assert bundle.get(W.page_urn(2**60)).refers_to == W.page_urn(2**60 + 1)
-    assert bundle.get(W.page_urn(3)).uri == W.page_urn(3)
+    assert bundle.get(urn(2**60, "<p>é</p>")).refers_to == urn(2**60 + 1, "<p>é</p>")
+    assert bundle.get(urn(3, "")).uri == urn(3, "")
     assert len(bundle.index) == 9 and json.loads(bundle.file.index())
 
 
@@ -53,3 +54,18 @@ def test_empty_table(spark, tmp_path):
 def test_records_are_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         W.Record.parse(b"HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_urls_that_are_no_headers(spark, tmp_path):
+    urls = ["http://a/x\r\nWARC-Type: warcinfo\r\n\r\n", "http://a/b c\t\x00\x7f", "", ": ", "http://a/é\u2028\xa0", "\r\n"]
+    table = [(i, u, f"page {i // 2}", None, None, 1) for i, u in enumerate(urls)]
+    manifest = W.write_bundles(spark.createDataFrame(table, SCHEMA), f"file://{tmp_path}", bundles=1)
+    found = {W.page_of(r.record_id): r for r in W.BundleReader(manifest[0]["path"])}
+    assert {i: r.uri for i, r in found.items()} == {i: u or found[i].record_id for i, u in enumerate(urls)}
+    assert {r["page_id"]: r["refers_to"] for r in W.read_bundles(spark, manifest).collect()} == {0: 1, 1: None, 2: 3, 3: None, 4: 5, 5: None}
+
+
+def test_many_rows_without_an_id(spark, tmp_path):
+    table = [(None, None, f"text {i % 50}", None, None, 1) for i in range(200)]
+    got = W.read_bundles(spark, W.write_bundles(spark.createDataFrame(table, SCHEMA), f"file://{tmp_path}", bundles=3)).collect()
+    assert len(got) == 200 and sum(r["record_type"] == "response" for r in got) == 50 and {r["refers_to"] for r in got} == {None}
