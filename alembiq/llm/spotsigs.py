@@ -1,11 +1,11 @@
 """Document fingerprints from spot signatures.
 
 A spot is an anchor, one of a list of common words; its signature is the anchor and the chain of the
-next CHAIN words that are not anchors, looked for within REACH words. The set of a text's signatures
-is its fingerprint. Common words fall evenly through running prose and hardly in lists and menus, so
+next CHAIN words that are not anchors, looked for within REACH words. The set of a text's signatures,
+each as the first CODE hexadecimal digits of its MD5, sorted and joined, is its fingerprint. Common words fall evenly through running prose and hardly in lists and menus, so
 the set follows the prose.
 
-Likeness is the Jaccard coefficient of two sets. ``similar`` joins a table with itself: sets are
+Likeness is the Jaccard coefficient of the sets that two fingerprints list. ``similar`` joins a table with itself: sets are
 dealt into partitions by length, only sets whose lengths allow the threshold meet, and only through
 the signatures that a pair above the threshold must share (the rarest ones of each set).
 
@@ -33,6 +33,8 @@ ANCHORS = (
 )
 CHAIN = 2
 REACH = 6
+#: Hexadecimal digits of a signature in a fingerprint.
+CODE = 8
 #: Marks that are cut off words, beside white space.
 MARKS = ".,;:!?"
 
@@ -74,8 +76,14 @@ def signed(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     return df.drop(*[f"_{x}_{k}" for x in "ws" for k in texts])
 
 
-def digest(sigs: Column) -> Column:
-    return F.sha2(F.array_join(sigs, "\n"), 256)
+def codes(sigs: Column) -> Column:
+    """The elements of a fingerprint, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(sigs, lambda x: F.substring(F.md5(x.cast("binary")), 1, CODE))))
+
+
+def elements(fingerprint: Column) -> Column:
+    """The elements that a fingerprint lists, for ``likeness``."""
+    return F.regexp_extract_all(fingerprint, F.lit(f".{{{CODE}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -86,19 +94,20 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with signatures and their digest."""
-    return signed(docs, {"signatures": F.col("text")}).withColumn("fingerprint", digest(F.col("signatures")))
+    """The rows of ``docs`` with signatures and fingerprint."""
+    return signed(docs, {"signatures": F.col("text")}).withColumn("fingerprint", F.array_join(codes(F.col("signatures")), ""))
 
 
 def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs of like fingerprints, and membership.
 
-    Returns (pairs: fingerprint_a < fingerprint_b, likeness; members: doc_id, fingerprint). Documents
-    with equal fingerprints form one class, represented by the fingerprint, so copies are never
+    Returns (pairs: fingerprint_a < fingerprint_b, likeness; members: doc_id, fingerprint), with the
+    SHA-256 of all signatures for a fingerprint here. Documents with equal ones form one class, so copies are never
     expanded. A set of n signatures meets sets of threshold*n to n/threshold signatures, through its
     n - ceil(threshold*n) + 1 rarest ones; the exact coefficient decides.
     """
-    prints = written(fingerprinted(docs).select("doc_id", "fingerprint", F.transform("signatures", lambda s: F.xxhash64(s)).alias("s")), "spots")
+    whole = F.sha2(F.array_join("signatures", "\n"), 256)
+    prints = written(signed(docs, {"signatures": F.col("text")}).select("doc_id", whole.alias("fingerprint"), F.transform("signatures", lambda s: F.xxhash64(s)).alias("s")), "spots")
     classes = written(prints.groupBy("fingerprint").agg(F.first("s").alias("s")).withColumn("n", F.size("s")).where("n > 0"), "spot-classes")
     spots = classes.select("fingerprint", "n", F.explode("s").alias("sig"))
     often = spots.groupBy("sig").agg(F.count("*").alias("df"))
@@ -119,7 +128,7 @@ def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text, next_text: the text of the next row by descending doc_id (then text); after the last comes the first.
 
-    Rows are dealt into ranges of doc_id and ordered within them; each range also gets a copy of the
+    Rows are dealt into ranges of doc_id, one a task, and ordered within them; each range also gets a copy of the
     first row of the range after it, so that its last row finds its successor there.
     """
     parts = parts or partitions(docs.sparkSession)
@@ -133,6 +142,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         before = docs.sparkSession.createDataFrame([(order[i - 1][0], part_first[1]) for i, part_first in enumerate(order)], f"_to int, _first {docs.schema['doc_id'].dataType.simpleString()}")
         heads = rows.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_first"))).groupBy("_to", "doc_id").agg(F.max("text").alias("text"))
         rows = rows.unionByName(heads.select("doc_id", "text", F.col("_to").alias("part"), F.lit(True).alias("borrowed")))
+    rows = rows.repartitionById(len(cuts) + 1, F.col("part"))  # a range is a task; a hash of the range's number would put some together
     along = Window.partitionBy("part").orderBy("borrowed", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     return rows.withColumn("next_text", F.lead("text").over(along)).where(~F.col("borrowed")).select("doc_id", "text", "next_text")
 
@@ -143,8 +153,8 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     sets = signed(pairs.withColumn("n", n).withColumn("edited", edited), {"a": F.col("text"), "b": F.col("edited"), "c": F.col("next_text")})
-    sets = sets.withColumn("edited_sha256", F.sha2("edited", 256))
-    return sets.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    sets = sets.withColumn("edited_sha256", F.sha2("edited", 256)).withColumns({x: codes(F.col(x)) for x in "abc"})
+    return sets.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.array_join("a", "").alias("fingerprint"), F.array_join("b", "").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 
 
 _ANCHOR_SQL = ", ".join(f"'{x}'" for x in dict.fromkeys(ANCHORS))
@@ -166,12 +176,14 @@ n AS (
 ), f AS (
   SELECT doc_id, which, CASE WHEN len(w) = 0 THEN [] WHEN len(s) > 0 THEN list_sort(list_distinct(s))
     ELSE list_sort(list_distinct([array_to_string(w[i:i + {CHAIN}], ' ') for i in range(1, greatest(len(w) - {CHAIN}, 1) + 1)])) END AS s FROM s
+), g AS (
+  SELECT doc_id, which, list_sort(list_distinct(list_transform(s, lambda y: md5(y)[1:{CODE}]))) AS s FROM f
 ), p AS (
   SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, a.s AS a, b.s AS b, c.s AS c
-  FROM e JOIN f a ON a.doc_id = e.doc_id AND a.which = 'a' JOIN f b ON b.doc_id = e.doc_id AND b.which = 'b' JOIN f c ON c.doc_id = e.doc_id AND c.which = 'c'
+  FROM e JOIN g a ON a.doc_id = e.doc_id AND a.which = 'a' JOIN g b ON b.doc_id = e.doc_id AND b.which = 'b' JOIN g c ON c.doc_id = e.doc_id AND c.which = 'c'
 )
 SELECT doc_id, n_chars, edited_sha256,
-  sha256(coalesce(array_to_string(a, chr(10)), '')) AS fingerprint, sha256(coalesce(array_to_string(b, chr(10)), '')) AS edited_fingerprint,
+  coalesce(array_to_string(a, ''), '') AS fingerprint, coalesce(array_to_string(b, ''), '') AS edited_fingerprint,
   CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
   CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE len(list_intersect(a, c))::DOUBLE / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next
 FROM p
