@@ -1,14 +1,16 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Every source gets a word budget; which of its documents are taken is decided by a hash of ``doc_id``
-alone. A histogram of words by source and leading hash bits finds the bucket in which the budget
+and text alone. A histogram of words by source and leading hash bits finds the bucket in which the budget
 runs out; only that bucket is histogrammed again by the next bits, until it holds one document.
 What is left is one hash threshold a source, and taking documents is a filter: nothing is sorted,
 and each pass after the first touches one bucket in 4096.
 
 Defined results: null or blank texts have size 0 and take no words; a null source is a source of its
-own, last in order; rows with equal ``doc_id`` share a hash, hence a decision; an empty table gives
-an empty result. Further columns of the input are kept, and names the operator adds replace equal ones.
+own, last in order; a null doc_id counts as empty; rows equal in doc_id and text share a hash, and where
+the budget runs out among them, as many of them are taken as it has room for (they are alike, so reruns
+agree); an empty table gives an empty result. Further columns of the input are kept, whatever their names.
+The sources themselves are ranked in one task: one row for each of them.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ LEVEL_BITS = 12
 
 
 def doc_hash() -> Column:
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4)
-    return F.conv(digits, 16, 10).cast("long")
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def hashed_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and h, a 60-bit hash of doc_id."""
+    """doc_id, source, size (words) and h, a 60-bit hash of doc_id and text."""
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), doc_hash().alias("h"))
 
 
@@ -65,11 +67,11 @@ def _boundaries(sizes: DataFrame, needs: DataFrame, level: int) -> DataFrame:
     upto = Window.partitionBy("source").orderBy("bucket")
     runs_out = histogram.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > F.col("need"))
     first = runs_out.groupBy("source").agg(F.min(F.struct("bucket", "upto", "words", "n", "need")).alias("b"))
-    return first.select("source", (F.col("b.need") - (F.col("b.upto") - F.col("b.words"))).alias("need"), F.col("b.bucket").alias("prefix"), F.col("b.n").alias("n"))
+    return first.select("source", (F.col("b.need") - (F.col("b.upto") - F.col("b.words"))).alias("need"), F.col("b.bucket").alias("prefix"), F.col("b.n").alias("n"), F.col("b.words").alias("words"))
 
 
 def thresholds(sizes: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame:
-    """One row a source: source, source_size, target, copies (whole), threshold (documents below it are taken once more)."""
+    """One row a source: source, source_size, target, copies (whole), threshold (documents below it are taken once more), extra (as many that are at it, too)."""
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     whole = written(targets.withColumn("copies", copies), "mix-targets")
     rest = F.col("target") - F.col("copies") * F.col("source_size")
@@ -79,33 +81,46 @@ def thresholds(sizes: DataFrame, targets: DataFrame, most: int = 2) -> DataFrame
         found = written(_boundaries(sizes, needs, level), "mix-boundaries")
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
         last = shift == 0
-        ended = found.where(F.lit(last) | (F.col("n") == 1)).select("source", F.shiftleft("prefix", shift).alias("threshold"))
+        room = F.when(F.lit(last) & (F.col("words") > 0), F.floor(F.col("need") * F.col("n") / F.col("words"))).otherwise(0).cast("long")
+        ended = found.where(F.lit(last) | (F.col("n") == 1)).select("source", F.shiftleft("prefix", shift).alias("threshold"), room.alias("extra"))
         done = ended if done is None else done.unionByName(ended)
-        needs = found.where(F.col("n") > 1).drop("n")
+        needs = found.where(F.col("n") > 1).drop("n", "words")
         if last or needs.isEmpty():
             break
     at = done.withColumnRenamed("source", "at_source")
-    return whole.join(at, whole["source"].eqNullSafe(at["at_source"]), "left").drop("at_source").withColumn("threshold", F.coalesce("threshold", F.lit(0)))
+    joined = whole.join(at, whole["source"].eqNullSafe(at["at_source"]), "left").drop("at_source")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("threshold", "extra")})
+
+
+def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, size, h and others) with source_size, target and copies, the times the mix takes a row; ``plan`` as of ``thresholds``."""
+    plan = plan.withColumnRenamed("source", "plan_source")
+    joined = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
+    below = F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
+    tied = (F.col("extra") > 0) & (F.col("h") == F.col("threshold"))
+    if plan.where("extra > 0").isEmpty():
+        return joined.withColumn("copies", below).drop("threshold", "extra")
+    # Rows alike in doc_id and text at a source's threshold: the first of them are taken, whichever these are.
+    place = F.row_number().over(Window.partitionBy("source", "h").orderBy("size"))
+    some = joined.where(tied).withColumn("copies", F.col("copies") + (place <= F.col("extra")).cast("long"))
+    return joined.where(~tied).withColumn("copies", below).unionByName(some).drop("threshold", "extra")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (times the mix takes the document), taken (words)."""
     sizes = written(hashed_sizes(docs), "mix-sizes")
-    plan = written(thresholds(sizes, source_targets(sizes, weights, share, most), most), "mix-plan").withColumnRenamed("source", "plan_source")
-    copies = F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")
-    joined = sizes.join(plan, sizes["source"].eqNullSafe(plan["plan_source"])).withColumn("copies", copies)
-    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    plan = written(thresholds(sizes, source_targets(sizes, weights, share, most), most), "mix-plan")
+    found = _copied(sizes, plan)
+    return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with the columns of ``docs``."""
     sizes = written(hashed_sizes(docs), "mix-sizes")
+    rows = docs.select("source", F.lit(0).alias("size"), doc_hash().alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     plan = written(thresholds(sizes, source_targets(sizes, weights, share, most), most), "mix-plan")
-    plan = plan.select(F.col("source").alias("_plan_source"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold"))
-    times = F.col("_copies") + (doc_hash() < F.col("_threshold")).cast("long")
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["_plan_source"])).withColumn("_times", times)
-    repeated = joined.where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*[repeated[c] for c in docs.columns])
+    found = _copied(rows, plan)
+    return found.where("copies > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +130,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -134,7 +149,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size)) ELSE 0 END::BIGINT AS copies FROM t
 ), r AS (
   SELECT d.doc_id, d.size, c.source_size, c.target, c.copies, c.target - c.copies * c.source_size AS need,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 )
 SELECT doc_id, size, source_size, target,

@@ -51,12 +51,28 @@ def test_targets_and_thresholds(spark):
 
 
 def test_decisions_are_a_hash_threshold(spark):
-    rows = M.mix(documents(spark, docs())).collect()
-    h = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)
-    for s in {r["source"] for r in rows}:
-        mine = sorted((h(r["doc_id"]), r["copies"]) for r in rows if r["source"] == s)
-        copies = [c for _, c in mine]
-        assert copies == sorted(copies, reverse=True)
+    data = docs()
+    copies = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in M.mix(documents(spark, data)).collect()}
+    h = lambda d, t: int(hashlib.md5(f"{'' if d is None else d}:{t or ''}".encode()).hexdigest()[:15], 16)
+    for s in {s for _, _, s in data}:
+        mine = [copies[d, x, len((t or "").split())] for _, d, t, x in sorted((h(d, t), d, t, x) for d, t, x in data if x == s)] if s is not None else []
+        assert mine == sorted(mine, reverse=True)
+
+
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows"])
+def test_targets_without_distinct_ids(spark, kind):
+    """Rows that cannot be told apart by doc_id, or at all, still meet their targets."""
+    ident = {"null ids": lambda i: None, "one id": lambda i: 7, "equal rows": lambda i: 7}[kind]
+    text = (lambda i: "one two") if kind == "equal rows" else (lambda i: f"one w{i}")
+    df = documents(spark, [(ident(i), text(i), "a" if i < 200 else "b") for i in range(300)])
+    taken, target = {}, {}
+    rows = M.mix(df).collect()
+    for r in rows:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert all(target[s] - 2 <= taken[s] <= target[s] for s in target)
+    assert M.mixed_documents(df).count() == sum(r["copies"] for r in rows)
 
 
 def test_reruns_agree_and_rows_are_repeated(spark):
