@@ -557,6 +557,20 @@ def classification_metrics(spark, d):
 
 
 _DIMS = ["x", "y", "z"]
+def _farthest(rows: str, n: int) -> str:
+    """Tables k0, k1, ... of the picks, and s0, s1, ... of each other row's distance to the nearest pick."""
+    far = f"(SELECT 1 - CASE WHEN o.n + q.n > {_COMMON.format(a='o', b='q')} THEN {_COMMON.format(a='o', b='q')} / (o.n + q.n - {_COMMON.format(a='o', b='q')}) ELSE 0 END)"
+    out = [f"k0 AS MATERIALIZED (SELECT min(id) AS pick FROM {rows})", f"s0 AS MATERIALIZED (SELECT o.id, {far} AS d FROM {rows} o, {rows} q WHERE q.id = (SELECT pick FROM k0) AND o.id <> q.id)"]
+    for i in range(1, n):
+        out.append(f"k{i} AS MATERIALIZED (SELECT id AS pick FROM s{i - 1} ORDER BY d DESC, id LIMIT 1)")
+        out.append(f"s{i} AS MATERIALIZED (SELECT o.id, least(s.d, {far}) AS d FROM s{i - 1} s JOIN {rows} o ON o.id = s.id, {rows} q WHERE q.id = (SELECT pick FROM k{i}) AND o.id <> q.id)")
+    return ", ".join(out)
+
+
+def _picks(n: int) -> str:
+    return " UNION ALL ".join(f"SELECT pick AS id, {i} AS turn FROM k{i}" for i in range(n))
+
+
 _PTS = "p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
 
 
@@ -574,10 +588,16 @@ def distance_domain(spark, d):
     return out.select("vec_id", F.round("distance", 9).alias("distance"), "in_domain")
 
 
-@query()
+def _leverage_query(f):
+    h = "(x * x * (d * f - e * e) + y * y * (a * f - c * c) + z * z * (a * d - b * b) + 2 * x * y * (c * e - b * f) + 2 * x * z * (b * e - c * d) + 2 * y * z * (b * c - a * e)) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+    sums = "g AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(x * z) AS c, sum(y * y) AS d, sum(y * z) AS e, sum(z * z) AS f, count(*) AS n FROM p WHERE label < 5)"
+    return query(f"WITH {_PTS}, {sums} SELECT vec_id, round({h}, 7) AS leverage, {h} <= 9.0 / n AS in_domain FROM p, g WHERE label >= 5")(f)
+
+
+@_leverage_query
 def leverage_domain(spark, d):
     rows = points(spark, d)
-    return M.leverage_domain(rows.where("label < 5"), rows.where("label >= 5"), _DIMS).select("vec_id", "leverage", "in_domain")
+    return M.leverage_domain(rows.where("label < 5"), rows.where("label >= 5"), _DIMS).select("vec_id", F.round("leverage", 7).alias("leverage"), "in_domain")
 
 
 @query(f"WITH {_PTS} SELECT vec_id AS id, round(x + 0.5 * abs(y), 9) AS acquisition FROM p ORDER BY round(x + 0.5 * abs(y), 9) DESC, vec_id LIMIT 20")
@@ -586,12 +606,16 @@ def acquire_ucb(spark, d):
     return M.acquire(rows, "ucb", 20, kappa=0.5).select("id", F.round("acquisition", 9).alias("acquisition"))
 
 
-@query()
+@query(f"WITH {_FP_SQL}, {_farthest('f', 12)} {_picks(12)}")
 def maxmin_diversity(spark, d):
     return M.maxmin_pick(fingerprints(spark, d), 12)
 
 
-@query()
+@query(
+    f"WITH {_FP_SQL}, v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS m, abs(embedding[2]::DOUBLE) AS s FROM embeddings), best AS MATERIALIZED (SELECT id FROM v ORDER BY m DESC, id LIMIT 6), "
+    f"unsure AS MATERIALIZED (SELECT id FROM v WHERE id NOT IN (SELECT id FROM best) ORDER BY s DESC, id LIMIT 3), r AS MATERIALIZED (SELECT * FROM f WHERE id NOT IN (SELECT id FROM best) AND id NOT IN (SELECT id FROM unsure)), {_farthest('r', 3)} "
+    f"SELECT id, 'exploit' AS reason FROM best UNION ALL SELECT id, 'uncertain' FROM unsure UNION ALL SELECT id, 'diverse' FROM ({_picks(3)})"
+)
 def acquire_balanced(spark, d):
     rows = fingerprints(spark, d).select("id", "fp", F.get("embedding", F.lit(0)).cast("double").alias("mean"), F.abs(F.get("embedding", F.lit(1))).cast("double").alias("std"))
     return M.acquire_balanced(rows, 12, "fp").select("id", "reason")
@@ -774,17 +798,14 @@ def hit_to_lead(spark, d):
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def streaming_window_counts(spark, d):
     """Daily counts by event type, from the table read as a stream of files."""
-    from ..session import shared_folder
+    from ..session import work_path
     from ..streaming import scoring
-    import uuid
 
     like = read(spark, d, "events")
     stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if not d.startswith("/") else f"{d}/events.parque[t]")
-    name = f"events_{uuid.uuid4().hex}"
-    counted = stream.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    out = counted.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "mean")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/alembiq/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    counted = scoring.counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "1 day")
+    out = scoring.latest(counted, ["start", "end", "event_type"], work_path(spark, "events"), work_path(spark, "events-checkpoint"))
+    return out.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE - min(embedding[1]::DOUBLE) OVER (PARTITION BY label), 9) AS strain FROM embeddings")

@@ -31,3 +31,20 @@ def counts(stream: DataFrame, time: str, by: str, window: str = "1 hour", late:
 def run(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Apply ``transform`` to all that has arrived, append it as Parquet, and stop; a later run goes on where this one ended."""
     return transform(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def latest(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> DataFrame:
+    """What a stream of updated rows (a windowed count, say) holds once all that has arrived is in: the last update of each key.
+
+    Each batch's updates are a folder of Parquet files, named by the batch, so one that is run again replaces its own.
+    """
+    names, kinds = stream.columns, stream.schema
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(kinds.add("batch", "long") if "batch" not in names else kinds).parquet(out)
+    rest = [c for c in names if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest]).select(*names)
