@@ -110,3 +110,44 @@ def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = preference_format(paired(table(spark, sf_dir, "conversations")))
     flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return found.select("chosen_id", "rejected_id", "n_common", "prompt", "chosen_text", flat(F.col("chosen_spans")).alias("chosen_spans"), "rejected_text", flat(F.col("rejected_spans")).alias("rejected_spans"))
+
+
+def _sql() -> str:
+    """The same in SQL: one table a level of pairing, then list functions."""
+    mark = lambda t: f"'{OPEN}' || coalesce({t}.role, '') || chr(10) || coalesce({t}.text, '') || '{CLOSE}' || chr(10)"
+    render = lambda c: f"coalesce(array_to_string(list_transform({c}, lambda t: {mark('t')}), ''), '')"
+    before = lambda c: f"coalesce(list_sum(list_transform({c}[1:i - 1], lambda u: length({mark('u')}))), 0)"
+    head = f"{len(OPEN) + 1}"
+    spans = lambda c: (
+        f"coalesce(array_to_string(list_transform(list_filter(range(1, len({c}) + 1), lambda i: coalesce({c}[i].role = 'assistant', false)), "
+        f"lambda i: CAST({before(c)} + {head} + length({c}[i].role) AS BIGINT) || '-' || CAST({before(c)} + length({mark(f'{c}[i]')}) - 1 AS BIGINT)), ','), '')"
+    )
+    levels, left = [], "k"
+    for n in range(1, 64 // BLOCK_BITS + 2):
+        over = f"OVER (PARTITION BY asked, conv_id >> {min(63, n * BLOCK_BITS)} ORDER BY conv_id)"
+        levels.append(f"l{n} AS (SELECT conv_id, asked, row_number() {over} AS i, lead(conv_id) {over} AS next FROM {left})")
+        levels.append(f"r{n} AS (SELECT conv_id, asked FROM l{n} WHERE i % 2 = 1 AND next IS NULL)")
+        left = f"r{n}"
+    pairs = " UNION ALL ".join(f"SELECT conv_id AS chosen_id, next AS rejected_id FROM l{n} WHERE i % 2 = 1 AND next IS NOT NULL" for n in range(1, 64 // BLOCK_BITS + 2))
+    same = "x[i].role IS NOT DISTINCT FROM y[i].role AND x[i].text IS NOT DISTINCT FROM y[i].text"
+    return f"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(role := role, "text" := "text") ORDER BY turn NULLS FIRST, role NULLS FIRST, "text" NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), k AS (
+  SELECT conv_id, (list_filter(turns, lambda t: coalesce(t.role <> 'system', true)))[1] AS asked FROM c
+), {", ".join(levels)}, p AS ({pairs} UNION ALL SELECT conv_id, NULL FROM {left}), b AS (
+  SELECT p.chosen_id, p.rejected_id, a.turns AS x, r.turns AS y FROM p JOIN c a ON a.conv_id = p.chosen_id LEFT JOIN c r ON r.conv_id = p.rejected_id
+  UNION ALL SELECT NULL, NULL, [struct_pack(role := role, "text" := "text")], NULL FROM conversations WHERE conv_id IS NULL
+), n AS (
+  SELECT *, CASE WHEN y IS NULL THEN coalesce(list_max(list_filter(range(1, len(x) + 1), lambda i: coalesce(x[i].role = 'assistant', false))) - 1, len(x))
+    ELSE coalesce(list_min(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: NOT ({same}))) - 1, least(len(x), len(y))) END AS n FROM b
+), s AS (
+  SELECT chosen_id, rejected_id, n, y IS NULL AS alone, x[1:n] AS same, x[n + 1:] AS x, y[n + 1:] AS y FROM n
+)
+SELECT chosen_id, rejected_id, CAST(n AS INTEGER) AS n_common, {render("same")} AS prompt, {render("x")} AS chosen_text, {spans("x")} AS chosen_spans,
+  CASE WHEN NOT alone THEN {render("y")} END AS rejected_text, CASE WHEN NOT alone THEN {spans("y")} END AS rejected_spans
+FROM s
+"""
+
+
+OP7_SQL = _sql()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op5_decontaminate
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP10_SQL, op10_mixing
-from .preference import op7_preference
+from .preference import OP7_SQL, op7_preference
 from .quality import op3_quality
 from .simhash import op4_simhash
 from .spotsigs import OP9_SQL, op9_spotsigs
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op7_preference": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op9_spotsigs": OP9_SQL,
     "op10_mixing": OP10_SQL,
