@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 PRUNE_RMSD = 0.5
 BOND_BOUNDS = (0.5, 5.0)
 CLASH = 0.5
+#: Van der Waals radii in angstroms (fixed values); others count as carbon.
+RADII = {"H": 1.20, "C": 1.70, "N": 1.55, "O": 1.52, "F": 1.47, "P": 1.80, "S": 1.80, "Cl": 1.75, "Br": 1.85, "I": 1.98}
+#: Step of the grid on which volumes are counted, in angstroms.
+GRID = 0.2
 
 
 def with_strain(df: DataFrame, energy: str = "energy", mol: str = "mol") -> DataFrame:
@@ -48,6 +52,33 @@ def geometry_checks(df: DataFrame, coords: str = "coords", bonds: str | None = N
     return out
 
 
+def volume_of(xyz: np.ndarray, elements: list[str], step: float = GRID) -> float:
+    """Volume of the union of the atoms' spheres, by the grid points inside; 0 without atoms."""
+    if not len(xyz):
+        return 0.0
+    radius = np.array([RADII.get(e, RADII["C"]) for e in elements])
+    low = (xyz - radius[:, None]).min(axis=0)
+    size = np.ceil(((xyz + radius[:, None]).max(axis=0) - low) / step).astype(int) + 1
+    inside = np.zeros(size, bool)
+    for p, r in zip(xyz, radius):  # only the grid points around an atom are looked at
+        a = np.maximum(np.floor((p - r - low) / step).astype(int), 0)
+        b = np.minimum(np.ceil((p + r - low) / step).astype(int) + 1, size)
+        axes = [(np.arange(i, j) * step + low[k] - p[k]) ** 2 for k, (i, j) in enumerate(zip(a, b))]
+        near = axes[0][:, None, None] + axes[1][None, :, None] + axes[2][None, None, :] <= r * r
+        inside[a[0] : b[0], a[1] : b[1], a[2] : b[2]] |= near
+    return float(inside.sum() * step**3)
+
+
+def with_volume(df: DataFrame, coords: str = "coords", elements: str = "elements", out: str = "volume") -> DataFrame:
+    """``df`` with the van der Waals volume of each conformer (arrays of structs x, y, z and of symbols); null where either is null."""
+
+    @F.pandas_udf("double")
+    def of(c: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else volume_of(np.array([[p["x"], p["y"], p["z"]] for p in x], float).reshape(-1, 3), list(y)) for x, y in zip(c, e)], dtype="float64")
+
+    return df.withColumn(out, of(coords, elements))
+
+
 def superposed_rmsd(a: np.ndarray, b: np.ndarray) -> float:
     """Smallest root mean square distance of two equally long point lists over all rotations and shifts (Kabsch)."""
     a, b = a - a.mean(axis=0), b - b.mean(axis=0)
