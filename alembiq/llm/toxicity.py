@@ -7,9 +7,9 @@ to be toxic. Exception phrases cover lexicon words that are harmless in them. Th
 found, over the logarithm of the length, becomes a score through a logistic fit.
 
 Learning counts, for each word beginning, the distinct pairs of neighbouring words it is seen between
-in toxic and in other documents; so copies and near copies of a document count once. A beginning is
-kept where so many toxic contexts could not fall together by chance. Contexts are counted in tables, so
-texts of any length take part.
+in toxic and in other documents; so copies and near copies of a document count once. A beginning, or
+a word as a whole, is kept where so many of its contexts could not be toxic by chance. Contexts are counted
+in tables, so texts of any length take part, and for text with accents, which folding removes, as it stands, too.
 
 Defined results: null and empty texts have no matches and the lowest score; labels of rows whose
 crc32(doc_id) mod 3 is 1 are never read; without labels the seed lexicon and a fixed curve score;
@@ -49,11 +49,14 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 #: Shortest and longest word beginnings that are learned.
 SHORTEST, LONGEST = 4, 12
+#: Contexts in toxic documents that a learned word has at least, and the share of these that it may have in others;
+#: and the chance that any one word is learned that says nothing.
+LEAST, MIXED, CHANCE = 4, 0.25, 0.002
 
 _FOLD = str.maketrans(HOMOGLYPHS)
 _SIGNS = str.maketrans(SUBSTITUTES)
 #: Signs next to letters; an exclamation mark after a word ends it, and stands for no letter.
-_SIGN_RUN = re.compile("(?<=[a-z])[{0}]+|[{1}]+(?=[a-z])".format(*(re.escape("".join(x for x in SUBSTITUTES if x not in end)) for end in ("!", ""))))
+_SIGN_RUN = re.compile(r"(?<=[^\W\d_])[{0}]+|[{1}]+(?=[^\W\d_])".format(*(re.escape("".join(x for x in SUBSTITUTES if x not in end)) for end in ("!", ""))))
 #: Words spelt letter by letter.
 _SPELT = re.compile(r"(?<![^\W_])[a-z](?:[.*_-][a-z]){2,}(?![^\W_])")
 _HIDDEN = re.compile("[̀-ͯ­​-‏⁠﻿]+")
@@ -62,11 +65,11 @@ _NOT_WORD = re.compile(r"[\W_]+")
 _SAME = str.maketrans("l", "i")
 
 
-def fold(text: str | None) -> str:
-    """Folded words, each with a space before it and one space at the end."""
+def fold(text: str | None, strip: bool = True) -> str:
+    """Folded words, each with a space before it and one space at the end; accents stay unless ``strip``."""
     s = (text or "").lower()
     if not s.isascii():
-        s = _HIDDEN.sub("", unicodedata.normalize("NFKD", s)).translate(_FOLD)
+        s = _HIDDEN.sub("", unicodedata.normalize("NFKD" if strip else "NFKC", s)).translate(_FOLD)
     s = _SIGN_RUN.sub(lambda m: m[0].translate(_SIGNS), s)
     s = _SPELT.sub(lambda m: m[0][::2], s)
     return " " + _NOT_WORD.sub(" ", s).strip().translate(_SAME) + " "
@@ -74,59 +77,95 @@ def fold(text: str | None) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Folded word beginnings with weights, exception phrases, and the curve that makes a score of the normalised sum."""
+    """Folded words with weights, exception phrases, and the curve that makes a score of the normalised sum.
+
+    A word stands for all words that begin with it; with ``+`` at its end for longer ones only, and with
+    a space at its end for itself alone. Words with accents are looked for in text that keeps them.
+    """
 
     words: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...] = EXCEPTIONS
     slope: float = 3.0
     intercept: float = -3.0
 
-    def automaton(self) -> ahocorasick.Automaton:
+    def automata(self) -> tuple[ahocorasick.Automaton, ahocorasick.Automaton | None]:
+        """For text without accents, and for text with them (none if no word has any)."""
         if self not in _automata:
             _automata.clear()
-            a = ahocorasick.Automaton()
+            found: list[dict[str, list]] = [{}, {}]
             for word, weight in self.words:
-                a.add_word(f" {word}", (len(word) + 1, weight))
+                longer = word.endswith("+")
+                entry = found[not word.isascii()].setdefault(f" {word.removesuffix('+')}", [len(word) + 1 - longer, 0.0, 0.0])
+                entry[1 + longer] = max(entry[1 + longer], weight)
             for phrase in self.exceptions:
-                a.add_word(fold(phrase), (len(fold(phrase)), None))
-            a.make_automaton()
-            _automata[self] = a
+                found[0][fold(phrase)] = [len(fold(phrase)), None, None]
+            made = []
+            for entries in found:
+                a = ahocorasick.Automaton()
+                for key, value in entries.items():
+                    a.add_word(key, tuple(value))
+                if entries:
+                    a.make_automaton()
+                made.append(a if entries else None)
+            _automata[self] = tuple(made)
         return _automata[self]
 
     def strength(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights over the logarithm of the length, and the number of matches."""
+        plain, accented = self.automata()
         folded = fold(text)
-        ends, spared = {}, []
-        for end, (n, weight) in self.automaton().iter(folded):
-            if weight is None:
-                spared.append((end - n + 1, end))
-            else:
-                start = end - n + 1
-                ends[start] = max(ends.get(start, 0.0), weight)
-        at, total, hits = 0, 0.0, 0
-        for start, weight in sorted(ends.items()):
-            while at < len(spared) and spared[at][1] <= start:
-                at += 1
-            if at < len(spared) and spared[at][0] <= start < spared[at][1]:
-                continue
-            total, hits = total + weight, hits + 1
-        return total / (1 + math.log1p(folded.count(" ") / 200)), hits
-
-
-_automata: dict[Lexicon, ahocorasick.Automaton] = {}
+        weights = _matched(plain, folded)
+        if accented is not None and text and not text.isascii():
+            weights += _matched(accented, fold(text, strip=False))
+        return sum(weights) / (1 + math.log1p(folded.count(" ") / 200)), len(weights)
+
+
+def _matched(automaton: ahocorasick.Automaton | None, folded: str) -> list[float]:
+    """The weight of each word that is found, the largest where several entries fit, and none inside an exception phrase."""
+    if automaton is None:
+        return []
+    ends, spared = {}, []
+    for end, (n, weight, longer) in automaton.iter(folded):
+        start = end - n + 1
+        if weight is None:
+            spared.append((start, end))
+            continue
+        if longer > weight and folded[end + 1] != " ":
+            weight = longer
+        if weight:
+            ends[start] = max(ends.get(start, 0.0), weight)
+    at, out = 0, []
+    for start, weight in sorted(ends.items()):
+        while at < len(spared) and spared[at][1] <= start:
+            at += 1
+        if not (at < len(spared) and spared[at][0] <= start < spared[at][1]):
+            out.append(weight)
+    return out
+
+
+_automata: dict[Lexicon, tuple] = {}
 
 
 def contexts(text: str | None) -> set[tuple[str, int]]:
-    """The first LONGEST letters of each word of SHORTEST letters or more, with the pair of its neighbours as a number."""
-    w = fold(text).split()
-    return {(word[:LONGEST], zlib.crc32(f"{before} {after}".encode())) for before, word, after in zip(["", *w], w, [*w[1:], ""]) if len(word) >= SHORTEST}
+    """The first letters of each word of SHORTEST letters or more, a space at the end of a word of fewer than LONGEST, with the pair of its neighbours as a number.
+
+    Words with accents are given without them and with them.
+    """
+    out = set()
+    for strip in (True, False)[: 1 if (text or "").isascii() else 2]:
+        w = fold(text, strip).split()
+        for before, word, after in zip(["", *w], w, [*w[1:], ""]):
+            if len(word) >= SHORTEST and (strip or not word.isascii()):
+                out.add((f"{word} "[:LONGEST], zlib.crc32(f"{before} {after}".encode())))
+    return out
 
 
 def learned_words(sample: DataFrame) -> dict[str, float]:
-    """Word beginnings of toxic documents, with the logarithm of their odds as weight. ``sample``: text, y.
+    """Words of toxic documents for a lexicon, with the logarithm of their odds as weight. ``sample``: text, y.
 
-    The contexts of whole texts are counted in tables; the driver gets the counts of beginnings that are
-    seen often enough in toxic documents and hardly in others.
+    The contexts of whole texts are counted in tables, for each word and for each beginning of longer
+    words; the driver gets the counts of those that toxic documents hold far more often than chance
+    allows. Of a beginning and its continuations the one that tells most is taken.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,25 +176,41 @@ def learned_words(sample: DataFrame) -> dict[str, float]:
                     yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.int64()), pa.array([y > 0] * len(found[0]))], ["word", "context", "toxic"])
 
     n, n_toxic = sample.agg(F.count("*"), F.count_if(F.col("y") > 0)).first()
-    if not n_toxic:
+    if not n_toxic or n_toxic == n:
         return {}
     words = written(sample.select("text", "y").mapInArrow(released(of), "word string, context long, toxic boolean").distinct(), "toxic-contexts")
-    beginnings = F.transform(F.sequence(F.lit(SHORTEST), F.char_length("word")), lambda i: F.substring("word", F.lit(1), i))
-    each = words.select("context", "toxic", F.explode(beginnings).alias("p"))
+    # A beginning goes on, so the last letters of a word (or its end) are no beginning.
+    ends = F.when(F.col("word").endswith(" "), F.char_length("word") - 2).otherwise(F.char_length("word"))
+    beginnings = F.transform(F.filter(F.sequence(F.lit(SHORTEST), F.greatest(ends, F.lit(SHORTEST))), lambda i: i <= ends), lambda i: F.concat(F.substring("word", F.lit(1), i), F.lit("+")))
+    entries = F.when(F.col("word").endswith(" "), F.array_append(beginnings, F.col("word"))).otherwise(beginnings)
+    each = words.select("context", "toxic", F.explode(entries).alias("p"))
     counted = lambda rows: rows.distinct().groupBy("p").agg(F.count("*").alias("n"))
     seen = written(counted(each.where("toxic").select("p", "context")), "toxic-beginnings")
     share = max(0.02, min(0.5, n_toxic / n))
-    shortest = seen.where(F.char_length("p") == SHORTEST).count()
-    # A beginning is wanted where so many toxic contexts could not fall together by chance.
-    wanted = seen.where(F.col("n") >= max(4, math.ceil(math.log(0.002 / max(1, shortest)) / math.log(share))))
+    wanted = seen.where(F.col("n") >= LEAST)
     clean = counted(each.where("NOT toxic").join(wanted.select("p"), "p", "left_semi").select("p", "context")).withColumnRenamed("n", "clean")
-    found = wanted.join(clean, "p", "left").select("p", "n", F.coalesce("clean", F.lit(0)).alias("clean")).where(F.col("clean") <= 0.02 * F.col("n")).collect()
-    kept, others = {r["p"]: r["n"] for r in found}, {r["p"]: r["clean"] for r in found}
-    # A longer beginning of nearly the same contexts stands for a shorter one.
-    longer = {p[:-1] for p, m in kept.items() if m >= 0.95 * kept.get(p[:-1], math.inf)}
-    out = {p: math.log((m + 0.5) / (others[p] + 0.5)) for p, m in kept.items() if p not in longer}
-    # What a shorter beginning covers needs no entry of its own.
-    return {p: x for p, x in out.items() if not any(p[:i] in out for i in range(SHORTEST, len(p)))}
+    both = wanted.join(clean, "p", "left").select("p", "n", F.coalesce("clean", F.lit(0)).alias("c"))
+    tells = F.col("n") * F.log(F.col("n") / ((F.col("n") + F.col("c")) * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / ((F.col("n") + F.col("c")) * (1 - share)))).otherwise(0.0)
+    limit = math.log(max(1, seen.count()) / CHANCE)
+    found = both.withColumn("tells", tells).where((F.col("c") <= MIXED * F.col("n")) & (F.col("tells") >= limit)).collect()
+    counts, out = {r["p"]: (r["n"], r["c"]) for r in found}, {}
+    following: dict[str, list[str]] = {}  # by all letters but the last one
+    for p in counts:
+        following.setdefault(p[:-2], []).append(p)
+    for r in sorted(found, key=lambda r: (-r["tells"], r["p"])):
+        p, stem = r["p"], r["p"].rstrip("+ ")
+        before = {stem[:i] + "+" for i in range(SHORTEST, len(stem) + (p != stem + "+"))}
+        if before & out.keys() or stem in out or (p.endswith("+") and any(q.startswith(stem) and q != stem + " " for q in out)):
+            continue
+        # A longer beginning of nearly the same contexts stands for a shorter one, down to the word itself.
+        whole = False
+        while p.endswith("+") and (more := [q for q in following.get(p[:-1], []) if counts[q][0] >= 0.95 * counts[p][0]]):
+            p, whole = more[0], more[0].endswith(" ")
+        m, c = counts[p]
+        out[p.rstrip() if whole else p] = math.log((m + 0.5) / (c + 0.5))
+    # An accented word adds nothing to its own letters without accents.
+    bare = lambda p: "".join(x for x in unicodedata.normalize("NFKD", p) if not unicodedata.combining(x))
+    return {p: x for p, x in out.items() if p.isascii() or not any(bare(p).startswith(q.rstrip("+ ")) for q in out if q.isascii())}
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon:

@@ -124,5 +124,5 @@ def test_tables_sum_as_matrices_do(spark):
     views = [Q.View(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), r.normal(0, 0.2, x.shape[1] + 1)) for x in xs]
     a, b = Q.TablePool(table_.repartition(3)), Q.Pool(xs)
     assert (a.histograms(views) == b.histograms(views)).all() and b.histograms(views).sum() == 84
-    cuts = [Q.surest(c, 0.5, 0.5) for c in b.histograms(views)]
+    cuts = [Q.surest(c, 0.5, 0.5, v) for c, v in zip(b.histograms(views), views)]
     assert all(np.allclose(p, q) for p, q in zip(a.gradients(views, views, cuts), b.gradients(views, views, cuts)))
