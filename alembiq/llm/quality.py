@@ -5,7 +5,8 @@ words are formed and repeated. The metadata view sees what is known of the page
 language, source, and the number and lengths of its lines. Each view is a logistic regression. They start
 from the labelled rows; then, for some rounds, each view labels the unlabelled documents it is surest of,
 the surest good and the surest bad ones in proportion, and the *other* view is fitted on them, too.
-Afterwards each view is calibrated on labelled rows that neither was fitted on, and the score of a
+After each round the views are calibrated on labelled rows that neither was fitted on, and the round
+of least loss on these counts, so an exchange that misleads a view is not kept. The score of a
 document is the mean of both calibrated logits, weighted by each view's calibration likelihood.
 
 Labelled rows are a sample of at most MAX_LABELLED. Of the unlabelled ones every distinct text takes part:
@@ -40,7 +41,7 @@ ROUNDS = 4
 SURE = 0.05
 #: Weight of all pseudo-labels of a round over that of all labelled rows, and steps by which they are fitted.
 PSEUDO, STEPS = 0.5, 4
-#: Logits are counted in bins of 1/SCALE between -HALF/SCALE and HALF/SCALE; a pseudo-label needs one beyond LEAST.
+#: Logits are counted in bins of 1/SCALE between -HALF/SCALE and HALF/SCALE; a pseudo-label needs a calibrated one beyond LEAST.
 SCALE, HALF, LEAST = 64, 2048, 2.0
 
 _CLASS = np.zeros(256, np.intp)
@@ -132,12 +133,14 @@ def histograms(views: list[View], xs: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bincount(b, minlength=2 * HALF) for b in bins])
 
 
-def surest(counts: np.ndarray, share: float, good: float) -> tuple[float, float]:
-    """The logits up to which rows are the surest bad ones and from which they are the surest good ones."""
+def surest(counts: np.ndarray, share: float, good: float, view: View) -> tuple[float, float]:
+    """The logits of a view up to which rows are the surest bad ones and from which they are the surest good ones. Calibrated, they must lie beyond LEAST, so a view that says little labels nothing."""
     n = counts.sum()
     low = np.searchsorted(np.cumsum(counts), n * share * (1 - good), side="right") - HALF
     high = HALF - np.searchsorted(np.cumsum(counts[::-1]), n * share * good, side="right")
-    return min(low / SCALE, -LEAST), max(high / SCALE, LEAST)
+    if view.slope <= 0:
+        return -np.inf, np.inf
+    return min(low / SCALE, (-LEAST - view.shift) / view.slope), max(high / SCALE, (LEAST - view.shift) / view.slope)
 
 
 def gradients(views: list[View], sure: list[View], cuts: list[tuple[float, float]], xs: list[np.ndarray]) -> list[np.ndarray]:
@@ -209,23 +212,29 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: Pool | TablePool,
     penalty = [np.append(np.full(z.shape[1] - 1, RIDGE), 1e-6) for z in known]
     # A bound of the curvature, the pseudo-labelled rows taken to spread as the labelled ones: steps by it cannot overshoot.
     curve = [np.linalg.inv(z.T @ z / 4 * (1 + PSEUDO) + np.diag(p)) for z, p in zip(known, penalty)]
+    best = _calibrated(views, [x[calibrate] for x in labelled], y[calibrate])
     for turn in range(1, rounds + 1):
-        cuts = [surest(c, sure * turn, float(y[fit].mean())) for c in pool.histograms(views)]
-        sure_views = [replace(v) for v in views]
+        cuts = [surest(c, sure * turn, float(y[fit].mean()), v) for c, v in zip(pool.histograms(views), views)]
+        labelling = [replace(v) for v in views]
         for _ in range(STEPS):
-            given = pool.gradients(views, sure_views, cuts)
-            if not any(g[-1] for g in given):
-                break
+            given = pool.gradients(views, labelling, cuts)
             for v, z, p, c, g in zip(views, known, penalty, curve, given):
                 weight = PSEUDO * fit.sum() / max(1.0, g[-1])
                 v.coef = v.coef - c @ (z.T @ (sigmoid(z @ v.coef) - y[fit]) + p * v.coef + weight * g[:-1])
-    for k, v in enumerate(views):
-        x, t = v.logit(labelled[k][calibrate]), y[calibrate]
-        if t.min() < t.max():
-            v.slope, v.shift = map(float, logistic(x[:, None], t, ridge=1.0))
-        p = np.clip(sigmoid(v.calibrated(labelled[k][calibrate])), 1e-6, 1 - 1e-6)
-        v.weight = float(1 / max(0.01, -np.mean(t * np.log(p) + (1 - t) * np.log(1 - p))))
-    return CoTrained(views)
+            if not any(g[-1] for g in given):
+                break
+        best = min(best, _calibrated(views, [x[calibrate] for x in labelled], y[calibrate]), key=lambda found: found[0])
+    return CoTrained(best[1])
+
+
+def _calibrated(views: list[View], xs: list[np.ndarray], y: np.ndarray) -> tuple[float, list[View]]:
+    """Calibrate the views on rows that they were not fitted on; the loss of the two together on these, and copies of the views."""
+    loss = lambda p: float(-np.mean(np.log(np.where(y == 1, p, 1 - p).clip(1e-6, 1))))
+    for v, x in zip(views, xs):
+        if y.min() < y.max():
+            v.slope, v.shift = map(float, logistic(v.logit(x)[:, None], y, ridge=1.0))
+        v.weight = 1 / max(0.01, loss(sigmoid(v.calibrated(x))))
+    return loss(CoTrained(views).score(xs)), [replace(v) for v in views]
 
 
 def _vectors(b: pa.RecordBatch) -> list[np.ndarray]:
