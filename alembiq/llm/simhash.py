@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, partitions, table, written
+from .common import LOWER, UPPER, partitions, released, table, text_batches, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -76,7 +76,8 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((simhash(t.as_py(), k) for t in b.column("text")), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    text_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(of), "doc_id long, fp long")
 
 
 def covering(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -177,7 +178,7 @@ def _links(buckets: DataFrame, keys: list[str], free_of: list[list[int]], radius
             yield pd.DataFrame(out, columns=["a", "b"])
 
     dealt = buckets.repartition(partitions(buckets.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(of, "a long, b long")
+    return dealt.mapInPandas(released(of), "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
@@ -222,8 +223,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     before = state(e)
     while before[0]:
-        e = written(step(e, True), "components")
-        e = written(step(e, False), "components")
+        for large in (True, False):
+            e = written(step(e, large), "components", e)
         now = state(e)
         if now == before:
             break

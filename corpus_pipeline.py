@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from alembiq.llm.common import table, work_path, written
 from alembiq.llm.decontaminate import decontaminated
 from alembiq.llm.mixing import mixed_documents
-from alembiq.llm.shingles import deduplicated
+from alembiq.llm.simhash_parts import deduplicated
 from alembiq.llm.token_output import read_shards, write_shards
 from alembiq.llm.toxicity import clean_documents, fit
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as P
-from alembiq.llm import shingles as S
+from alembiq.llm import simhash_parts as S
 
 from .helpers import documents
 
@@ -52,17 +52,47 @@ def test_stage_drops_near_copies(spark):
     assert sorted(x["doc_id"] for x in got.collect()) == want
 
 
-def test_common_shingles_come_last_and_no_pair_is_lost():
+def test_similar_sets_share_a_table_and_pass_the_sketch():
     r = np.random.default_rng(1)
-    for _ in range(300):
-        n = int(r.integers(1, 120))
-        a = np.unique(r.integers(0, 1000, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[r.random(len(a)) > 0.1], r.integers(1000, 2000, 3).astype(np.uint64)]))
-        common = r.permutation(1000)[:300].astype(np.uint64)
+    small, met, all_ = 0, 0, 0
+    for _ in range(1500):
+        n = int(r.integers(1, 60)) if r.random() < 0.5 else int(r.integers(64, 3000))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        drop = int(r.integers(0, n // 9 + 1))
+        b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**64, drop, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 5 * both >= 4 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(S.prefix(a, common), S.prefix(b, common)))
-        assert np.bitwise_count((S.parities(a) ^ S.parities(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * both
+        if 5 * both < 4 * (len(a) + len(b) - both):
+            continue
+        share = len(np.intersect1d(S.tables(a), S.tables(b))) > 0
+        all_, met, small = all_ + 1, met + share, small + (n < S.EXACT and not share)
+        sketches = S.folded([S.sketch(a), S.sketch(b)])
+        assert np.bitwise_count(sketches[0] ^ sketches[1]).sum() <= len(a) + len(b) - 2 * both
+        assert S.bucket_links(np.array([len(a), len(b)]), sketches) == [(0, 1)]
+    assert all_ > 1000 and small <= 2 and met >= 0.997 * all_
+
+
+def test_parts_grow_with_the_set():
+    got = [S.n_parts(n) for n in range(1, 5000)]
+    assert got == sorted(got) and all(p > 2 * n / 9 for n, p in enumerate(got[: S.EXACT - 1], 1))
+
+
+def test_large_buckets_and_failing_links(spark, monkeypatch):
+    """Blocks of two texts, and sketches so short that many links they leave possible fail the exact check."""
+    monkeypatch.setattr(S, "SMALL", 4)
+    monkeypatch.setattr(S, "WORDS", 1)
+    monkeypatch.setattr(S, "sketch", lambda found: np.zeros(1, np.int64))
+    r = random.Random(9)
+    rows, shared = [], [f"s{i}" for i in range(60)]
+    for i in range(40):
+        own = [f"o{i // 2}x{j}" for j in range(r.choice([2, 20, 40]))]
+        rows.append((i, " ".join(shared + own + ([f"e{i}"] if i % 2 else [])), "s"))
+    want = kept(rows)
+    assert 3 < len(want) < 30
+    texts = documents(spark, rows).selectExpr("xxhash64(text) AS key", "text")
+    got = S.components(S.links(texts))
+    roots = {x["node"]: x["root"] for x in got.collect()}
+    keys = {x["doc_id"]: x["k"] for x in documents(spark, rows).selectExpr("doc_id", "xxhash64(text) AS k").collect()}
+    assert len({roots.get(k, k) for k in keys.values()}) == len(want)
 
 
 def test_repeated_ids_lose_no_text(spark):
