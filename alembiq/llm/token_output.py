@@ -23,7 +23,9 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +35,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seekable
-from .common import partitions, table, work_path
+from .common import partitions, released, table, text_batches, work_path
 
 #: Ids a frame holds at least, unless the shard ends.
 FRAME_IDS = 1 << 18
-#: Pieces a worker remembers before it forgets those it has not met since it last forgot some.
-REMEMBERED = 200_000
+#: Bytes of pieces and their ids that a worker remembers before it forgets those it has not met since it last forgot some.
+REMEMBERED = 32 << 20
+#: What Python itself takes for a piece that is remembered, about; and the longest piece that is.
+PIECE_BYTES, LONGEST = 140, 64
 #: Characters that go to the library at once.
 BATCH_CHARS = 1 << 20
 END_ID = 2
 _HEAD = struct.Struct("<BQ")
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 23
+#: Bytes of texts a shard holds on average, at most.
+SHARD_BYTES = 1 << 26
+#: Rows that leave a reader at once.
+READ_ROWS = 1 << 16
 
 
 def vocabulary() -> str:
@@ -66,12 +74,17 @@ class Encoder:
         told = json.loads(self.lib.to_str())
         pre = told.get("pre_tokenizer") or {}
         model = told.get("model") or {}
-        self.by_piece = not told.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not model.get("dropout") and not any(" " in t["content"] for t in told.get("added_tokens", []))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.by_piece = not told.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not model.get("dropout") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in told.get("added_tokens", []))
+        self.forget()
         self.marks = dict(zip(",.", (x.tobytes() for x in self._library([",", "."]))))
         self.starts = np.array([(t or "").startswith("\u0120") for t in map(self.lib.id_to_token, range(self.lib.get_vocab_size()))])
 
+    def forget(self) -> None:
+        """Forget all pieces."""
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         out, i = [], 0
         while i < len(texts):
@@ -108,16 +121,22 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, each as it stands after a space."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED:
+            self.known, self.older, self.held = {}, self.known, 0
         known, older = self.known, self.older
         new = set(pieces).difference(known)
+        before = len(known)
         if older:
             kept = [x for x in new if x in older]
             known.update(zip(kept, map(older.__getitem__, kept)))
             new.difference_update(kept)
         self._learn(new)
-        return list(map(known.__getitem__, pieces))
+        out = list(map(known.__getitem__, pieces))
+        for x in [x for x in new if len(x) > LONGEST]:
+            known.pop(x, None)
+            known.pop(x[:-1], None)
+        self.held += (len(known) - before) * PIECE_BYTES
+        return out
 
     def encode(self, texts: pa.StringArray, end_id: int | None = None) -> list[bytes]:
         """Ids of each text, with an end id if one is given.
@@ -175,6 +194,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Forget what this process's encoders remember of texts."""
+    for e in _encoders.values():
+        e.forget()
+
+
 class ShardWriter:
     """Documents' ids into one shard, in the order given."""
 
@@ -182,11 +207,13 @@ class ShardWriter:
         self.out, self.dtype = seekable.Writer(uri, level=1), dtype
         self.held: list[bytes] = []
         self.n_held = 0
-        self.index: list[tuple[int, bool, int, int]] = []
+        #: doc_id, whether it is null, frame and number of ids of each document.
+        self.index = (array("q"), array("B"), array("I"), array("Q"))
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // self.dtype.itemsize
-        self.index.append((doc_id or 0, doc_id is None, len(self.out.entries), n))
+        for column, value in zip(self.index, (doc_id or 0, doc_id is None, len(self.out.entries), n)):
+            column.append(value)
         self.held.append(ids)
         self.n_held += n
         if self.n_held >= FRAME_IDS:
@@ -199,11 +226,10 @@ class ShardWriter:
 
     def close(self) -> tuple[int, int]:
         self._flush()
-        cols = list(zip(*self.index)) or [(), (), (), ()]
-        n = len(self.index)
-        body = b"".join(np.array(c, t).tobytes() for c, t in zip(cols, ("<i8", "u1", "<u4", "<u8")))
+        n = len(self.index[0])
+        body = b"".join(np.asarray(c).astype(t).tobytes() for c, t in zip(self.index, ("<i8", "u1", "<u4", "<u8")))
         self.out.close(_HEAD.pack(self.dtype.itemsize, n) + body)
-        return n, int(sum(cols[3]))
+        return n, sum(self.index[3])
 
 
 class ShardReader:
@@ -241,23 +267,40 @@ class ShardReader:
             yield None if self.nulls[i] else int(self.doc_ids[i]), int(self.starts[i]), self.ids(i, data)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about GROUP_BYTES of texts, or of one longer text."""
+    held, size = [], 0
+    for b in batches:
+        at = 0
+        for i, n in enumerate(pc.binary_length(b.column("text")).to_pylist()):
+            size += n
+            if size >= GROUP_BYTES:
+                held.append(b.slice(at, i + 1 - at))
+                yield pa.concat_batches(held)
+                held, size, at = [], 0, i + 1
+        if at < b.num_rows:
+            held.append(b.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards: int | None = None, end_id: int = END_ID) -> list[dict]:
-    """Write ``docs`` as shards into ``folder``. Returns a manifest, one entry a shard in order: path, n_docs, n_tokens, start."""
+    """Write ``docs`` as shards into ``folder``. Returns a manifest, one entry a shard in order: path, n_docs, n_tokens, start.
+
+    There are as many shards as shuffle partitions, and more where one would hold over SHARD_BYTES of text.
+    """
     path = path or vocabulary()
+    text_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = encoder(path), None
         part = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{part:06d}.zst"
         try:
-            for b in batches:
-                texts = b.column("text")
-                group = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // GROUP_BYTES
-                cuts = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1).tolist(), b.num_rows]
-                for i, j in zip(cuts, cuts[1:]):
-                    out = out or ShardWriter(uri, enc.dtype)
-                    for d, ids in zip(b.column("doc_id")[i:j].to_pylist(), enc.encode(texts[i:j], end_id)):
-                        out.add(d, ids)
+            for b in _groups(batches):
+                out = out or ShardWriter(uri, enc.dtype)
+                for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"), end_id)):
+                    out.add(d, ids)
         except BaseException:
             if out:
                 out.out.abandon()
@@ -268,8 +311,11 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
-    dealt = rows.repartitionByRange(shards or partitions(docs.sparkSession), order[0]).sortWithinPartitions(*order)
-    found = dealt.mapInArrow(write, "part int, path string, n_docs long, n_tokens long").collect()  # one row a shard
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    dealt = rows.repartitionByRange(shards, order[0]).sortWithinPartitions(*order)
+    found = dealt.mapInArrow(released(write, forget), "part int, path string, n_docs long, n_tokens long").collect()  # one row a shard
     manifest, start = [], 0
     for r in sorted(found, key=lambda r: r["part"]):
         manifest.append({"path": r["path"], "n_docs": r["n_docs"], "n_tokens": r["n_tokens"], "start": start})
@@ -285,11 +331,12 @@ def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist()):
-                rows = [(d, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in ShardReader(uri)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+                rows = ((d, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in ShardReader(uri))
+                while part := list(islice(rows, READ_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], schema=schema)
 
     files = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
-    return files.repartition(max(1, len(manifest))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, len(manifest))).mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
