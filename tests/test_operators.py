@@ -333,3 +333,40 @@ def test_diversity_counts_all_pairs(spark):
     assert abs(got["mean"] - sum(s) / 15) < 1e-12 and got["median"] == sorted(s)[7] and abs(got["diversity"] - 1 + sum(s) / 15) < 1e-12
     assert abs(got["std"] - (sum(x * x for x in s) / 15 - (sum(s) / 15) ** 2) ** 0.5) < 1e-12
     assert P.all_pairs_diversity(df.limit(0), words=1).first()["diversity"] == 1
+
+
+def test_pairs_of_copies_and_blocks(spark, monkeypatch):
+    """Classes, their members and the pairs of rows against all pairs, with blocks of two classes."""
+    import itertools
+    import random
+
+    from alembiq.operators import pairs as P
+
+    monkeypatch.setattr(P, "BLOCK_ROWS", 2)
+    r = random.Random(3)
+    base = [r.getrandbits(20) | 1 for _ in range(25)]
+    rows = [(i, [base[i % 25] if i < 60 else r.getrandbits(20)]) for i in range(80)] + [(80, [0]), (81, None)]
+    df = spark.createDataFrame(rows, "id long, fp array<long>")
+    like = lambda a, b: (a & b).bit_count() / (a | b).bit_count()
+    for t in (0.3, 0.7, 1.0):
+        want = {(i, j): like(x[0], y[0]) for (i, x), (j, y) in itertools.combinations(rows[:80], 2) if like(x[0], y[0]) >= t}
+        assert {(x["a"], x["b"]): x["similarity"] for x in P.similarity_pairs(df, t).collect()} == pytest.approx(want)
+    pairs, members = P.similarity_classes(df, 0.7)
+    assert members.count() == 80 and members.select("class").distinct().count() == len({tuple(x) for _, x in rows[:80]})
+    assert pairs.where("a >= b").count() == 0
+    one = P.diversity(P.similarity_pairs(df, 0.3)).first()
+    values = sorted(x for x in (like(x[0], y[0]) for (_, x), (_, y) in itertools.combinations(rows[:80], 2)) if x >= 0.3)
+    middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+    assert one["n_pairs"] == len(values) and one["median"] == pytest.approx(middle) and one["mean"] == pytest.approx(sum(values) / len(values))
+    assert P.diversity(P.similarity_pairs(df.limit(0), 0.3)).first()["diversity"] == 1
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_screen_scores_rows_that_repeat_an_id(spark, monkeypatch, most):
+    from alembiq.operators import pairs as P
+
+    monkeypatch.setattr(P, "BROADCAST_ROWS", most)
+    library = spark.createDataFrame([(1, [3]), (1, [3]), (1, [1]), (2, [8])], "id long, fp array<long>")
+    references = spark.createDataFrame([(10, [3]), (11, [1])], "id long, fp array<long>")
+    got = sorted((x["id"], x["similarity"]) for x in P.screen_similarity(library, references, 0.1, how="mean").collect())
+    assert got == [(1, 0.75), (1, 0.75), (1, 0.75)]
