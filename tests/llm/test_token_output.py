@@ -78,3 +78,24 @@ def test_plain_decoders_read_the_frames(tmp_path):
     w.close(b"")
     with zstandard.ZstdDecompressor().stream_reader(io.BytesIO((tmp_path / "b.zst").read_bytes()), read_across_frames=True) as f:
         assert f.read() == b"onetwo"
+
+
+def test_a_worker_remembers_little(library, monkeypatch):
+    """Pieces are forgotten beyond the bound, long ones at once, and nothing is left after a task; the ids stay the library's."""
+    monkeypatch.setattr(T, "REMEMBERED", 50 * T.PIECE_BYTES)
+    enc = T.Encoder(T.vocabulary())
+    r = random.Random(1)
+    for _ in range(20):
+        texts = ["a " + " ".join("".join(r.choice("abcdé") for _ in range(r.choice([3, 5, 90]))) + r.choice(["", ",", "."]) for _ in range(30)) for _ in range(3)]
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.known) <= 50 + 180 and max(map(len, enc.known)) <= T.LONGEST
+    enc.forget()
+    assert not enc.known and not enc.older and not enc.held
+
+
+def test_texts_are_encoded_in_groups(monkeypatch):
+    monkeypatch.setattr(T, "GROUP_BYTES", 10)
+    texts = ["abc", "", "defgh", "ij", "k" * 25, "l", "m"]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(a, b)), "text": texts[a:b]}) for a, b in ((0, 2), (2, 3), (3, 7))]
+    groups = list(T._groups(iter(batches)))
+    assert [x for g in groups for x in g.column("text").to_pylist()] == texts and [g.num_rows for g in groups] == [4, 1, 2]
