@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from alembiq.plans.queries import ORACLES, QUERIES
@@ -31,13 +32,108 @@ def shown(v):
         return str(v)
 
 
+def _molecules():
+    from alembiq.chem.kernel import read
+    from alembiq.plans.queries import MOLECULES
+
+    return {name: m for name, smiles in MOLECULES if (m := read(smiles)) is not None}
+
+
+def _points():
+    rows = duckdb.execute(f"SELECT vec_id, label, embedding FROM '{SF}/embeddings.parquet'").fetchall()
+    return {v: (label, np.array(e[:3], float)) for v, label, e in rows}
+
+
+def _sound(rows, parents):
+    """New molecules: readable, canonical, each once, and none of the parents."""
+    from alembiq.chem.graph import canonical, parse
+
+    known = {canonical(m) for m in _molecules().values()}
+    smiles = [r["smiles"] for r in rows]
+    assert len(set(smiles)) == len(smiles) and all(canonical(parse(x)) == x for x in smiles)
+    assert not parents or not known & set(smiles)
+
+
+def _similarity(rows):
+    from alembiq.chem.kernel import circular_bits
+
+    bits = {k: set(circular_bits(m)) for k, m in _molecules().items()}
+    want = {(a, b): len(bits[a] & bits[b]) / len(bits[a] | bits[b]) for a in bits for b in bits if a < b}
+    assert {(r["a"], r["b"]): r["similarity"] for r in rows} == pytest.approx({k: v for k, v in want.items() if v >= 0.1})
+
+
+def _fragments(rows):
+    from collections import Counter
+
+    from alembiq.chem.brics import fragments
+
+    n = Counter(f for m in _molecules().values() for f in set(fragments(m)))
+    found = {tuple(x for x in r if isinstance(x, str))[0]: next(x for x in r if isinstance(x, int)) for r in rows}
+    assert found == {k: v for k, v in n.items() if v >= 2}
+
+
+def _components(rows):
+    at = _points()
+    x = np.array([at[r["vec_id"]][1] for r in rows])
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    for k in (0, 1):
+        got, want = np.array([r[f"pc{k + 1}"] for r in rows]), x @ axes[k]
+        assert min(np.abs(got - want).max(), np.abs(got + want).max()) < 1e-6
+
+
+def _clusters(rows):
+    at = _points()
+    assert sorted(r["cluster"] for r in rows) == list(range(8)) and len({r["vec_id"] for r in rows}) == 8 and all(r["vec_id"] in at for r in rows)
+
+
+def _forest(rows):
+    at = _points()
+    error = np.mean([(r["predicted_activity"] - at[r["vec_id"]][0]) ** 2 for r in rows])
+    labels = [at[r["vec_id"]][0] for r in rows]
+    assert len(rows) < len(at) and error < 1.5 * np.var(labels) and all(min(v[0] for v in at.values()) <= r["predicted_activity"] <= max(v[0] for v in at.values()) for r in rows)
+
+
+def _spread(rows):
+    at = _points()
+    low, high = min(v[0] for v in at.values()), max(v[0] for v in at.values())
+    assert {r["vec_id"] for r in rows} == set(at)
+    assert all(low <= r["mean"] <= high and 0 <= r["std"] <= (high - low) / 2 for r in rows) and any(r["std"] > 0 for r in rows)
+
+
+def _ranked(rows):
+    by = sorted(rows, key=lambda r: r["rank"])
+    assert [r["rank"] for r in by] == list(range(1, len(by) + 1)) and all(a["composite_score"] >= b["composite_score"] for a, b in zip(by, by[1:]))
+
+
+def _profile(rows):
+    from alembiq.chem.kernel import properties
+
+    mols = _molecules()
+    assert {r["name"] for r in rows} == set(mols)
+    for r in rows:
+        p = properties(mols[r["name"]])
+        if "." not in r["name"] and r["name"] != "sodium propionate":
+            assert r["lipinski_pass"] == (sum([p["MolWt"] > 500, p["LogP"] > 5, p["HBD"] > 5, p["HBA"] > 10]) <= 1)
+        assert r["admet_class"] == ("favorable" if r["admet_score"] >= 0.7 else "moderate" if r["admet_score"] >= 0.4 else "poor")
+
+
+#: What holds of the results of queries that SQL cannot state.
+CHECKS = {
+    "generate_mutants": lambda rows: _sound(rows, False), "generate_decorated": lambda rows: _sound(rows, False), "generate_recombined": lambda rows: _sound(rows, True),
+    "molecule_similarity": _similarity, "fragment_counts": _fragments, "principal_components": _components, "cluster_diversity": _clusters, "random_forest_predictions": _forest, "hit_to_lead": _ranked, "molecule_profile": _profile,
+    "ensemble_uncertainty": _spread,
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
-    got = sorted(tuple(shown(r[c]) for c in names) for r in df.collect())
+    rows = df.collect()
+    got = sorted(tuple(shown(r[c]) for c in names) for r in rows)
     if name not in ORACLES:
         assert got
+        CHECKS[name](rows)
         return
     res = duck.execute(ORACLES[name])
     cols = [c[0] for c in res.description]
