@@ -55,24 +55,43 @@ LEAST, MIXED, CHANCE = 4, 0.25, 0.002
 
 _FOLD = str.maketrans(HOMOGLYPHS)
 _SIGNS = str.maketrans(SUBSTITUTES)
-#: Signs next to letters; an exclamation mark after a word ends it, and stands for no letter.
-_SIGN_RUN = re.compile(r"(?<=[^\W\d_])[{0}]+|[{1}]+(?=[^\W\d_])".format(*(re.escape("".join(x for x in SUBSTITUTES if x not in end)) for end in ("!", ""))))
-#: Words spelt letter by letter.
-_SPELT = re.compile(r"(?<![^\W_])[a-z](?:[.*_-][a-z]){2,}(?![^\W_])")
+_SIGN_RUN = re.compile("[" + re.escape("".join(SUBSTITUTES)) + "]+")
+#: An exclamation mark after a word ends it, and stands for no letter.
+_END_SIGNS = str.maketrans({k: v for k, v in SUBSTITUTES.items() if k != "!"})
+#: Words spelt letter by letter, and what every text that holds one has.
+_SPELT, _SPELT_PART = re.compile(r"(?<![^\W_])[a-z](?:[.*_-][a-z]){2,}(?![^\W_])"), re.compile("[.*_-][a-z][.*_-]")
 _HIDDEN = re.compile("[̀-ͯ­​-‏⁠﻿]+")
 _NOT_WORD = re.compile(r"[\W_]+")
 #: 1, i and l stand for each other.
 _SAME = str.maketrans("l", "i")
 
 
-def fold(text: str | None, strip: bool = True) -> str:
-    """Folded words, each with a space before it and one space at the end; accents stay unless ``strip``."""
+def _letters(m: re.Match) -> str:
+    """A run of signs as letters, if it stands next to one."""
+    s, (a, b) = m.string, m.span()
+    if b < len(s) and s[b].isalpha():
+        return m[0].translate(_SIGNS)
+    return m[0].translate(_END_SIGNS) if a and s[a - 1].isalpha() else m[0]
+
+
+def folds(text: str | None) -> tuple[str, str | None]:
+    """Folded words, each with a space before it and one space at the end: without accents, and with them (null if there is none)."""
     s = (text or "").lower()
-    if not s.isascii():
-        s = _HIDDEN.sub("", unicodedata.normalize("NFKD" if strip else "NFKC", s)).translate(_FOLD)
-    s = _SIGN_RUN.sub(lambda m: m[0].translate(_SIGNS), s)
-    s = _SPELT.sub(lambda m: m[0][::2], s)
-    return " " + _NOT_WORD.sub(" ", s).strip().translate(_SAME) + " "
+    plain = s.isascii()
+    if not plain:
+        s = _HIDDEN.sub("", unicodedata.normalize("NFKC", s)).translate(_FOLD)
+    s = _SIGN_RUN.sub(_letters, s)
+    if _SPELT_PART.search(s):
+        s = _SPELT.sub(lambda m: m[0][::2], s)
+    s = " " + _NOT_WORD.sub(" ", s).strip().translate(_SAME) + " "
+    if plain or s.isascii():
+        return s, None
+    return _HIDDEN.sub("", unicodedata.normalize("NFKD", s)).translate(_FOLD).translate(_SAME), s
+
+
+def fold(text: str | None) -> str:
+    """Folded words without accents."""
+    return folds(text)[0]
 
 
 @dataclass(frozen=True)
@@ -113,10 +132,10 @@ class Lexicon:
     def strength(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights over the logarithm of the length, and the number of matches."""
         plain, accented = self.automata()
-        folded = fold(text)
+        folded, kept = folds(text)
         weights = _matched(plain, folded)
-        if accented is not None and text and not text.isascii():
-            weights += _matched(accented, fold(text, strip=False))
+        if accented is not None and kept is not None:
+            weights += _matched(accented, kept)
         return sum(weights) / (1 + math.log1p(folded.count(" ") / 200)), len(weights)
 
 
@@ -152,10 +171,11 @@ def contexts(text: str | None) -> set[tuple[str, int]]:
     Words with accents are given without them and with them.
     """
     out = set()
-    for strip in (True, False)[: 1 if (text or "").isascii() else 2]:
-        w = fold(text, strip).split()
+    folded, kept = folds(text)
+    for words in (folded, kept or ""):
+        w = words.split()
         for before, word, after in zip(["", *w], w, [*w[1:], ""]):
-            if len(word) >= SHORTEST and (strip or not word.isascii()):
+            if len(word) >= SHORTEST and (words is folded or not word.isascii()):
                 out.add((f"{word} "[:LONGEST], zlib.crc32(f"{before} {after}".encode())))
     return out
 
