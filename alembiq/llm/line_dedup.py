@@ -159,7 +159,7 @@ HOT = 10_000
 
 
 def dropped_keys(lines: DataFrame, repeats: DataFrame) -> DataFrame:
-    """doc_id, drops: the keys each document loses, in DROP_PARTS arrays by their first hash, so that a line is looked up in one of them.
+    """doc_id, drops: the keys each document loses, in one array, or in DROP_PARTS by their first hash where they are more than that, so that a line is looked up among few.
 
     A key's holders are spread over all tasks that read them: keys held by more than 1/HOT of the
     rows are at most HOT keys and are broadcast; the others meet their holders by a merge join, where
@@ -172,18 +172,18 @@ def dropped_keys(lines: DataFrame, repeats: DataFrame) -> DataFrame:
     by_hot = lines.join(F.broadcast(hot), list(KEY)).where(lost).select("doc_id", *KEY)
     by_cold = lines.join(cold, list(KEY)).where(lost).select("doc_id", *KEY)
     each = by_hot.unionByName(by_cold).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("keys"))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(DROP_PARTS - 1)), lambda i: F.filter("keys", lambda k: _drop_part(k["h1"]) == i))
-    return each.select("doc_id", parts.alias("drops"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(DROP_PARTS - 1)), lambda i: F.filter("keys", lambda k: _drop_part(k["h1"], F.lit(DROP_PARTS)) == i))
+    return each.select("doc_id", F.when(F.size("keys") > DROP_PARTS, parts).otherwise(F.array("keys")).alias("drops"))
 
 
-def _drop_part(h1: Column) -> Column:
-    return F.pmod(h1, F.lit(DROP_PARTS)).cast("int")
+def _drop_part(h1: Column, parts: Column) -> Column:
+    return F.pmod(h1, parts).cast("int")
 
 
 def _dropped(key: Column) -> Column:
     """Whether ``drops`` has the key; null keys are never dropped."""
     h1, h2 = F.xxhash64(key), F.xxhash64(F.lit("line"), key)
-    return key.isNotNull() & F.array_contains(F.get("drops", _drop_part(h1)), F.struct(h1.alias("h1"), h2.alias("h2")))
+    return key.isNotNull() & F.array_contains(F.get("drops", _drop_part(h1, F.size("drops"))), F.struct(h1.alias("h1"), h2.alias("h2")))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
