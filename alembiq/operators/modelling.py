@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import number
 from ..session import checkpointed
+from .diverse import maxmin_coreset, maxmin_pick  # noqa: F401
 from .running import running_sum
 from .statistics import correlation
 
@@ -230,30 +231,6 @@ def acquire_balanced(df: DataFrame, n: int, fp: str, exploration: float = 0.5, m
     return df.join(taken, id_)
 
 
-def maxmin_pick(df: DataFrame, n: int, id_: str = "id", fp: str = "fp") -> DataFrame:
-    """Greedy farthest-first picks by Tanimoto distance, from the smallest id on: id and turn.
-
-    Each turn updates every row's distance to its nearest pick and takes the row of the largest one:
-    one pass and one row to the driver a pick. Every 20 turns the state is written to the shared folder.
-    """
-    from ..functions import similarity as S
-
-    spark = df.sparkSession
-    state = checkpointed(df.where(F.col(fp).isNotNull()).select(id_, F.col(fp).alias("f"), S.popcount(F.col(fp)).alias("c"), F.lit(2.0).alias("d")), "maxmin")
-    picks = []
-    row = state.orderBy(id_).first()
-    while row is not None and len(picks) < n:
-        picks.append((row[id_], len(picks)))
-        other = F.array(*[F.lit(x) for x in row["f"]])
-        common = S.common_bits(F.col("f"), other)
-        near = 1 - S.tanimoto(common, F.col("c"), F.lit(row["c"]))
-        state = state.withColumn("d", F.when(F.col(id_) == row[id_], F.lit(-1.0)).otherwise(F.least("d", near)))
-        if len(picks) % 20 == 0:
-            state = checkpointed(state, "maxmin")
-        row = state.where("d >= 0").orderBy(F.col("d").desc(), id_).first()
-    return spark.createDataFrame(picks, f"{id_} {df.schema[id_].dataType.simpleString()}, turn int")
-
-
 def cluster_pick(df: DataFrame, n: int, vector: str = "features", id_: str = "id", seed: int = 42) -> DataFrame:
     """The row nearest each of ``n`` k-means centres."""
     from pyspark.ml.clustering import KMeans

@@ -11,6 +11,7 @@ from .. import constants as K
 from ..functions import similarity as S
 from ..functions.geometry import distance, point
 from ..session import checkpointed
+from .prefix import Prefixes, similar, size_pairs
 
 #: References broadcast at most; beyond it pairs meet through bands of set-bit counts.
 BROADCAST_ROWS = 20_000
@@ -22,19 +23,34 @@ def _counted(df: DataFrame, id_: str, fp: str, names: Sequence[str], words: int
     return df.where(F.col(fp).isNotNull()).select(F.col(id_).alias(names[0]), F.col(fp).alias(names[1]), S.popcount(F.col(fp), words).alias(names[2]))
 
 
-def similarity_classes(df: DataFrame, threshold: float, id_: str = "id", fp: str = "fp", words: int | None = None) -> tuple[DataFrame, DataFrame]:
+def similarity_classes(df: DataFrame, threshold: float, id_: str = "id", fp: str = "fp", words: int | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, similarity) of classes whose Tanimoto similarity is at least ``threshold`` (> 0), and members (class, id).
 
-    Equal fingerprints are one class, named by its smallest id; copies are never expanded. Exact and
-    pruned: similarity t needs t*na <= nb <= na/t set bits, so counts are dealt into bands that grow by
-    1/t, and a class meets only its own band and the next. A band is compared in pairs of blocks of about
-    BLOCK_ROWS classes, dealt by a hash, so a band that holds most classes is no single key.
+    Equal fingerprints are one class, named by its smallest id; copies are never expanded. Two ways to the same
+    pairs, both exact: "prefix" meets classes that share one of their rarest bits (``prefix``), "band" those
+    whose numbers of set bits allow the similarity. Without ``by`` the one in which fewer rows meet is taken, as
+    counted: sparse fingerprints share few rare bits, dense ones, whose bits are all frequent, share some in any case.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
     rows = checkpointed(_counted(df, id_, fp, ("id", "f", "n"), words).where("n > 0"), "pairs")
     classes = checkpointed(rows.groupBy("f", "n").agg(F.min("id").alias("class")), "pairs")
     members = rows.join(classes.select("f", "class"), "f").select("class", "id")
+    if by == "band":
+        return _banded(classes, threshold, words), members
+    found = Prefixes(classes, threshold, words)
+    if by is None and found.meetings() > size_pairs(classes, threshold):
+        return _banded(classes, threshold, words), members
+    return similar(classes, checkpointed(found.candidates(), "candidates"), threshold, words), members
+
+
+def _banded(classes: DataFrame, threshold: float, words: int | None) -> DataFrame:
+    """Pairs by bands of set-bit counts.
+
+    Similarity t needs t*na <= nb <= na/t set bits, so counts are dealt into bands that grow by
+    1/t, and a class meets only its own band and the next. A band is compared in pairs of blocks of about
+    BLOCK_ROWS classes, dealt by a hash, so a band that holds most classes is no single key.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold + 1e-9)) + 1e-9) if threshold < 1 else F.col("n")
     banded = classes.withColumn("band", band)
     # One row a band, and there are at most as many as the logarithm of the bits (threshold 1: as the bits).
@@ -47,16 +63,15 @@ def similarity_classes(df: DataFrame, threshold: float, id_: str = "id", fp: str
     fits = F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold
     common = S.common_bits(F.col("fx"), F.col("fy"), words)
     met = left.join(right, ["band", "block"]).where(once & fits).withColumn("similarity", S.tanimoto(common, F.col("nx"), F.col("ny")))
-    pairs = met.where(F.col("similarity") >= threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    return pairs, members
+    return met.where(F.col("similarity") >= threshold).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
-def similarity_pairs(df: DataFrame, threshold: float, id_: str = "id", fp: str = "fp", words: int | None = None) -> DataFrame:
+def similarity_pairs(df: DataFrame, threshold: float, id_: str = "id", fp: str = "fp", words: int | None = None, by: str | None = None) -> DataFrame:
     """a < b and their Tanimoto similarity, for all pairs of rows of at least ``threshold`` (> 0); ids must be distinct.
 
     The classes of ``similarity_classes`` are expanded into their members; use those where copies are many.
     """
-    pairs, members = similarity_classes(df, threshold, id_, fp, words)
+    pairs, members = similarity_classes(df, threshold, id_, fp, words, by)
     members = checkpointed(members, "pairs")
     left, right = (members.select(F.col("class").alias(c), F.col("id").alias(i)) for c, i in (("a", "i"), ("b", "j")))
     met = pairs.join(left, "a").join(right, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")

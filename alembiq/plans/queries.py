@@ -19,6 +19,7 @@ from ..operators import curation as C
 from ..operators import modelling as M
 from ..operators import pairs as P
 from ..operators import screening as R
+from ..operators import search
 from ..operators import statistics as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +91,11 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", S.pack_signs(F.col("embedding"), 64).alias("fp"), "embedding")
 
 
+def sparse_codes(spark: SparkSession, d: str) -> DataFrame:
+    """embeddings as codes of 256 bits: place and rank (in pairs) of the 8 largest values."""
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), S.pack_positions(S.ranked_positions(F.col("embedding"), 8, 2), 4).alias("fp"))
+
+
 _FP_SQL = "f AS (SELECT vec_id AS id, label, [x > 0 FOR x IN embedding] AS b, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings)"
 _COMMON = "len([1 FOR i IN range(1, 65) IF {a}.b[i] AND {b}.b[i]])"
 
@@ -311,6 +317,26 @@ def similarity_pairs(spark, d):
     return P.similarity_pairs(fingerprints(spark, d), 0.6, words=1)
 
 
+_SPARSE_SQL = "g AS (SELECT vec_id AS id, list_grade_up([-x::DOUBLE for x in embedding]) AS o FROM embeddings), f AS (SELECT id, [(o[k] - 1) * 4 + (k - 1) // 2 for k in range(1, 9)] AS b FROM g)"
+
+
+@query(f"WITH {_SPARSE_SQL}, s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.b, b.b)) AS c FROM f a JOIN f b ON a.id < b.id) SELECT a, b, c / (16 - c) AS similarity FROM s WHERE c / (16 - c) >= 0.3")
+def similarity_pairs_sparse(spark, d):
+    """Pairs through the rarest bits of codes of 256 bits, 8 of them set."""
+    return P.similarity_pairs(sparse_codes(spark, d), 0.3, words=4, by="prefix")
+
+
+@query(
+    f"WITH {_FP_SQL}, s AS (SELECT q.id AS q, f.id, f.n AS na, q.n AS nb, {_COMMON.format(a='f', b='q')} AS c FROM f, f q WHERE q.id % 20 = 0), "
+    "r AS (SELECT q, id, c / (na + nb - c) AS similarity FROM s) SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, id) AS place FROM r QUALIFY place <= 10"
+)
+def similarity_topk(spark, d):
+    """The ten most similar rows of every 20th row, over a stored index."""
+    fps = fingerprints(spark, d)
+    index = search.Index(spark, search.write_index(fps, words=1), words=1)
+    return index.search(fps.where("id % 20 = 0"), 10)
+
+
 _SCREEN = f"WITH {_FP_SQL}, r AS (SELECT * FROM f WHERE label = 0), s AS (SELECT f.id, f.n AS na, r.n AS nb, {_COMMON.format(a='f', b='r')} AS c FROM f, r) "
 
 
@@ -611,6 +637,12 @@ def maxmin_diversity(spark, d):
     return M.maxmin_pick(fingerprints(spark, d), 12)
 
 
+@query()
+def maxmin_coresets(spark, d):
+    """As many picks by core-sets of eight groups."""
+    return M.maxmin_coreset(fingerprints(spark, d), 12, groups=8)
+
+
 @query(
     f"WITH {_FP_SQL}, v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS m, abs(embedding[2]::DOUBLE) AS s FROM embeddings), best AS MATERIALIZED (SELECT id FROM v ORDER BY m DESC, id LIMIT 6), "
     f"unsure AS MATERIALIZED (SELECT id FROM v WHERE id NOT IN (SELECT id FROM best) ORDER BY s DESC, id LIMIT 3), r AS MATERIALIZED (SELECT * FROM f WHERE id NOT IN (SELECT id FROM best) AND id NOT IN (SELECT id FROM unsure)), {_farthest('r', 3)} "
