@@ -14,8 +14,13 @@ Tables hold distinct texts only. Whatever shares a table's bucket is compared by
 each shingle flips one of at least twice as many bits as the set has shingles, so two sets differ in at
 least as many shingles as their bits differ. A bucket returns a spanning forest of the pairs that the
 sketch leaves possible, never all of them, and these are verified on whole sets; a bucket of which a
-link fails is looked through again for other links between its components. Buckets of more than
-``SMALL`` texts are dealt out in pairs of blocks.
+link fails is looked through again for other links between its components.
+
+Parts may hold nothing but shingles that many texts share (a footer, a licence), and then unlike texts share a bucket. So the
+texts of buckets of more than ``SMALL`` are entered anew, under the rarest n/5 + 1 of their shingles, of which similar
+sets have one in common whatever the order of rarity is; it is counted over all these texts, in ``SLOTS`` slots.
+What still shares a bucket of more than ``SMALL`` is mostly alike: all its texts are compared with one of them, and
+only those that this does not link are dealt out, in pairs of blocks, against one another and the linked.
 
 Defined results: shingles are of lower-cased ASCII words, a text of fewer words is one shingle; null,
 empty and blank texts are copies of one another; a null doc_id ranks after all others; an empty table
@@ -44,6 +49,8 @@ EXACT = 64
 COLLISIONS = 7.0
 #: Texts of a bucket that are compared in one task; larger buckets are dealt out in pairs of half as large blocks.
 SMALL = 2048
+#: Slots in which shingles are counted, to rank them by rarity; a shingle's count is that of its slot.
+SLOTS = 1 << 20
 #: 64-bit words of a sketch at least.
 WORDS = 16
 
@@ -241,14 +248,69 @@ def _bucket_links(rows: DataFrame, again: bool) -> DataFrame:
     return dealt.mapInArrow(released(of), "h long, a long, b long")
 
 
-def _grouped(shared: DataFrame) -> DataFrame:
-    """``shared`` (h, key, size) with the group g that compares a row: its bucket, or each pair of blocks that holds its block."""
-    small = shared.where(F.col("size") <= SMALL).withColumn("g", F.col("h"))
-    blocks = F.ceil(F.col("size") * 2 / SMALL).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    large = shared.where(F.col("size") > SMALL).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.withColumn("g", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
-    return small.unionByName(large)
+def rarest(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set that come first by rarity, so many that two similar sets have one of them in common."""
+    num, den = SIMILARITY
+    by = np.lexsort((found, counts[(found >> np.uint64(20)) & np.uint64(SLOTS - 1)]))
+    return found[by[: len(found) - -(-len(found) * num // den) + 1]]
+
+
+def _refined(texts: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """h, key: the texts of ``keys`` entered under their rarest shingles."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for part in _slices(batches, 500, 1 << 20):
+            for t in part.column("text"):
+                np.add.at(total, (shingle_set(t.as_py(), k) >> np.uint64(20)) & np.uint64(SLOTS - 1), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)], pa.int32()), pa.array(total[at[i : i + (1 << 16)]], pa.int64())], ["slot", "n"])
+
+    text_batches(texts.sparkSession)
+    whole = texts.join(few(keys), "key", "left_semi").select("key", F.col("text").cast("string").alias("text"))
+    counted = whole.select("text").mapInArrow(released(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches, 500, 1 << 20):
+            rows = [rarest(shingle_set(t.as_py(), k), counts).view(np.int64) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(rows, pa.list_(pa.int64()))], ["key", "h"])
+
+    return whole.mapInArrow(released(enter), "key long, h array<long>").dropDuplicates(["key"]).select(F.explode("h").alias("h"), "key")
+
+
+def _starred(large: DataFrame) -> DataFrame:
+    """h, a, b: in each bucket of ``large`` (h, key, n, sketch), links of one text with those that the sketch leaves possible."""
+    num, den = SIMILARITY
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n, m = t.column("n").to_numpy(), t.column("m").to_numpy()
+            near = np.flatnonzero((np.abs(n - m) * (num + den) <= (den - num) * (n + m)) & (t.column("key").to_numpy() != t.column("a").to_numpy()))
+            pairs = ((t.column("sketch")[i].values.to_numpy(), t.column("other")[i].values.to_numpy()) for i in near.tolist())
+            differ = np.array([int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in pairs], np.int64)
+            yield t.take(near[_possible(n[near], m[near], differ)]).select(["h", "a", "key"])
+
+    pivots = large.groupBy("h").agg(F.min(F.struct("key", "n", "sketch")).alias("p")).select("h", F.col("p.key").alias("a"), F.col("p.n").alias("m"), F.col("p.sketch").alias("other"))
+    met = large.join(few(written(pivots, "near-pivots")), "h").select("h", "key", "n", "sketch", "a", "m", "other")
+    return met.mapInArrow(released(of), "h long, a long, key long").withColumnRenamed("key", "b")
+
+
+def _dealt(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """``large`` with the group g that compares a row: each pair of blocks of its bucket of which not both hold texts ``linked`` (h, key) to its pivot."""
+    rows = large.join(linked.withColumn("near", F.lit(True)), ["h", "key"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    blocks = lambda n: F.ceil(n * 2 / SMALL).cast("int")
+    sizes = written(rows.groupBy("h").agg(blocks(F.count_if(~F.col("near"))).alias("far_blocks"), blocks(F.count_if("near")).alias("near_blocks")), "near-blocks")
+    rows = rows.join(few(sizes), "h").where("far_blocks > 0")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.col(n))).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    far, near = rows.where("NOT near").withColumn("own", own("far_blocks")), rows.where("near").withColumn("own", own("near_blocks"))
+    among = far.withColumn("other", F.explode(each("far_blocks"))).withColumn("g", F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
+    across = far.where("near_blocks > 0").withColumn("other", F.explode(each("near_blocks"))).withColumn("g", F.xxhash64("h", F.lit(-1), "own", "other"))
+    linked = near.withColumn("other", F.explode(each("far_blocks"))).withColumn("g", F.xxhash64("h", F.lit(-1), "other", "own"))
+    return among.unionByName(across).unionByName(linked).select("g", "h", "key", "n", "sketch")
 
 
 def _both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -281,24 +343,41 @@ def links(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     """a, b: links enough to connect all texts (columns key, text) that similar pairs connect."""
     rows = written(entered(texts, k), "near-entered")
     keyed = rows.select("key", F.explode("tables").alias("h"))
-    sizes = keyed.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(_grouped(keyed.join(sizes, "h")), "near-buckets")
-    sketched = written(shared.join(rows.select("key", "n", "sketch"), "key"), "near-sketched", shared)
-    remove_written(rows)
-    first = written(_bucket_links(sketched.select("g", "h", "key", "n", "sketch"), False), "near-links")
+    sizes = written(keyed.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "near-sizes")
+    shared = keyed.join(sizes, "h")
+    crowded = sizes.where(F.col("size") > SMALL)
+    if not crowded.isEmpty():
+        keys = written(keyed.join(few(crowded), "h", "left_semi").select("key").distinct(), "near-crowded")
+        anew = written(_refined(texts, keys, k), "near-rarest")
+        again = anew.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+        shared = shared.where(F.col("size") <= SMALL).unionByName(anew.join(again, "h").select("h", "key", "size"))
+    sketched = written(shared.join(rows.select("key", "n", "sketch"), "key").select("h", "key", "size", "n", "sketch"), "near-sketched")
+    remove_written(rows, sizes)
+    groups = sketched.where(F.col("size") <= SMALL).select(F.col("h").alias("g"), "h", "key", "n", "sketch")
+    large, stars = sketched.where(F.col("size") > SMALL).select("h", "key", "n", "sketch"), None
+    if not large.isEmpty():
+        near = written(_starred(large), "near-stars")
+        stars = _verified(near.select("a", "b").distinct(), texts, k)
+        held = near.join(stars.where("similar"), ["a", "b"], "left_semi")
+        linked = held.select("h", F.col("b").alias("key")).unionByName(held.select("h", F.col("a").alias("key")).distinct())
+        groups = groups.unionByName(_dealt(large, linked))
+    grouped = written(groups, "near-groups")
+    first = written(_bucket_links(grouped, False), "near-links")
     tried = _verified(first.select("a", "b").distinct(), texts, k)
     found, failed = tried.where("similar").select("a", "b"), tried.where("NOT similar").select("a", "b")
+    if stars is not None:
+        found = found.unionByName(stars.where("similar").select("a", "b"))
     if failed.isEmpty():
-        remove_written(sketched, first)
+        remove_written(sketched, grouped, first)
         return found
     # In buckets of which a link failed, every pair between components that is still possible is tried.
     buckets = first.join(failed, ["a", "b"], "left_semi").select("h").distinct()
     bad = failed.groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("bad"))
     roots = components(found).select(F.col("node").alias("key"), "root")
-    once = sketched.join(buckets, "h", "left_semi").join(roots, "key", "left").join(bad, "key", "left")
+    once = grouped.join(buckets, "h", "left_semi").join(roots, "key", "left").join(bad, "key", "left")
     more = _bucket_links(once.select("g", "h", "key", "n", "sketch", F.coalesce("root", "key").alias("root"), "bad"), True)
     more = written(more.select("a", "b").distinct(), "near-links")
-    remove_written(sketched, first)
+    remove_written(sketched, grouped, first)
     return found.unionByName(_verified(more, texts, k).where("similar").select("a", "b"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from alembiq.llm import simhash_parts as S
@@ -100,3 +101,70 @@ def test_repeated_ids_lose_no_text(spark):
     got = S.deduplicated(documents(spark, [(3, a, "s"), (5, a, "s"), (5, b, "s"), (5, b, "s"), (None, b, "s")]))
     assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted([(3, a), (5, b), (None, b)], key=str)
     assert S.deduplicated(documents(spark, [])).count() == 0
+
+
+def planted(r, base, share):
+    """A copy of the words ``base`` whose five-word shingles have a similarity of about ``share`` with its own."""
+    n = len(base)
+    out, spread = list(base), max(1, round((1 - share) / (1 + share) * n / 5))
+    for at in r.sample(range(2, n - 2), spread):
+        out[at] = f"x{r.randrange(10**9)}"
+    return out
+
+
+def crowd(r, n, footer, copies):
+    """Texts of own words and one footer, of some of which near copies of 0.75 to 0.9 follow, and a large group of near copies of one text."""
+    rows = []
+    for _ in range(n):
+        base = [f"w{r.randrange(10**9)}" for _ in range(r.randint(6, 30))] + footer
+        rows.append(base)
+        if r.random() < 0.3:
+            rows.append(planted(r, base, r.uniform(0.75, 0.9)))
+    base = [f"g{i}" for i in range(200)]
+    rows += [planted(r, base, 0.98) for _ in range(copies)]
+    r.shuffle(rows)
+    return [(i, " ".join(w), "s") for i, w in enumerate(rows)]
+
+
+def test_texts_that_share_a_footer_and_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "SMALL", 12)
+    rows = crowd(random.Random(3), 110, [f"footer{i}" for i in range(18)], 60)
+    want = kept(rows)
+    assert 110 < len(want) < len(rows) - 55
+    got = S.deduplicated(documents(spark, rows))
+    assert sorted(x["doc_id"] for x in got.collect()) == want
+
+
+def test_rows_dealt_grow_as_the_texts_that_share_a_footer(spark, monkeypatch):
+    monkeypatch.setattr(S, "SMALL", 64)
+    dealt, old = [], S._bucket_links
+    monkeypatch.setattr(S, "_bucket_links", lambda rows, again: dealt.append(rows.count()) or old(rows, again))
+    footer = " ".join(f"footer{i}" for i in range(18))
+    for n in (1000, 3000):
+        own = F.concat_ws(" ", *[F.hex(F.xxhash64("id", F.lit(i))) for i in range(14)])
+        texts = spark.range(n).select(F.col("id").alias("key"), F.concat(own, F.lit(f" {footer}")).alias("text"))
+        assert S.links(texts).count() == 0
+    assert sum(dealt[1:]) < 6 * max(dealt[0], 500)
+
+
+def test_a_group_of_near_copies_is_not_dealt_in_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "SMALL", 16)
+    dealt, old = [], S._bucket_links
+    monkeypatch.setattr(S, "_bucket_links", lambda rows, again: dealt.append(rows.count()) or old(rows, again))
+    base = [f"g{i}" for i in range(200)]
+    texts = spark.createDataFrame([(i, " ".join([*base[: 3 + i % 190], f"x{i}", *base[4 + i % 190 :]])) for i in range(400)], "key long, text string")
+    assert S.links(texts).count() >= 399
+    assert sum(dealt) < 400 * 40
+
+
+def test_similar_sets_share_a_rarest_shingle():
+    r = np.random.default_rng(2)
+    counts = r.integers(0, 50, S.SLOTS)
+    for _ in range(300):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        drop = int(r.integers(0, len(a) // 9 + 1))
+        b = np.unique(np.concatenate([a[drop:], r.integers(0, 2**64, drop, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(S.rarest(a, counts), S.rarest(b, counts)))
