@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import number
 from ..session import checkpointed
+from . import grams
 from .diverse import maxmin_coreset, maxmin_pick  # noqa: F401
 from .running import running_sum
 from .statistics import correlation
@@ -194,13 +195,9 @@ def y_randomization(df: DataFrame, features: Sequence[str], label: str, id_: str
 
 
 def leverage_domain(train: DataFrame, query: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:
-    """``query`` with leverage and in_domain (leverage <= factor * p / n). The Gram matrix is an aggregate; its pseudo-inverse is p by p."""
-    p = len(columns)
-    cells = [F.sum(F.col(a).cast("double") * F.col(b).cast("double")) for a in columns for b in columns]
-    row = train.agg(F.count("*"), *cells).first()
-    inverse = np.linalg.pinv(np.array(row[1:], float).reshape(p, p))
-    h = reduce(add, [F.col(a).cast("double") * F.col(b).cast("double") * float(inverse[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns)])
-    return query.withColumn("leverage", h).withColumn("in_domain", F.col("leverage") <= factor * p / row[0])
+    """``query`` with leverage and in_domain (leverage <= factor * p / n), null where a value is missing; see ``grams.leverage`` for vectors."""
+    rows = query.withColumn("_x", grams.vector(columns))
+    return grams.leverage(train.select(grams.vector(columns).alias("_x")), rows, "_x", factor).drop("_x")
 
 
 def distance_domain(train: DataFrame, query: DataFrame, columns: Sequence[str], factor: float = 3.0) -> DataFrame:

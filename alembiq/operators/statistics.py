@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,10 +78,74 @@ def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """rho and n over the rows where both are present."""
+    """rho, n and p (of no correlation, two-sided) over the rows where both are present."""
     both = df.select(number(F.col(x)).alias("x"), number(F.col(y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     ranked = average_rank(average_rank(both, "x", "rx"), "y", "ry")
-    return ranked.agg(correlation(F.col("rx"), F.col("ry")).alias("rho"), F.count("*").alias("n"))
+    found = ranked.agg(correlation(F.col("rx"), F.col("ry")).alias("rho"), F.count("*").alias("n"))
+    return found.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
+
+
+#: Terms of the series and levels of the continued fraction, and steps to where the asymptotic series of the gamma function holds.
+_TERMS, _LEVELS, _STEPS = 300, 200, 32
+
+
+def _log_gamma_ratio(a: Column) -> Column:
+    """ln Gamma(a + 1/2) - ln Gamma(a), from its asymptotic series at a + _STEPS and the recurrence."""
+    z = a + _STEPS
+    far = F.log(z) / 2 - 1 / (8 * z) + 1 / (192 * z * z * z) - 1 / (640 * z * z * z * z * z)
+    return far + F.aggregate(F.sequence(F.lit(0), F.lit(_STEPS - 1)), F.lit(0.0), lambda s, i: s + F.log((a + i) / (a + i + 0.5)))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation ``r`` of ``n`` pairs where there is none: the regularised incomplete beta function of 1 - r^2 with (n - 2) / 2 and 1 / 2.
+
+    Null for a null ``r`` and for fewer than three pairs. A power series near r = 0, a continued fraction elsewhere.
+    """
+    c, y = (n.cast("double") - 2) / 2, F.least(F.lit(1.0), r * r)
+    front = F.exp(c * F.log1p(-y) + F.log(y) / 2 + _log_gamma_ratio(c) - math.log(math.pi) / 2)
+    term = lambda s, k: F.struct((s["t"] * (c + 0.5 + k) / (1.5 + k) * y).alias("t"), (s["s"] + s["t"]).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(_TERMS)), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), term)["s"]
+
+    def level(s: Column, k: Column) -> Column:
+        """Two steps of the continued fraction, for terms 2k and 2k + 1."""
+        x, out = 1 - y, s
+        even = k * (0.5 - k) * x / ((c + 2 * k - 1) * (c + 2 * k))
+        odd = -(c + k) * (c + 0.5 + k) * x / ((c + 2 * k) * (c + 2 * k + 1))
+        for a in (even, odd):
+            d, e = 1 / (1 + a * out["d"]), 1 + a / out["e"]
+            out = F.struct(d.alias("d"), e.alias("e"), (out["h"] * d * e).alias("h"))
+        return out
+
+    first = 1 / (1 - (c + 0.5) * (1 - y) / (c + 1))
+    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(_LEVELS)), F.struct(first.alias("d"), F.lit(1.0).alias("e"), first.alias("h")), level)["h"]
+    near = y <= F.least(F.lit(0.5), 16 / (c + 16))
+    inside = F.when(y == 0, 1.0).when(y == 1, 0.0).when(near, 1 - 2 * front * series).otherwise(front / c * fraction)
+    return F.when(r.isNotNull() & (n > 2), F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside)))
+
+
+def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0, bandwidth: float | None = None) -> DataFrame:
+    """point, x, density: a Gaussian density estimate over a grid that reaches ``cut`` bandwidths beyond the values.
+
+    The bandwidth is that of Scott's rule unless given. A value is shared between the two grid points next to it
+    (linear binning), so one pass gives the weights of the grid, which the kernel is then summed over, whatever the
+    bandwidth and the number of rows. No result for fewer than two values, or equal ones without a bandwidth.
+    """
+    v = number(F.col(column))
+    n, low, high, std = df.agg(F.count(v), F.min(v), F.max(v), F.stddev_samp(v)).first()
+    h = bandwidth or (std or 0.0) * n ** -0.2 if n > 1 else 0.0
+    if not h:
+        return df.sparkSession.createDataFrame([], "point int, x double, density double")
+    start = low - cut * h
+    step = (high + cut * h - start) / (points - 1)
+    at = (v - start) / step
+    left = F.least(F.floor(at), F.lit(points - 2)).cast("int")
+    shares = F.array(F.struct(left.alias("i"), (1 - (at - left)).alias("w")), F.struct((left + 1).alias("i"), (at - left).alias("w")))
+    # One row a grid point.
+    weights = df.where(v.isNotNull()).select(F.explode(shares).alias("s")).groupBy("s.i").agg(F.sum("s.w").alias("w")).agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("weights"))
+    grid = df.sparkSession.range(0, points, 1, 1).select(F.col("id").cast("int").alias("point")).join(F.broadcast(weights))
+    kernel = lambda s: s["w"] * F.exp(-((F.col("point") - s["i"]) * step / h) * ((F.col("point") - s["i"]) * step / h) / 2)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, s: a + kernel(s))
+    return grid.select("point", (F.lit(start) + F.col("point") * step).alias("x"), (total / (n * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -16,11 +16,13 @@ from ..functions import geometry as G
 from ..functions import rules, scores
 from ..functions import similarity as S
 from ..operators import curation as C
+from ..operators import grams
 from ..operators import modelling as M
 from ..operators import pairs as P
 from ..operators import screening as R
 from ..operators import search
 from ..operators import statistics as T
+from ..operators.kernel import KernelRegression
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,7 +490,28 @@ def histogram(spark, d):
 
 @query("WITH r AS (SELECT (rank() OVER (ORDER BY l_quantity)) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS x, (rank() OVER (ORDER BY l_extendedprice)) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS y FROM lineitem) SELECT round(corr(x, y), 9) AS rho, count(*) AS n FROM r")
 def spearman(spark, d):
-    return T.spearman(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 9))
+    return T.spearman(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("rho", 9).alias("rho"), "n")
+
+
+@query(
+    "WITH r AS (SELECT (rank() OVER (ORDER BY c_acctbal)) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS x, (rank() OVER (ORDER BY c_nationkey)) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS y FROM customer), "
+    "c AS (SELECT corr(x, y) AS rho, count(*) AS n FROM r), t AS (SELECT *, (n - 2)::DOUBLE AS df, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) / 4000 AS step FROM c), "
+    "s AS (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (k * step) * (k * step) / df, -(df + 1) / 2)) AS s FROM range(4001) g(k), t) "
+    "SELECT round(rho, 9) AS rho, n, round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * s * step / 3, 8) AS p FROM t, s"
+)
+def spearman_p(spark, d):
+    """The p-value too; in SQL it is the density of Student's t, integrated in steps."""
+    found = T.spearman(read(spark, d, "customer"), "c_acctbal", "c_nationkey")
+    return found.select(F.round("rho", 9).alias("rho"), "n", F.round("p", 8).alias("p"))
+
+
+@query(
+    "WITH m AS (SELECT count(c_acctbal) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, stddev_samp(c_acctbal) * pow(count(c_acctbal), -0.2) AS h FROM customer), g AS (SELECT *, lo - 3 * h AS start, (hi + 3 * h - (lo - 3 * h)) / 199 AS step FROM m), "
+    "v AS (SELECT (c_acctbal - start) / step AS pos, least(floor((c_acctbal - start) / step), 198) AS i FROM customer, g WHERE c_acctbal IS NOT NULL), w AS (SELECT i, sum(w) AS w FROM (SELECT i, 1 - (pos - i) AS w FROM v UNION ALL SELECT i + 1, pos - i FROM v) GROUP BY i) "
+    "SELECT CAST(k AS INTEGER) AS point, round(any_value(start + k * step), 6) AS x, round(sum(w * exp(-pow((k - i) * step / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 15) AS density FROM range(200) p(k), w, g GROUP BY k"
+)
+def density(spark, d):
+    return T.density(read(spark, d, "customer"), "c_acctbal").select("point", F.round("x", 6).alias("x"), F.round("density", 15).alias("density"))
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
@@ -626,6 +649,55 @@ def leverage_domain(spark, d):
     return M.leverage_domain(rows.where("label < 5"), rows.where("label >= 5"), _DIMS).select("vec_id", F.round("leverage", 7).alias("leverage"), "in_domain")
 
 
+@query()
+def leverage_wide(spark, d):
+    """Leverage of all 64 dimensions."""
+    rows = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return grams.leverage(rows.where("label < 5"), rows.where("label >= 5"), "v").select("vec_id", F.round("leverage", 9).alias("leverage"), "in_domain")
+
+
+_FOLD_SUMS = ", ".join(f"t.{c} - s.{c} AS t{c}" for c in ("n", "a", "b", "y", "aa", "ab", "bb", "ay", "xy"))
+
+
+@query(
+    "WITH z AS (SELECT CAST((((((l_orderkey * 16 + l_linenumber) % 268435456 + 42) * 2654435761) % 4294967296) >> 8) % 5 AS INTEGER) AS fold, l_extendedprice::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) AS y FROM lineitem), "
+    "s AS (SELECT fold, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS xy, sum(y * y) AS yy FROM z GROUP BY fold), "
+    "t AS (SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb, sum(ay) AS ay, sum(xy) AS xy FROM s), "
+    f"d AS (SELECT s.*, {_FOLD_SUMS} FROM s, t), c AS (SELECT *, taa - ta * ta / tn AS caa, tab - ta * tb / tn AS cab, tbb - tb * tb / tn AS cbb, tay - ta * ty / tn AS cay, txy - tb * ty / tn AS cby FROM d), "
+    "w AS (SELECT *, (cay * cbb - cby * cab) / (caa * cbb - cab * cab) AS wa, (cby * caa - cay * cab) / (caa * cbb - cab * cab) AS wb FROM c), m AS (SELECT *, (ty - wa * ta - wb * tb) / tn AS w0 FROM w), "
+    "e AS (SELECT *, yy + w0 * w0 * n + wa * wa * aa + wb * wb * bb - 2 * w0 * y - 2 * wa * ay - 2 * wb * xy + 2 * w0 * wa * a + 2 * w0 * wb * b + 2 * wa * wb * ab AS sse, yy - y * y / n AS sst, "
+    "wa * wa * (aa - a * a / n) + wb * wb * (bb - b * b / n) + 2 * wa * wb * (ab - a * b / n) AS fitted, wa * (ay - a * y / n) + wb * (xy - b * y / n) AS joint FROM m) "
+    "SELECT fold, n, round(1 - sse / sst, 7) AS r2, round(sqrt(sse / n), 3) AS rmse, round(joint / sqrt(fitted * sst), 7) AS pearson FROM e"
+)
+def cross_validation(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("id", F.col("l_orderkey") * 16 + F.col("l_linenumber")).withColumn("net", F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double")))
+    found = grams.cross_validate_linear(rows, ["l_extendedprice", "l_discount"], "net", "id")
+    return found.select("fold", "n", F.round("r2", 7).alias("r2"), F.round("rmse", 3).alias("rmse"), F.round("pearson", 7).alias("pearson"))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, (p_partkey % 7)::DOUBLE AS b, p_retailprice::DOUBLE AS y, (((p_partkey % 268435456) + 42) * 2654435761) % 4294967296 AS h FROM part), r AS (SELECT *, row_number() OVER (ORDER BY h, id) - 1 AS i FROM p), "
+    "k AS (SELECT count(*) AS n FROM p), f AS (SELECT s, n, greatest((s * 15838 + 1) % least(n, 1048576), CASE WHEN (s * 15838 + 1) % least(n, 1048576) = 0 THEN 1 ELSE 0 END) AS m FROM range(1, 6) g(s), k), "
+    "t AS (SELECT s, n, (SELECT min(v) FROM range(10000) x(e), (SELECT m + e AS v) WHERE gcd(v, n) = 1) AS m, s * 7919 % n AS shift FROM f UNION ALL SELECT 0, n, 1, 0 FROM k), "
+    "j AS (SELECT s, r.a, r.b, q.y FROM t, r q JOIN r ON r.i = (q.i * m + shift) % n), c AS (SELECT s, count(*) AS n, corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab FROM j GROUP BY s) "
+    "SELECT CAST(s AS INTEGER) AS shuffle, n, round((ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab), 9) AS r2 FROM c"
+)
+def shuffled_labels(spark, d):
+    """Training scores with the true labels and five shuffles of them, from one scan."""
+    rows = read(spark, d, "part").withColumn("seventh", F.col("p_partkey") % 7)
+    return grams.shuffled_scores(rows, ["p_size", "seventh"], "p_retailprice", "p_partkey", 5).withColumn("r2", F.round("r2", 9))
+
+
+@query()
+def kernel_regression(spark, d):
+    """Held-out rows with predictions of a label that is not linear in the embedding."""
+    v, r = (lambda i: F.col("v")[i]), read(spark, d, "embeddings")
+    rows = r.select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 6).alias("v")).withColumn("y", 10 * v(0) * v(0) + 20 * v(1) * v(2) + v(3))
+    split = M.random_split(rows, "vec_id")
+    model = KernelRegression.fit(split.where("NOT is_test"), "v", "y", features=256, c=10.0, epsilon=0.01)
+    return model.predict(split.where("is_test"), "v").select("vec_id", F.round("y", 9).alias("y"), "predicted_activity")
+
+
 @query(f"WITH {_PTS} SELECT vec_id AS id, round(x + 0.5 * abs(y), 9) AS acquisition FROM p ORDER BY round(x + 0.5 * abs(y), 9) DESC, vec_id LIMIT 20")
 def acquire_ucb(spark, d):
     rows = points(spark, d).select(F.col("vec_id").alias("id"), F.col("x").alias("mean"), F.abs("y").alias("std"))
