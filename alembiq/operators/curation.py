@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.scores import confidence, number, pic50, to_nanomolar
 from ..session import checkpointed, remove_written
-from .running import SMALL, order_statistic
+from .running import order_statistics
 
 
 def filter_relation(df: DataFrame, allowed: Sequence[str] = K.EXACT_RELATIONS, relation: str = "standard_relation") -> DataFrame:
@@ -51,19 +51,16 @@ def outlier_bounds(df: DataFrame, value: str, multiplier: float = K.IQR_MULTIPLI
     """One row: low and high of the log10 fence; null with fewer than four positive values.
 
     Quartiles are the values at positions n/4 and 3n/4 (whole divisions) in order. The logarithms are
-    written once. Up to ``running.SMALL`` of them one aggregate gives both quartiles; beyond it they are found by repeated
-    histograms, so no task collects the column.
+    written once, and the quartiles found by repeated histograms, so no task collects the column.
     """
     logs = df.select(F.log10(F.when(number(F.col(value)) > 0, number(F.col(value)))).alias("x")).where("x IS NOT NULL")
     logs = checkpointed(logs, "outliers")
-    n, q1, q3 = logs.agg(F.count("*").alias("n"), F.min("x"), F.max("x")).first()
+    n, low, high = logs.agg(F.count("*").alias("n"), F.min("x"), F.max("x")).first()
     if n < 4:
         return df.sparkSession.createDataFrame([(None, None)], "low double, high double")
     at = (n // 4, 3 * n // 4)
-    if n <= SMALL:
-        q1, q3 = logs.agg(*[F.expr(f"percentile_disc({(k + 0.5) / n!r}) WITHIN GROUP (ORDER BY x)") for k in at]).first()
-    else:
-        q1, q3 = (order_statistic(logs, "x", k, q1, q3) for k in at)
+    found = order_statistics(logs.select(F.lit("").alias("g"), "x"), {"": at}, {"": (low, high)})
+    q1, q3 = (found["", k] for k in at)
     remove_written(logs)
     spread = multiplier * (q3 - q1)
     return df.sparkSession.createDataFrame([(q1 - spread, q3 + spread)], "low double, high double")

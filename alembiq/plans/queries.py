@@ -39,6 +39,21 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Workings on a few literal molecules, tested like queries but not registered: they read none of the tables.
+EXAMPLES: dict[str, Query] = {}
+EXAMPLE_ORACLES: dict[str, str] = {}
+
+
+def example(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        EXAMPLES[f.__name__] = f
+        if sql:
+            EXAMPLE_ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -768,7 +783,7 @@ def molecules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MOLECULES), "name string, smiles string")
 
 
-@query(
+@example(
     "SELECT * FROM (VALUES ('aspirin', 180.2::DOUBLE, 1, 13), ('caffeine', 194.2, 2, 14), ('ibuprofen', 206.3, 1, 15), ('metformin', 129.2, 0, 9), ('naproxen', 230.3, 2, 17), ('diclofenac', 296.1, 2, 19), ('celecoxib', 381.4, 3, 26), "
     "('atorvastatin', 558.7, 4, 41), ('nicotine', 162.2, 2, 12), ('sodium propionate', 96.1, 0, 6), ('nitrobenzene', 123.1, 1, 9), ('broken', NULL, NULL, NULL)) t(name, \"MolWt\", \"RingCount\", \"HeavyAtomCount\")"
 )
@@ -835,28 +850,28 @@ def library_fragments(spark, d):
     return both.select("id", (F.col("a") & (F.col("cuts") == F.col("a").cast("int") + F.col("b").cast("int"))).alias("first_cut"), (F.col("b") & (F.col("cuts") == F.col("a").cast("int") + F.col("b").cast("int"))).alias("second_cut"))
 
 
-@query("SELECT * FROM (VALUES ('aspirin'), ('ibuprofen'), ('naproxen'), ('diclofenac'), ('atorvastatin')) t(name)")
+@example("SELECT * FROM (VALUES ('aspirin'), ('ibuprofen'), ('naproxen'), ('diclofenac'), ('atorvastatin')) t(name)")
 def substructure_screen(spark, d):
     from ..operators import molecules as X
 
     return X.screen_substructure(molecules(spark), "C(=O)[O;H1]").select("name")
 
 
-@query("SELECT name, CASE WHEN name = 'broken' THEN 'failed' ELSE 'validated' END AS status FROM (VALUES ('aspirin'), ('caffeine'), ('ibuprofen'), ('metformin'), ('naproxen'), ('diclofenac'), ('celecoxib'), ('atorvastatin'), ('nicotine'), ('sodium propionate'), ('nitrobenzene'), ('broken')) t(name)")
+@example("SELECT name, CASE WHEN name = 'broken' THEN 'failed' ELSE 'validated' END AS status FROM (VALUES ('aspirin'), ('caffeine'), ('ibuprofen'), ('metformin'), ('naproxen'), ('diclofenac'), ('celecoxib'), ('atorvastatin'), ('nicotine'), ('sodium propionate'), ('nitrobenzene'), ('broken')) t(name)")
 def molecule_validation(spark, d):
     from ..operators import molecules as X
 
     return X.validate(molecules(spark)).select("name", "status")
 
 
-@query()
+@example()
 def molecule_profile(spark, d):
     from . import workflows as W
 
     return W.score(W.profile(molecules(spark))).select("name", "smiles", "lipinski_pass", "admet_class", "admet_score", "composite_score")
 
 
-@query()
+@example()
 def molecule_similarity(spark, d):
     from ..operators import molecules as X
 
@@ -864,35 +879,35 @@ def molecule_similarity(spark, d):
     return P.similarity_pairs(fps, 0.1, id_="name", words=32)
 
 
-@query()
+@example()
 def generate_mutants(spark, d):
     from ..operators import molecules as X
 
     return X.mutants(molecules(spark), 30)
 
 
-@query()
+@example()
 def generate_decorated(spark, d):
     from ..operators import molecules as X
 
     return X.decorated(molecules(spark), 30)
 
 
-@query()
+@example()
 def generate_recombined(spark, d):
     from ..operators import molecules as X
 
     return X.recombined(molecules(spark), 30)
 
 
-@query()
+@example()
 def fragment_counts(spark, d):
     from ..operators import molecules as X
 
     return T.fragment_library(X.fragment_table(molecules(spark)), "fragments")
 
 
-@query()
+@example()
 def hit_to_lead(spark, d):
     from . import workflows as W
 

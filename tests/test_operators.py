@@ -71,7 +71,7 @@ def test_order_statistic_narrows(spark):
     df = spark.range(3000).select((F.col("id") * F.col("id") % 1009).cast("double").alias("x"))
     values = sorted(float(i * i % 1009) for i in range(3000))
     for k in (0, 750, 1500, 2999):
-        assert Rn.order_statistic(df, "x", k, values[0], values[-1], bins=8, small=5) == values[k]
+        assert Rn.order_statistic(df, "x", k, values[0], values[-1], bins=8, fetched=5) == values[k]
 
 
 def test_labels(spark):
@@ -314,14 +314,16 @@ def test_y_randomization(spark):
     assert r["valid"] and r["original"] > 0.99
 
 
-def test_large_tables_give_the_same_numbers(spark, monkeypatch):
-    df = spark.range(997).select((F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * F.col("id") % 89).cast("double").alias("y"), F.concat(F.lit("g"), (F.col("id") % 50).cast("string")).alias("g"))
-    small = (one(T.spearman(df, "x", "y")), one(T.quartiles(df, "y")), [r.asDict() for r in T.numeric_summary(df, ["x", "y"]).collect()], sorted(map(tuple, M.group_split(df, "g").select("g", "is_test").distinct().collect())))
-    monkeypatch.setattr(Rn, "SMALL", 10)
-    large = (one(T.spearman(df, "x", "y")), one(T.quartiles(df, "y")), [r.asDict() for r in T.numeric_summary(df, ["x", "y"]).collect()], sorted(map(tuple, M.group_split(df, "g").select("g", "is_test").distinct().collect())))
-    assert large[0]["rho"] == pytest.approx(small[0]["rho"]) and large[1] == pytest.approx(small[1]) and large[3] == small[3]
-    for a, b in zip(large[2], small[2]):
-        assert {k: v for k, v in a.items() if k != "property"} == pytest.approx({k: v for k, v in b.items() if k != "property"})
+def test_quantiles_of_several_columns_equal_the_exact_aggregate(spark):
+    df = spark.range(997).select((F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * F.col("id") % 89).cast("string").alias("y"), F.lit(None).cast("double").alias("none"), F.lit(2.5).alias("same"))
+    at = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = Rn.many_quantiles(df, df.columns, at)
+    want = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in at])).alias(c) for c in ("x", "y", "same")]).first()
+    assert all(got[c] == pytest.approx(want[c]) for c in ("x", "y", "same")) and got["none"] == [None] * 5
+    assert Rn.many_quantiles(df.limit(0), ["x"], at) == {"x": [None] * 5}
+    values = sorted(float(i * 37 % 101) for i in range(997))
+    rows = df.select(F.lit("g").alias("g"), "x")
+    assert Rn.order_statistics(rows, {"g": range(0, 997, 83)}, {"g": (0.0, 100.0)}, 4, 3) == {("g", k): values[k] for k in range(0, 997, 83)}
 
 
 def test_diversity_counts_all_pairs(spark):

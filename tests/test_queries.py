@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from alembiq.plans.queries import ORACLES, QUERIES
+from alembiq.plans.queries import EXAMPLE_ORACLES, EXAMPLES, ORACLES, QUERIES
 
 SF = os.environ.get("ALEMBIQ_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -117,25 +117,66 @@ def _profile(rows):
         assert r["admet_class"] == ("favorable" if r["admet_score"] >= 0.7 else "moderate" if r["admet_score"] >= 0.4 else "poor")
 
 
+def _embeddings():
+    rows = duckdb.execute(f"SELECT vec_id, label, embedding FROM '{SF}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+
+
+def _picks(rows):
+    """Farthest-first picks of core-sets lie as far apart as greedy ones over the whole table, but for the factor."""
+    ids, _, e = _embeddings()
+    bits = dict(zip(ids.tolist(), e > 0))
+    far = lambda a, b: 1 - (bits[a] & bits[b]).sum() / (bits[a] | bits[b]).sum()
+    got = [r["id"] for r in sorted(rows, key=lambda r: r["turn"])]
+    whole = [min(bits)]
+    while len(whole) < 12:
+        whole.append(max(bits, key=lambda i: min(far(i, p) for p in whole)))
+    radius = lambda picks: max(min(far(i, p) for p in picks) for i in bits)
+    assert len(set(got)) == 12 and radius(got) <= 4 * radius(whole)
+
+
+def _leverage(rows):
+    ids, label, e = _embeddings()
+    inverse = np.linalg.pinv(e[label < 5].T @ e[label < 5])
+    at = dict(zip(ids.tolist(), e))
+    assert {r["vec_id"] for r in rows} == set(ids[label >= 5].tolist())
+    for r in rows:
+        h = at[r["vec_id"]] @ inverse @ at[r["vec_id"]]
+        assert r["leverage"] == pytest.approx(h, rel=1e-6, abs=1e-8) and r["in_domain"] == bool(h <= 3 * 64 / (label < 5).sum())
+
+
+def _kernel(rows):
+    ids, _, e = _embeddings()
+    y = dict(zip(ids.tolist(), 10 * e[:, 0] ** 2 + 20 * e[:, 1] * e[:, 2] + e[:, 3]))
+    held = {r["vec_id"] for r in rows}
+    inside = np.array([i in held for i in ids.tolist()])
+    a, t = np.hstack([np.ones((len(e), 1)), e[:, :6]]), np.array([y[i] for i in ids.tolist()])
+    line = a[inside] @ np.linalg.lstsq(a[~inside], t[~inside], rcond=None)[0]
+    by = {r["vec_id"]: r["predicted_activity"] for r in rows}
+    error = np.mean([(by[i] - y[i]) ** 2 for i in held])
+    assert all(abs(r["y"] - y[r["vec_id"]]) < 1e-6 for r in rows) and error < 0.5 * np.mean((line - t[inside]) ** 2)
+
+
 #: What holds of the results of queries that SQL cannot state.
 CHECKS = {
     "generate_mutants": lambda rows: _sound(rows, False), "generate_decorated": lambda rows: _sound(rows, False), "generate_recombined": lambda rows: _sound(rows, True),
     "molecule_similarity": _similarity, "fragment_counts": _fragments, "principal_components": _components, "cluster_diversity": _clusters, "random_forest_predictions": _forest, "hit_to_lead": _ranked, "molecule_profile": _profile,
-    "ensemble_uncertainty": _spread,
+    "ensemble_uncertainty": _spread, "maxmin_coresets": _picks, "leverage_wide": _leverage, "kernel_regression": _kernel,
 }
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted({**QUERIES, **EXAMPLES}))
 def test_query(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+    df = {**QUERIES, **EXAMPLES}[name](spark, SF)
+    oracles = {**ORACLES, **EXAMPLE_ORACLES}
     names = sorted(df.columns)
     rows = df.collect()
     got = sorted(tuple(shown(r[c]) for c in names) for r in rows)
-    if name not in ORACLES:
+    if name not in oracles:
         assert got
         CHECKS[name](rows)
         return
-    res = duck.execute(ORACLES[name])
+    res = duck.execute(oracles[name])
     cols = [c[0] for c in res.description]
     assert sorted(cols) == names
     assert got == sorted(tuple(shown(r[cols.index(c)]) for c in names) for r in res.fetchall())
