@@ -927,6 +927,19 @@ def streaming_window_counts(spark, d):
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("mean", 6).alias("mean"))
 
 
+@query(ORACLES["dedup_median"])
+def dedup_stream(spark, d):
+    """``dedup_median`` of the table as it arrives, the medians and best records kept as state."""
+    from ..session import work_path
+    from ..streaming import curation
+
+    like = read(spark, d, "lineitem")
+    stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 16).parquet(f"{d}/lineitem.parquet" if not d.startswith("/") else f"{d}/lineitem.parque[t]")
+    rows = stream.select("l_partkey", F.col("l_extendedprice").alias("value"), F.col("l_tax").alias("confidence_score"), "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_extendedprice").alias("price"))
+    out = curation.curated(rows, "l_partkey", work_path(spark, "curated"), work_path(spark, "curated-checkpoint"), "value", ("l_orderkey", "l_linenumber", "l_suppkey", "price"))
+    return out.select("l_partkey", "value", "n_measurements", "l_orderkey", "l_suppkey")
+
+
 @query("SELECT vec_id, round(embedding[1]::DOUBLE - min(embedding[1]::DOUBLE) OVER (PARTITION BY label), 9) AS strain FROM embeddings")
 def strain_energy(spark, d):
     from ..operators import conformers as Y
