@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.scores import number
 from . import running
+from .membership import occurring
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], sample: bool = False) -> DataFrame:
@@ -177,7 +178,7 @@ def generation_metrics(generated: DataFrame, reference: DataFrame | None = None,
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     out = rows.select("n", rate("n_valid", "n").alias("validity"), rate("n_distinct", "n_valid").alias("uniqueness"), "n_valid")
     if reference is not None:
-        new = generated.where(F.col(smiles).isNotNull()).join(reference.select(smiles).where(F.col(smiles).isNotNull()).distinct(), smiles, "left_anti").agg(F.count("*").alias("n_new"))
+        new = generated.where(F.col(smiles).isNotNull()).join(occurring(reference, generated, smiles), smiles, "left_anti").agg(F.count("*").alias("n_new"))
         out = out.crossJoin(new).withColumn("novelty", rate("n_new", "n_valid")).drop("n_new")
     return out.drop("n_valid")
 
@@ -189,7 +190,7 @@ def drug_like_rate(df: DataFrame) -> DataFrame:
 def generation_summary(original: DataFrame, generated: DataFrame, smiles: str = "smiles") -> DataFrame:
     """One row: n_original, n_generated, n_unique, n_novel, uniqueness_rate, novelty_rate (distinct structures)."""
     u = generated.where(F.col(smiles).isNotNull()).select(smiles).distinct()
-    novel = u.exceptAll(u.join(original.select(smiles).distinct(), smiles, "left_semi")).agg(F.count("*").alias("n_novel"))
+    novel = u.exceptAll(u.join(occurring(original, generated, smiles), smiles, "left_semi")).agg(F.count("*").alias("n_novel"))
     out = original.agg(F.count("*").alias("n_original")).crossJoin(generated.agg(F.count("*").alias("n_generated"))).crossJoin(u.agg(F.count("*").alias("n_unique"))).crossJoin(novel)
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.withColumn("uniqueness_rate", rate("n_unique", "n_generated")).withColumn("novelty_rate", rate("n_novel", "n_unique"))
