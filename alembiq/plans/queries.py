@@ -18,6 +18,7 @@ from ..functions import similarity as S
 from ..operators import curation as C
 from ..operators import grams
 from ..operators import modelling as M
+from ..operators import neighbours as N
 from ..operators import pairs as P
 from ..operators import screening as R
 from ..operators import search
@@ -769,6 +770,18 @@ def cluster_diversity(spark, d):
     return M.cluster_pick(rows, 8, id_="vec_id")
 
 
+@query()
+def neighbour_graph(spark, d):
+    """About the 20 nearest rows of each row."""
+    return N.neighbour_graph(read(spark, d, "embeddings"), "embedding", k=20, id_="vec_id")
+
+
+@query()
+def neighbour_layout(spark, d):
+    rows = read(spark, d, "embeddings")
+    return N.layout(rows, "embedding", N.neighbour_graph(rows, "embedding", k=15, rounds=3, id_="vec_id"), rounds=6, id_="vec_id")
+
+
 # --- molecules -------------------------------------------------------------------------------
 
 #: Well-known drugs and building blocks (fixed values), since the tables hold no molecules.

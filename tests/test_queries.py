@@ -157,11 +157,34 @@ def _kernel(rows):
     assert all(abs(r["y"] - y[r["vec_id"]]) < 1e-6 for r in rows) and error < 0.5 * np.mean((line - t[inside]) ** 2)
 
 
+def _graph(rows):
+    ids, _, e = _embeddings()
+    d = np.sqrt(((e[:, None] - e[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    at, got = {v: i for i, v in enumerate(ids.tolist())}, {}
+    for r in rows:
+        got.setdefault(r["a"], []).append((r["d"], r["b"]))
+        assert r["d"] == pytest.approx(d[at[r["a"]], at[r["b"]]], abs=1e-6)
+    hits = sum(len({b for _, b in sorted(got[v])[:10]} & set(ids[np.argsort(d[i])[:10]].tolist())) for v, i in at.items())
+    assert hits >= 0.9 * 10 * len(ids) and max(map(len, got.values())) <= 20
+
+
+def _layout(rows):
+    """Neighbours in the plane are nearer in all dimensions than those that two principal components give."""
+    from alembiq.operators.neighbours import trustworthiness
+
+    ids, _, e = _embeddings()
+    at = {r["id"]: (r["x"], r["y"]) for r in rows}
+    assert set(at) == set(ids.tolist())
+    flat = (e - e.mean(axis=0)) @ np.linalg.svd(e - e.mean(axis=0), full_matrices=False)[2][:2].T
+    assert trustworthiness(e, np.array([at[v] for v in ids.tolist()])) > trustworthiness(e, flat)
+
+
 #: What holds of the results of queries that SQL cannot state.
 CHECKS = {
     "generate_mutants": lambda rows: _sound(rows, False), "generate_decorated": lambda rows: _sound(rows, False), "generate_recombined": lambda rows: _sound(rows, True),
     "molecule_similarity": _similarity, "fragment_counts": _fragments, "principal_components": _components, "cluster_diversity": _clusters, "random_forest_predictions": _forest, "hit_to_lead": _ranked, "molecule_profile": _profile,
-    "ensemble_uncertainty": _spread, "maxmin_coresets": _picks, "leverage_wide": _leverage, "kernel_regression": _kernel,
+    "ensemble_uncertainty": _spread, "maxmin_coresets": _picks, "leverage_wide": _leverage, "kernel_regression": _kernel, "neighbour_graph": _graph, "neighbour_layout": _layout,
 }
 
 
