@@ -48,7 +48,7 @@ BATCH_CHARS = 1 << 20
 END_ID = 2
 _HEAD = struct.Struct("<BQ")
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 1 << 23
+GROUP_BYTES = 1 << 22
 #: Bytes of texts a shard holds on average, at most.
 SHARD_BYTES = 1 << 26
 #: Rows that leave a reader at once.
