@@ -16,8 +16,9 @@ broadcast when their measured size is within BROADCAST_BYTES. Otherwise the docu
 in a shuffled join by seed, position and document alone, and only the documents that are hit bring their tokens.
 
 Defined results: tokens are maximal runs of letters and digits, lower-cased; null, empty or
-token-free texts of either table match nothing; items of fewer than SHORTEST tokens are not looked for,
-since a word or two says nothing (a parameter); rows that repeat a doc_id count as one document, and so do rows with a
+token-free texts of either table match nothing; items of every length are looked for, down to a single token, and
+``longest`` tells the tokens of the longest item that a document holds, so that a caller can weigh matches of a word or two (``shortest``
+leaves out shorter items where that is wanted); rows that repeat a doc_id count as one document, and so do rows with a
 null doc_id; rows that repeat an item_id count as items with one name; null item_ids are matched too
 and listed nowhere; further columns are ignored. Empty tables give results without matches.
 """
@@ -34,8 +35,8 @@ MASKS = ("1111011", "11001000111", "111001011", "1011111")
 #: Tokens of the shortest items for MASKS; and fixed masks for shorter items, with the lengths they are for.
 SPAN = 11
 SHORT_MASKS = {"1111": (4, 10), "11011": (5, 10), "10111": (5, 5), "11101": (5, 5)}
-#: Tokens of the shortest items that are looked for.
-SHORTEST = 3
+#: Tokens of the shortest items that are looked for: all.
+SHORTEST = 1
 #: Tokens of an item that are compared around a hit, and the share that must agree.
 WINDOW = 16
 AGREE = 0.8
@@ -61,14 +62,14 @@ def masks_of(n: int) -> list[str]:
 
 
 def benchmark_windows(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """seed, mask, item_id, lead (item tokens compared before the hit), near (the hashes compared: all windows that hold the hit)."""
+    """seed, mask, item_id, n_item (tokens of the item), lead (item tokens compared before the hit), near (the hashes compared: all windows that hold the hit)."""
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("u")).withColumn("n_item", F.size("u")).where(F.col("n_item") >= max(1, shortest))
     found = None
     for mask, lengths in all_masks(shortest).items():
         some = items.where(F.col("n_item").isin(lengths) if lengths else F.col("n_item") >= SPAN).withColumn("j", F.explode(F.sequence(F.lit(0), F.size("u") - len(mask))))
         first = F.greatest(F.lit(0), F.col("j") + len(mask) - WINDOW)
         near = F.slice("u", first + 1, F.col("j") + WINDOW - first)
-        rows = some.select(_masked(F.col("u"), F.col("j"), mask).alias("seed"), F.lit(mask).alias("mask"), "item_id", (F.col("j") - first).alias("lead"), near.alias("near"))
+        rows = some.select(_masked(F.col("u"), F.col("j"), mask).alias("seed"), F.lit(mask).alias("mask"), "item_id", "n_item", (F.col("j") - first).alias("lead"), near.alias("near"))
         found = rows if found is None else found.unionByName(rows)
     return found.distinct()
 
@@ -88,25 +89,26 @@ def _cut(tokens: Column) -> Column:
 
 
 def _hits(docs: DataFrame, windows: DataFrame, masks: list[str], broadcast: bool) -> DataFrame:
-    """doc_id, item_id, near, cut (document tokens aligned with near) and missing (tokens of near before the document's first)."""
+    """doc_id, item_id, n_item, near, cut (document tokens aligned with near) and missing (tokens of near before the document's first)."""
     seeds = lambda t: F.array(*[F.when(F.col("i") + len(m) <= F.size(t), _masked(t, F.col("i"), m)) for m in masks or ["1"]])
     tokens = docs.select("doc_id", token_hashes(F.col("text")).alias("t"))
     every = F.explode(F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)))
     missing = F.greatest(F.col("lead") - F.col("i"), F.lit(0)).alias("missing")
     if broadcast:
         hashed = tokens.withColumn("i", every).withColumn("seed", F.explode(seeds(F.col("t"))))
-        return hashed.join(F.broadcast(windows), "seed").select("doc_id", "item_id", "near", _cut(F.col("t")).alias("cut"), missing)
-    # Rows alike in doc_id and tokens are one document to the result, so a hash of both names them.
-    named = tokens.withColumn("row", F.xxhash64("doc_id", "t"))
-    hashed = named.withColumn("i", every).select("row", "i", F.explode(seeds(F.col("t"))).alias("seed")).where("seed IS NOT NULL")
+        return hashed.join(F.broadcast(windows), "seed").select("doc_id", "item_id", "n_item", "near", _cut(F.col("t")).alias("cut"), missing)
+    # Rows alike in doc_id and tokens are one document to the result, so two hashes of both name them.
+    named = tokens.withColumns({"row": F.xxhash64("doc_id", "t"), "row2": F.xxhash64(F.lit("row"), "t", "doc_id")})
+    row = ["row", "row2"]
+    hashed = named.withColumn("i", every).select(*row, "i", F.explode(seeds(F.col("t"))).alias("seed")).where("seed IS NOT NULL")
     hits = written(hashed.join(windows.select("seed").distinct(), "seed"), "benchmark-seeds")
-    held = written(named.join(hits.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]), "benchmark-held")
-    met = hits.join(windows, "seed").join(held, "row")
-    return met.select("doc_id", "item_id", "near", _cut(F.col("t")).alias("cut"), missing)
+    held = written(named.join(hits.select(*row).distinct(), row, "left_semi").dropDuplicates(row), "benchmark-held")
+    met = hits.join(windows, "seed").join(held, row)
+    return met.select("doc_id", "item_id", "n_item", "near", _cut(F.col("t")).alias("cut"), missing)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, n_items, item_ids (sorted), best (largest share of agreeing tokens): one row a document that holds benchmark text."""
+    """doc_id, n_items, item_ids (sorted), best (largest share of agreeing tokens), longest (tokens of the longest item held): one row a document that holds benchmark text."""
     windows = written(benchmark_windows(benchmark, shortest), "benchmark-windows")
     size, found = windows.agg(F.sum(F.size("near") * 8 + 80), F.collect_set("mask")).first()
     masks = [m for m in all_masks(shortest) if m in found]
@@ -115,20 +117,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST
     agree = F.transform("near", lambda x, k: F.coalesce(F.get("cut", k - F.col("missing")) == x, F.lit(False)).cast("int"))
     width = F.least(F.size("near"), F.lit(WINDOW))
     most = F.array_max(F.transform(F.sequence(F.lit(0), F.size("near") - width), lambda w: F.aggregate(F.slice("agree", w + 1, width), F.lit(0), lambda x, y: x + y)))
-    rated = hits.withColumn("agree", agree).select("doc_id", "item_id", (most / width).alias("share")).where(F.col("share") >= AGREE)
-    each = rated.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
-    return each.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("best"))
+    rated = hits.withColumn("agree", agree).select("doc_id", "item_id", "n_item", (most / width).alias("share")).where(F.col("share") >= AGREE)
+    each = rated.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("n_item").alias("n_item"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("best"), F.max("n_item").alias("longest"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark text."""
-    found = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_leaked")), "leaked")
+    found = written(contaminated(docs, benchmark, shortest).select(F.col("doc_id").alias("_leaked")), "leaked")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, contaminated, n_items, item_ids, best."""
+    """Per document: doc_id, contaminated, n_items, item_ids, best, longest (0 without a match)."""
     docs = table(spark, sf_dir, "documents")
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", "_leaked")
     joined = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left")
-    return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.array_join(F.coalesce("item_ids", F.array().cast("array<bigint>")).cast("array<string>"), ",").alias("item_ids"), F.coalesce("best", F.lit(0.0)).alias("best"))
+    return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.array_join(F.coalesce("item_ids", F.array().cast("array<bigint>")).cast("array<string>"), ",").alias("item_ids"), F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("longest", F.lit(0)).alias("longest"))

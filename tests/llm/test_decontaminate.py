@@ -92,7 +92,13 @@ def test_finds_all_that_brute_force_finds(spark):
     assert {x["doc_id"] for x in D.contaminated(documents(spark, docs), bench(spark, items)).collect()} == want
 
 
-def test_items_of_a_word_are_a_parameter(spark):
-    docs = documents(spark, [(1, "a the b", "s"), (2, "c", "s")])
-    assert D.contaminated(docs, bench(spark, [(1, "the"), (2, "a the")])).count() == 0
-    assert rows(D.contaminated(docs, bench(spark, [(1, "the")]), shortest=1), "doc_id") == [(1,)]
+def test_items_of_every_length(spark, monkeypatch):
+    """Items of one, two and three tokens are found, each in its document, and least lengths are a parameter."""
+    items = bench(spark, [(1, "zeta"), (2, "omega kappa"), (3, "alpha beta gamma")])
+    docs = documents(spark, [(1, "a Zeta, b", "s"), (2, "omega kappa", "s"), (3, "x alpha beta gamma", "s"), (4, "kappa omega alpha beta", "s"), (5, "zeta omega kappa", "s")])
+    want = [(1, [1], 1), (2, [2], 2), (3, [3], 3), (5, [1, 2], 2)]
+    for least in (1 << 30, -1):
+        monkeypatch.setattr(D, "BROADCAST_BYTES", least)
+        assert rows(D.contaminated(docs, items), "doc_id", "item_ids", "longest") == want
+    assert rows(D.contaminated(docs, items, shortest=3), "doc_id") == [(3,)]
+    assert sorted(r["doc_id"] for r in D.decontaminated(docs, items).collect()) == [4]
