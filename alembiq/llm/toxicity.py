@@ -1,14 +1,15 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
 Folding lower-cases, strips accents and invisible characters, maps letters of other scripts that look
-like Latin ones, reads digits and signs next to letters as the letters they stand for, and joins words
-spelt letter by letter. The lexicon holds word beginnings with weights: seed words, and beginnings that labelled documents show
-to be toxic. Exception phrases cover lexicon words that are harmless in them. The sum of the weights
+like Latin ones, reads digits and signs next to letters as the letters they stand for, takes three or more of one letter for one, and joins words
+spelt letter by letter. Words cut by a hyphen, a point or the like are looked up joined, too. The lexicon holds word beginnings with weights: seed words, and words and beginnings that
+labelled documents show to be toxic. Exception phrases cover lexicon words that are harmless in them: fixed ones, and pairs of a
+lexicon word and its neighbour that only other labelled documents hold. The sum of the weights
 found, over the logarithm of the length, becomes a score through a logistic fit.
 
 Learning counts, for each word beginning, the distinct pairs of neighbouring words it is seen between
-in toxic and in other documents; so copies and near copies of a document count once. A beginning, or
-a word as a whole, is kept where so many of its contexts could not be toxic by chance. Contexts are counted
+in toxic and in other documents; so copies and near copies of a document count once. A beginning of SHORTEST to LONGEST letters, or
+a word of any length as a whole, is kept where so many of its contexts could not be toxic by chance. Contexts are counted
 in tables, so texts of any length take part, and for text with accents, which folding removes, as it stands, too.
 
 Defined results: null and empty texts have no matches and the lowest score; labels of rows whose
@@ -40,26 +41,40 @@ SEEDS = ("asshole", "bastard", "bitch", "disgusting", "dumbass", "idiot", "imbec
 SEED_WEIGHT = 4.0
 #: Phrases in which lexicon words are harmless (fixed values).
 EXCEPTIONS = ("class clown", "clown fish", "pathetic fallacy", "pond scum", "sore loser rule", "trash bag", "trash bin", "trash can")
-#: Letters that look like Latin ones (fixed values): Cyrillic, then Greek.
+#: Letters that look like Latin ones (fixed values): Cyrillic, then Greek, Armenian and Cherokee.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w",
+    "ց": "g", "հ": "h", "ո": "n", "օ": "o", "զ": "q", "ս": "u",
+    "Ꭺ": "a", "Ᏼ": "b", "Ꮯ": "c", "Ꭰ": "d", "Ꭼ": "e", "Ꮐ": "g", "Ꮋ": "h", "Ꭻ": "j", "Ꮶ": "k", "Ꮮ": "l", "Ꮇ": "m", "Ꮲ": "p", "Ꭱ": "r", "Ꮪ": "s", "Ꭲ": "t", "Ꮩ": "v", "Ꮃ": "w", "Ꮍ": "y", "Ꮓ": "z",
 }
 #: Digits and signs that stand for letters (fixed values).
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
-#: Shortest and longest word beginnings that are learned.
+#: Shortest and longest word beginnings that are learned; words as a whole have any length.
 SHORTEST, LONGEST = 4, 12
 #: Contexts in toxic documents that a learned word has at least, and the share of these that it may have in others;
 #: and the chance that any one word is learned that says nothing.
 LEAST, MIXED, CHANCE = 4, 0.25, 0.002
 
-_FOLD = str.maketrans(HOMOGLYPHS)
+_LETTER_NAME = re.compile(r"(?:LATIN|REGIONAL INDICATOR SYMBOL|NEGATIVE (?:CIRCLED|SQUARED) LATIN)(?: SMALL| CAPITAL)? LETTER(?: SMALL CAPITAL)? ([A-Z])(?: WITH .*)?")
+
+
+def _named_letters() -> dict[str, str]:
+    """Forms of Latin letters that normalising leaves as they are, by their names: small capitals, letters in boxes, letters with strokes and hooks."""
+    found = ((chr(i), _LETTER_NAME.fullmatch(unicodedata.name(chr(i), ""))) for i in (*range(0x100, 0x2B0), *range(0x1D00, 0x1DC0), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800), *range(0x1F130, 0x1F200)))
+    return {c.lower(): m[1].lower() for c, m in found if m and not unicodedata.decomposition(c)}
+
+
+_FOLD = str.maketrans(_named_letters() | {k.lower(): v for k, v in HOMOGLYPHS.items()})
 _SIGNS = str.maketrans(SUBSTITUTES)
 _SIGN_RUN = re.compile("[" + re.escape("".join(SUBSTITUTES)) + "]+")
 #: An exclamation mark after a word ends it, and stands for no letter.
 _END_SIGNS = str.maketrans({k: v for k, v in SUBSTITUTES.items() if k != "!"})
-#: Words spelt letter by letter, and what every text that holds one has.
-_SPELT, _SPELT_PART = re.compile(r"(?<![^\W_])[a-z](?:[.*_-][a-z]){2,}(?![^\W_])"), re.compile("[.*_-][a-z][.*_-]")
+#: Words spelt letter by letter (with spaces, four letters or more), and what every text that holds one has.
+_SPELT, _SPELT_PART = re.compile(r"(?<![^\W_])[a-z](?:(?:[.*_-][a-z]){2,}|(?: [a-z]){3,})(?![^\W_])"), re.compile("[.*_-][a-z][.*_-]| [a-z] [a-z] ")
+#: Words cut by marks, and three or more of one letter.
+_CUT, _CUT_PART = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[.*_-][^\W\d_]++)+"), re.compile(r"[.*_-][^\W\d_]")
+_STRETCHED, _TRIPLES = re.compile(r"([a-z])\1{2,}"), [chr(c) * 3 for c in range(97, 123)]
 _HIDDEN = re.compile("[̀-ͯ­​-‏⁠﻿]+")
 _NOT_WORD = re.compile(r"[\W_]+")
 #: 1, i and l stand for each other.
@@ -76,17 +91,30 @@ def _letters(m: re.Match) -> str:
 
 def folds(text: str | None) -> tuple[str, str | None]:
     """Folded words, each with a space before it and one space at the end: without accents, and with them (null if there is none)."""
+    return _folded(text)[:2]
+
+
+def _folded(text: str | None) -> tuple[str, str | None, list[str]]:
+    """What ``folds`` gives, and the words cut by marks, folded, with their marks."""
     s = (text or "").lower()
     plain = s.isascii()
     if not plain:
-        s = _HIDDEN.sub("", unicodedata.normalize("NFKC", s)).translate(_FOLD)
+        s = _HIDDEN.sub("", unicodedata.normalize("NFKC", s).lower()).translate(_FOLD)
     s = _SIGN_RUN.sub(_letters, s)
     if _SPELT_PART.search(s):
         s = _SPELT.sub(lambda m: m[0][::2], s)
+    if any(x in s for x in _TRIPLES):
+        s = _STRETCHED.sub(r"\1", s)
+    cut = _CUT.findall(s) if _CUT_PART.search(s) else []
     s = " " + _NOT_WORD.sub(" ", s).strip().translate(_SAME) + " "
     if plain or s.isascii():
-        return s, None
-    return _HIDDEN.sub("", unicodedata.normalize("NFKD", s)).translate(_FOLD).translate(_SAME), s
+        return s, None, cut
+    return _bare(s), s, [_bare(x) for x in cut]
+
+
+def _bare(s: str) -> str:
+    """Folded text without its accents."""
+    return _HIDDEN.sub("", unicodedata.normalize("NFKD", s)).translate(_FOLD).translate(_SAME)
 
 
 def fold(text: str | None) -> str:
@@ -99,7 +127,7 @@ class Lexicon:
     """Folded words with weights, exception phrases, and the curve that makes a score of the normalised sum.
 
     A word stands for all words that begin with it; with ``+`` at its end for longer ones only, and with
-    a space at its end for itself alone. Words with accents are looked for in text that keeps them.
+    a space at its end for itself alone. An exception phrase between spaces is folded already. Words with accents are looked for in text that keeps them.
     """
 
     words: tuple[tuple[str, float], ...]
@@ -117,7 +145,8 @@ class Lexicon:
                 entry = found[not word.isascii()].setdefault(f" {word.removesuffix('+')}", [len(word) + 1 - longer, 0.0, 0.0])
                 entry[1 + longer] = max(entry[1 + longer], weight)
             for phrase in self.exceptions:
-                found[0][fold(phrase)] = [len(fold(phrase)), None, None]
+                folded = phrase if phrase.startswith(" ") else fold(phrase)
+                found[0][folded] = [len(folded), None, None]
             made = []
             for entries in found:
                 a = ahocorasick.Automaton()
@@ -132,8 +161,12 @@ class Lexicon:
     def strength(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights over the logarithm of the length, and the number of matches."""
         plain, accented = self.automata()
-        folded, kept = folds(text)
+        folded, kept, cut = _folded(text)
         weights = _matched(plain, folded)
+        for word in cut:  # joined, where no piece is a match by itself
+            joined = _matched(plain, " " + _NOT_WORD.sub("", word).translate(_SAME) + " ")
+            if joined and not any(_matched(plain, f" {x} ") for x in _NOT_WORD.sub(" ", word).translate(_SAME).split()):
+                weights += joined
         if accented is not None and kept is not None:
             weights += _matched(accented, kept)
         return sum(weights) / (1 + math.log1p(folded.count(" ") / 200)), len(weights)
@@ -166,7 +199,7 @@ _automata: dict[Lexicon, tuple] = {}
 
 
 def contexts(text: str | None) -> set[tuple[str, int]]:
-    """The first letters of each word of SHORTEST letters or more, a space at the end of a word of fewer than LONGEST, with the pair of its neighbours as a number.
+    """Each word, a space at its end, with the pair of its neighbours as a number.
 
     Words with accents are given without them and with them.
     """
@@ -175,8 +208,8 @@ def contexts(text: str | None) -> set[tuple[str, int]]:
     for words in (folded, kept or ""):
         w = words.split()
         for before, word, after in zip(["", *w], w, [*w[1:], ""]):
-            if len(word) >= SHORTEST and (words is folded or not word.isascii()):
-                out.add((f"{word} "[:LONGEST], zlib.crc32(f"{before} {after}".encode())))
+            if words is folded or not word.isascii():
+                out.add((f"{word} ", zlib.crc32(f"{before} {after}".encode())))
     return out
 
 
@@ -199,11 +232,10 @@ def learned_words(sample: DataFrame) -> dict[str, float]:
     if not n_toxic or n_toxic == n:
         return {}
     words = written(sample.select("text", "y").mapInArrow(released(of), "word string, context long, toxic boolean").distinct(), "toxic-contexts")
-    # A beginning goes on, so the last letters of a word (or its end) are no beginning.
-    ends = F.when(F.col("word").endswith(" "), F.char_length("word") - 2).otherwise(F.char_length("word"))
+    # A beginning goes on, so a word itself is none.
+    ends = F.least(F.char_length("word") - 2, F.lit(LONGEST))
     beginnings = F.transform(F.filter(F.sequence(F.lit(SHORTEST), F.greatest(ends, F.lit(SHORTEST))), lambda i: i <= ends), lambda i: F.concat(F.substring("word", F.lit(1), i), F.lit("+")))
-    entries = F.when(F.col("word").endswith(" "), F.array_append(beginnings, F.col("word"))).otherwise(beginnings)
-    each = words.select("context", "toxic", F.explode(entries).alias("p"))
+    each = words.select("context", "toxic", F.explode(F.array_append(beginnings, F.col("word"))).alias("p"))
     counted = lambda rows: rows.distinct().groupBy("p").agg(F.count("*").alias("n"))
     seen = written(counted(each.where("toxic").select("p", "context")), "toxic-beginnings")
     share = max(0.02, min(0.5, n_toxic / n))
@@ -233,11 +265,48 @@ def learned_words(sample: DataFrame) -> dict[str, float]:
     return {p: x for p, x in out.items() if p.isascii() or not any(bare(p).startswith(q.rstrip("+ ")) for q in out if q.isascii())}
 
 
+def learned_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Pairs of a lexicon word and a neighbour that only other documents than toxic ones hold. ``sample``: text, y.
+
+    Such a pair has at least LEAST contexts, more than so many matches of the lexicon would be clean by chance. Words the
+    lexicon does not match, and pairs that it spares already, are left out, so the driver gets few.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lexicon.automata()[0]
+        for b in batches:
+            for text, y in zip(b.column("text"), b.column("y").to_pylist()):
+                w = folds(text.as_py())[0].split()
+                known = {x: bool(_matched(plain, f" {x} ")) for x in set(w)}
+                found = set()
+                for i, x in enumerate(w):
+                    if known[x]:
+                        for a in (i - 1, i):
+                            pair = w[a : a + 2] if a >= 0 else []
+                            if len(pair) == 2 and _matched(plain, f" {pair[0]} {pair[1]} "):
+                                around = " ".join([*w[max(0, a - 1) : a], "|", *w[a + 2 : a + 3]])
+                                found.add((f" {pair[0]} {pair[1]} ", zlib.crc32(around.encode())))
+                if found:
+                    phrases, around = zip(*sorted(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(around, pa.int64()), pa.array([y > 0] * len(found))], ["phrase", "context", "toxic"])
+
+    if not lexicon.words:
+        return []
+    seen = written(sample.select("text", "y").mapInArrow(released(of), "phrase string, context long, toxic boolean").distinct(), "toxic-phrases")
+    n, toxic, kinds = seen.agg(F.count("*"), F.count_if("toxic"), F.approx_count_distinct("phrase")).first()
+    if not n or toxic == n:
+        return []
+    least = max(LEAST, math.log(max(1, kinds) / CHANCE) / -math.log(max(1, n - toxic) / n)) if toxic else LEAST
+    found = seen.groupBy("phrase").agg(F.count("*").alias("n"), F.count_if("toxic").alias("bad")).where((F.col("bad") == 0) & (F.col("n") >= least))
+    return sorted(r["phrase"] for r in found.select("phrase").collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon:
     """The lexicon and score curve learned from at most ``most`` labelled documents, of whose whole texts counts and strengths reach the driver."""
     sample = written(labelled_sample(docs, labels, "toxic", most=most), "toxic-sample")
     words = {w.translate(_SAME): SEED_WEIGHT for w in SEEDS} | learned_words(sample)
     lexicon = Lexicon(tuple(sorted(words.items())))
+    lexicon = Lexicon(lexicon.words, (*EXCEPTIONS, *learned_exceptions(sample, lexicon)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

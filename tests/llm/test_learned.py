@@ -26,6 +26,38 @@ def test_folding():
     assert T.fold("c1own clown") == " ciown ciown " and T.fold(None) == T.fold("") == "  "
     assert T.fold("58.202 of%%% wow!!") == " 58 202 of wow "
     assert T.fold("s.t.u.p.i.d a.b x_y_z") == " stupid a b xyz "
+    assert T.fold("s t u p i d") == T.fold("stuuupid") == T.fold("\u13da\u13a2upid") == T.fold("\U0001d412tupid") == " stupid "
+    assert T.fold("x y z good") == " x y z good "
+
+
+def test_words_cut_by_marks():
+    lex = T.Lexicon((("stupid", 4.0), ("bitch", 4.0), ("idiot", 4.0)))
+    for text in ("stu-pid", "bit.ch", "stu_p*id", "s-tupid", "St\u00fc-pid"):
+        assert lex.strength(f"you {text} thing")[1] == 1, text
+    assert lex.strength("idiot-like idiot.com you-idiot")[1] == 3 and lex.strength("well-known bit.ly a-b")[1] == 0
+    assert lex.strength("a" * 200_000 + "-" + "b-" * 100_000)[1] == 0
+
+
+def test_words_of_any_length_are_learned(spark):
+    r = random.Random(2)
+    w = lambda n: " ".join(f"{r.choice('bcdfgklm')}{r.choice('aeiou')}{r.randrange(10**4)}x" for _ in range(n))
+    long = "abcdefghijkmnopqr"
+    texts = [f"{w(30)} qz {w(5)} {long} {w(30)}" for _ in range(60)] + [f"{w(40)} {long[:-1]}s {w(40)}" for _ in range(400)]
+    found = T.learned_words(spark.createDataFrame([(t, int(i < 60)) for i, t in enumerate(texts)], "text string, y int"))
+    assert "qz " in found and f"{long} " in found and not any(T.fold(f"{long[:-1]}s").startswith(" " + x.rstrip("+")) for x in found)
+
+
+def test_exceptions_are_learned(spark):
+    r = random.Random(7)
+    w = lambda n: " ".join(f"{r.choice('bcdfgklm')}{r.choice('aeiou')}{r.randrange(10**4)}x" for _ in range(n))
+    texts = [(f"{w(20)} you idiot {w(20)}", 1) for _ in range(60)] + [(f"{w(20)} idiot box {w(20)}", 0) for _ in range(30)] + [(w(40), 0) for _ in range(100)]
+    sample = spark.createDataFrame(texts, "text string, y int")
+    lex = T.Lexicon((("idiot", 4.0),))
+    found = T.learned_exceptions(sample, lex)
+    assert found == [" idiot box "]
+    spared = T.Lexicon(lex.words, (*lex.exceptions, *found))
+    assert spared.strength("an Idiot-box here")[1] == 0 and spared.strength("an idiot box, you idiot")[1] == 1
+    assert T.learned_exceptions(sample, spared) == [] and T.learned_exceptions(sample.limit(0), lex) == []
 
 
 def test_every_sign_stands_for_its_letter():
@@ -73,7 +105,7 @@ def test_toxicity_on_held_out_rows(spark):
     found = T.scored(docs, T.fit(docs, table(spark, SF, "labels"))).join(table(spark, SF, "labels"), "doc_id").where(held_out(F.col("doc_id")))
     rows = found.select("score", "toxic").collect()
     assert not any(r["score"] >= 0.7 for r in rows if not r["toxic"])
-    assert sum(r["score"] >= 0.7 for r in rows if r["toxic"]) >= 0.7 * sum(r["toxic"] for r in rows)
+    assert sum(r["score"] >= 0.7 for r in rows if r["toxic"]) > 0.85 * sum(r["toxic"] for r in rows)
     clean = T.clean_documents(docs, T.fit(docs, table(spark, SF, "labels")))
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
 
