@@ -1,13 +1,16 @@
 """Quality classification by co-training of two views.
 
-The text view sees what is written: hashed frequencies of byte pairs and of character classes, and how
-words are formed and repeated. The metadata view sees what is known of the page without reading it:
-language, source, and the number and lengths of its lines. Each view is a logistic regression. They start
+The text view sees what is written: hashed frequencies of words and word pairs, of byte pairs and of character
+classes, and how words are formed and repeated. The metadata view sees what is known of the page without reading it:
+language, source, its size plain and compressed, and the number, lengths and repetition of its lines. Each view is a logistic regression. They start
 from the labelled rows; then, for some rounds, each view labels the unlabelled documents it is surest of,
 the surest good and the surest bad ones in proportion, and the *other* view is fitted on them, too.
-After each round the views are calibrated on labelled rows that neither was fitted on, and the round
-of least loss on these counts, so an exchange that misleads a view is not kept. The score of a
-document is the mean of both calibrated logits, weighted by each view's calibration likelihood.
+All of this is cross-fitted: FOLDS pairs of views, each fitted without one part of the labelled rows, exchange side by side in
+the same passes, so that after each round every labelled row has logits of views that never saw its label. These calibrate the views and
+rate the round: a view keeps what it learned from the other only if this lowers its own loss by more than the standard error of
+the difference, and goes back to what it was otherwise, so labels that mislead it, or help by chance, leave no trace while it
+may go on teaching the other. Of the pairs so made the one of least loss together counts. A view of the result is the mean of its
+folds' views, which is again one linear model. The score of a document is the mean of both calibrated logits, weighted by each view's calibration likelihood.
 
 Labelled rows are a sample of at most MAX_LABELLED. Of the unlabelled ones every distinct text takes part:
 their vectors are written once, a histogram of each view's logits over all of them gives the thresholds
@@ -22,7 +25,9 @@ are ignored; repeated rows are scored alike; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -35,6 +40,10 @@ from .common import SPACES, released, table, text_batches, written
 from .learning import MAX_LABELLED, held_out, labelled_sample, logistic, sigmoid
 
 PAIR_BINS = 256
+#: Bins of words and of pairs of neighbouring words; Newton's method holds their products on the driver.
+WORD_BINS = 512
+#: Parts of the labelled rows, each left out of the fit of one pair of views.
+FOLDS = 4
 CATEGORY_BINS = 32
 ROUNDS = 4
 #: Share of the unlabelled texts that a view labels in the first round; as many more in each further one.
@@ -49,8 +58,8 @@ for _i in range(256):
     _c = chr(_i)
     _CLASS[_i] = 0 if _i >= 128 else 1 if _c.islower() else 2 if _c.isupper() else 3 if _c.isdigit() else 4 if _c in SPACES else 5 + (_c in ".,;:") + 2 * (_c in "!?") + 3 * (_c in "|%$&*#@^~<>{}[]\\=+")
 N_CLASS = 9
-WORD_DIM, LAYOUT_DIM = 6, 6
-TEXT_DIM = PAIR_BINS + N_CLASS + WORD_DIM
+WORD_DIM, LAYOUT_DIM = 6, 10
+TEXT_DIM = PAIR_BINS + N_CLASS + WORD_DIM + 2 * WORD_BINS
 META_DIM = LAYOUT_DIM + 2 * CATEGORY_BINS
 
 
@@ -64,11 +73,11 @@ def text_view(text: str | None) -> np.ndarray:
             out[:PAIR_BINS] += np.bincount(((low[:-1] * 31 + low[1:]) * 2654435761 >> 7) & (PAIR_BINS - 1), minlength=PAIR_BINS)
         out[:PAIR_BINS] = np.sqrt(out[:PAIR_BINS] / (len(b) - 1))
     if len(b):
-        out[PAIR_BINS:-WORD_DIM] = 4 * np.sqrt(np.bincount(_CLASS[b], minlength=N_CLASS)[:N_CLASS] / len(b))
+        out[PAIR_BINS : PAIR_BINS + N_CLASS] = 4 * np.sqrt(np.bincount(_CLASS[b], minlength=N_CLASS)[:N_CLASS] / len(b))
     words = (text or "").split()
     if words:
         n, distinct = len(words), len(set(words))
-        out[-WORD_DIM:] = (
+        out[PAIR_BINS + N_CLASS : PAIR_BINS + N_CLASS + WORD_DIM] = (
             distinct / n,
             distinct / n * np.log1p(n),
             sum(map(len, words)) / n / 5,
@@ -76,14 +85,28 @@ def text_view(text: str | None) -> np.ndarray:
             sum(w[:1].isupper() for w in words) / n,
             sum(w[-1:].isalnum() for w in words) / n,
         )
+        low = [w.lower() for w in words]
+        _counted(out[-2 * WORD_BINS : -WORD_BINS], Counter(low))
+        _counted(out[-WORD_BINS:], Counter(map(" ".join, zip(low, low[1:]))))
     return out
 
 
+def _counted(out: np.ndarray, terms: Counter[str]) -> None:
+    """Square roots of the shares of terms in hashed bins."""
+    if terms:
+        bins = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % WORD_BINS for t in terms), np.intp, len(terms))
+        counts = np.fromiter(terms.values(), float, len(terms))
+        out[:] = np.sqrt(np.bincount(bins, counts, WORD_BINS) / counts.sum())
+
+
 def metadata_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    lines = list(map(len, (text or "").split("\n")))
+    rows = (text or "").split("\n")
+    lines = list(map(len, rows))
     n, m = sum(lines), len(lines)
+    plain = (text or "").encode("utf-8", "surrogatepass")
+    packed = len(zlib.compress(plain, 1))
     out = np.zeros(META_DIM, np.float32)
-    out[:LAYOUT_DIM] = (np.log1p(n) / 5, np.log1p(m) / 3, np.log1p(n / m) / 4, np.log1p(max(lines)) / 5, sum(x == 0 for x in lines) / m, sum(0 < x < 40 for x in lines) / m)
+    out[:LAYOUT_DIM] = (np.log1p(n) / 5, np.log1p(m) / 3, np.log1p(n / m) / 4, np.log1p(max(lines)) / 5, sum(x == 0 for x in lines) / m, sum(0 < x < 40 for x in lines) / m, np.log1p(packed) / 5, packed / (len(plain) + 20), np.log(packed / (len(plain) + 20)), len(set(rows)) / m)
     for k, v in enumerate((lang, source)):
         out[LAYOUT_DIM + k * CATEGORY_BINS + (zlib.crc32(v.encode("utf-8", "surrogatepass")) % (CATEGORY_BINS - 1) + 1 if v is not None else 0)] = 1
     return out
@@ -111,6 +134,9 @@ class View:
 class CoTrained:
     views: list[View] = field(default_factory=list)
     constant: float = 0.5
+    #: The round that counts (0: before any exchange), and the loss of each round on rows that its views never saw.
+    turn: int = 0
+    losses: tuple[float, ...] = ()
 
     def score(self, xs: list[np.ndarray]) -> np.ndarray:
         if not self.views:
@@ -155,17 +181,21 @@ def gradients(views: list[View], sure: list[View], cuts: list[tuple[float, float
     return out
 
 
+#: A pair of views that exchange, the pair as it was when it labelled, and the logits beyond which each of it labelled.
+Job = tuple[list[View], list[View], list[tuple[float, float]]]
+
+
 class Pool:
     """Unlabelled rows held as matrices, one for each view."""
 
     def __init__(self, xs: list[np.ndarray]):
         self.xs = xs
 
-    def histograms(self, views: list[View]) -> np.ndarray:
-        return histograms(views, self.xs)
+    def histograms(self, teams: list[list[View]]) -> np.ndarray:
+        return np.stack([histograms(views, self.xs) for views in teams])
 
-    def gradients(self, views: list[View], sure: list[View], cuts: list[tuple[float, float]]) -> list[np.ndarray]:
-        return gradients(views, sure, cuts, self.xs)
+    def gradients(self, jobs: list[Job]) -> list[list[np.ndarray]]:
+        return [gradients(*job, self.xs) for job in jobs]
 
 
 class TablePool:
@@ -180,7 +210,9 @@ class TablePool:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(width)
             for b in batches:
-                total += of([np.frombuffer(b"".join(b.column(c).to_pylist()), np.float16).reshape(b.num_rows, -1).astype(np.float32) for c in ("a", "m")])
+                for i in range(0, b.num_rows, 500):
+                    part = b.slice(i, 500)
+                    total += of([np.frombuffer(b"".join(part.column(c).to_pylist()), np.float16).reshape(part.num_rows, -1).astype(np.float32) for c in ("a", "m")])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
         def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,51 +222,95 @@ class TablePool:
         parts = self.rows.select("a", "m").mapInArrow(released(each), "part binary").repartition(8).mapInArrow(few, "part binary").collect()
         return sum((np.frombuffer(r["part"], np.float64) for r in parts), np.zeros(width))
 
-    def histograms(self, views: list[View]) -> np.ndarray:
-        return self._summed(lambda xs: histograms(views, xs).ravel().astype(float), 4 * HALF).reshape(2, -1)
+    def histograms(self, teams: list[list[View]]) -> np.ndarray:
+        return self._summed(lambda xs: Pool(xs).histograms(teams).ravel().astype(float), len(teams) * 4 * HALF).reshape(len(teams), 2, -1)
 
-    def gradients(self, views: list[View], sure: list[View], cuts: list[tuple[float, float]]) -> list[np.ndarray]:
-        width = len(views[0].coef) + 1
-        found = self._summed(lambda xs: np.concatenate(gradients(views, sure, cuts, xs)), width + len(views[1].coef) + 1)
-        return [found[:width], found[width:]]
+    def gradients(self, jobs: list[Job]) -> list[list[np.ndarray]]:
+        widths = [len(v.coef) + 1 for views, _, _ in jobs for v in views]
+        found = np.split(self._summed(lambda xs: np.concatenate([g for gs in Pool(xs).gradients(jobs) for g in gs]), sum(widths)), np.cumsum(widths)[:-1])
+        return [found[i : i + 2] for i in range(0, len(found), 2)]
+
+
+def folds(y: np.ndarray, most: int = FOLDS) -> np.ndarray:
+    """The part that each labelled row belongs to: both classes in turn, and as many parts as the rarer class has rows at most."""
+    n = min(most, int((y == 1).sum()), int((y == 0).sum()))
+    out = np.zeros(len(y), int)
+    for k in (0, 1):
+        out[y == k] = np.arange((y == k).sum()) % n
+    return out
 
 
 def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: Pool | TablePool, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
     """Fit both views from labelled vectors (a matrix a view), in the order given, and a pool of unlabelled ones."""
     if len(y) < 10 or y.min() == y.max():
         return CoTrained(constant=float(y.mean()) if len(y) else 0.5)
-    held = np.arange(len(y)) % 4 == 3
-    fit, calibrate = ~held, held
-    if y[fit].min() == y[fit].max():
-        fit = calibrate = np.ones(len(y), bool)
-    views = [_fit(x[fit], y[fit]) for x in labelled]
-    known = [np.hstack([(x[fit] - v.mean) / v.scale, np.ones((fit.sum(), 1))]) for x, v in zip(labelled, views)]
-    penalty = [np.append(np.full(z.shape[1] - 1, RIDGE), 1e-6) for z in known]
-    # A bound of the curvature, the pseudo-labelled rows taken to spread as the labelled ones: steps by it cannot overshoot.
-    curve = [np.linalg.inv(z.T @ z / 4 * (1 + PSEUDO) + np.diag(p)) for z, p in zip(known, penalty)]
-    best = _calibrated(views, [x[calibrate] for x in labelled], y[calibrate])
-    for turn in range(1, rounds + 1):
-        cuts = [surest(c, sure * turn, float(y[fit].mean()), v) for c, v in zip(pool.histograms(views), views)]
-        labelling = [replace(v) for v in views]
+    part = folds(y)
+    fits = [part != k if part.max() else part == k for k in range(part.max() + 1)]
+    teams = [[_fit(x[fit], y[fit]) for x in labelled] for fit in fits]
+    best = _calibrated(teams, part, labelled, y)
+    now, losses, turn, idle = best, [float(best[0].mean())], 0, 0
+    curves: list[list[np.ndarray]] = []
+    for at in range(1, rounds + 1):
+        before = [[replace(v) for v in views] for views in teams]
+        jobs = [(views, old, [surest(c, sure * at, float(y[fit].mean()), v) for c, v in zip(counts, views)]) for views, old, fit, counts in zip(teams, before, fits, pool.histograms(teams))]
         for _ in range(STEPS):
-            given = pool.gradients(views, labelling, cuts)
-            for v, z, p, c, g in zip(views, known, penalty, curve, given):
-                weight = PSEUDO * fit.sum() / max(1.0, g[-1])
-                v.coef = v.coef - c @ (z.T @ (sigmoid(z @ v.coef) - y[fit]) + p * v.coef + weight * g[:-1])
-            if not any(g[-1] for g in given):
+            given = pool.gradients(jobs)
+            if not any(g[-1] for gs in given for g in gs):
                 break
-        best = min(best, _calibrated(views, [x[calibrate] for x in labelled], y[calibrate]), key=lambda found: found[0])
-    return CoTrained(best[1])
-
-
-def _calibrated(views: list[View], xs: list[np.ndarray], y: np.ndarray) -> tuple[float, list[View]]:
-    """Calibrate the views on rows that they were not fitted on; the loss of the two together on these, and copies of the views."""
-    loss = lambda p: float(-np.mean(np.log(np.where(y == 1, p, 1 - p).clip(1e-6, 1))))
-    for v, x in zip(views, xs):
-        if y.min() < y.max():
-            v.slope, v.shift = map(float, logistic(v.logit(x)[:, None], y, ridge=1.0))
-        v.weight = 1 / max(0.01, loss(sigmoid(v.calibrated(x))))
-    return loss(CoTrained(views).score(xs)), [replace(v) for v in views]
+            for k, (views, fit) in enumerate(zip(teams, fits)):
+                if len(curves) <= k:
+                    curves.append([_curve(v, x[fit]) for v, x in zip(views, labelled)])
+                for v, x, c, g in zip(views, labelled, curves[k], given[k]):
+                    z, penalty = _standard(v, x[fit]), np.append(np.full(x.shape[1], RIDGE), 1e-6)
+                    weight = PSEUDO * fit.sum() / max(1.0, g[-1])
+                    v.coef = v.coef - c @ (z.T @ (sigmoid(z @ v.coef) - y[fit]) + penalty * v.coef + weight * g[:-1])
+        taught = _calibrated(teams, part, labelled, y)
+        gains = [a - b for a, b in zip(now[2], taught[2])]
+        kept = [g.mean() > g.std() / math.sqrt(len(y)) for g in gains]
+        for views, old in zip(teams, before):
+            views[:] = [v if keep else o for v, o, keep in zip(views, old, kept)]
+        now = taught if all(kept) else _calibrated(teams, part, labelled, y)
+        losses.append(float(now[0].mean()))
+        if losses[-1] < best[0].mean() - 1e-4:
+            best, turn = now, at
+        idle = 0 if any(kept) else idle + 1
+        if idle == 2:
+            break
+    return CoTrained(best[1], turn=turn, losses=tuple(losses))
+
+
+def _standard(v: View, x: np.ndarray) -> np.ndarray:
+    return np.hstack([(x - v.mean) / v.scale, np.ones((len(x), 1))])
+
+
+def _curve(v: View, x: np.ndarray) -> np.ndarray:
+    """The inverse of a bound of the curvature, the pseudo-labelled rows taken to spread as the labelled ones: steps by it cannot overshoot."""
+    z = _standard(v, x)
+    return np.linalg.inv(z.T @ z / 4 * (1 + PSEUDO) + np.diag(np.append(np.full(x.shape[1], RIDGE), 1e-6)))
+
+
+def _losses(p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return -np.log(np.where(y == 1, p, 1 - p).clip(1e-6, 1))
+
+
+def _calibrated(teams: list[list[View]], part: np.ndarray, xs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, list[View], list[np.ndarray]]:
+    """Calibrate the views by the logits of rows that they were not fitted on; each row's loss by both together, the folds' mean views, and each row's loss by each view."""
+    logits, means = [], []
+    for view, x in enumerate(xs):
+        z = np.zeros(len(y))
+        for k, views in enumerate(teams):
+            z[part == k] = views[view].logit(x[part == k])
+        slope, shift = map(float, logistic(z[:, None], y, ridge=1.0))
+        weight = 1 / max(0.01, float(_losses(sigmoid(np.clip(slope * z + shift, -12, 12)), y).mean()))
+        for views in teams:
+            v = views[view]
+            v.slope, v.shift, v.weight = slope, shift, weight
+        bare = [np.append(v[view].coef[:-1] / v[view].scale, v[view].coef[-1] - (v[view].mean / v[view].scale) @ v[view].coef[:-1]) for v in teams]
+        means.append(View(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.mean(bare, axis=0), slope, shift, weight))
+        logits.append(np.clip(slope * z + shift, -12, 12))
+    total = sum(v.weight for v in means)
+    each = _losses(sigmoid(sum(v.weight * z for v, z in zip(means, logits)) / total), y)
+    return each, means, [_losses(sigmoid(z), y) for z in logits]
 
 
 def _vectors(b: pa.RecordBatch) -> list[np.ndarray]:

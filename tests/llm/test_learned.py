@@ -138,11 +138,47 @@ def test_co_training_uses_the_other_view():
     p = model.score([a[3000:], b[3000:]])
     alone = Q.co_train([a[known], b[known]], y[known].astype(float), Q.Pool([a[rest], b[rest]]), rounds=0).score([a[3000:], b[3000:]])
     loss = lambda q: -np.mean(np.log(np.clip(np.where(y[3000:] == 1, q, 1 - q), 1e-6, 1)))
-    assert loss(p) < loss(alone)
+    assert loss(p) < loss(alone) and model.turn > 0 and len(model.losses) > 1
     assert np.mean((p >= 0.5) == y[3000:]) > 0.9 and 0 <= p.min() <= p.max() <= 1
     assert Q.co_train([a[:0], b[:0]], y[:0].astype(float), Q.Pool([a, b])).score([a[:3], b[:3]]).tolist() == [0.5] * 3
 
 
+def test_misleading_views_teach_nothing():
+    """A view that is sure and wrong, and one that says nothing: the other stays what it was, and the score is no worse than without exchange."""
+    r = np.random.default_rng(1)
+    y = r.integers(0, 2, 3000)
+    a = (y[:, None] * 2.0 - 1) + r.normal(0, 1.0, (3000, 4))
+    known, rest, seen = slice(0, 80), slice(80, 2000), slice(2000, 3000)
+    for b in (r.normal(0, 1, (3000, 4)), np.where(np.arange(3000)[:, None] < 80, y[:, None], 1 - y[:, None]) * 2.0 - 1 + r.normal(0, 1.0, (3000, 4))):
+        fit = lambda rounds: Q.co_train([a[known], b[known]], y[known].astype(float), Q.Pool([a[rest], b[rest]]), rounds)  # noqa: E731, B023
+        assert Q._losses(fit(4).score([a[seen], b[seen]]), y[seen]).mean() <= Q._losses(fit(0).score([a[seen], b[seen]]), y[seen]).mean() + 1e-3
+
+
+def test_folds_hold_both_classes():
+    y = np.array([1.0] * 17 + [0.0] * 3)
+    part = Q.folds(y)
+    assert part.max() == 2 and all({0.0, 1.0} == set(y[part == k]) for k in range(3))
+    one = np.array([1.0] * 17 + [0.0])
+    assert set(Q.folds(one)) == {0}
+    r = np.random.default_rng(0)
+    assert 0 <= Q.co_train([r.normal(0, 1, (18, 3)), r.normal(0, 1, (18, 2))], one, Q.Pool([np.zeros((5, 3)), np.zeros((5, 2))])).score([np.zeros((1, 3)), np.zeros((1, 2))])[0] <= 1
+
+
+@needs_tables
+def test_documents_with_few_labels(spark):
+    """Whole documents, 24 and all labels: the exchange runs and does not harm held-out rows, and words carry the text view."""
+    docs, known = table(spark, SF, "documents"), table(spark, SF, "labels")
+    truth = {r["doc_id"]: r["quality"] for r in known.where(held_out(F.col("doc_id"))).collect()}
+    for most, least in ((24, 0.85), (8000, 0.97)):
+        loss = []
+        for rounds in (0, 4):
+            model = Q.fit(docs, known, most, rounds)
+            got = [(r["score"], truth[r["doc_id"]]) for r in Q.scored(docs, model).collect() if r["doc_id"] in truth]
+            loss.append(Q._losses(np.array([g[0] for g in got]), np.array([g[1] for g in got])).mean())
+        assert loss[1] <= loss[0] + 0.01 and len(model.losses) > 1
+        assert np.mean([(p >= 0.5) == (t == 1) for p, t in got]) >= least
+
+
 def test_tables_sum_as_matrices_do(spark):
     """Scores, thresholds and gradients over a table against those over the same vectors in one piece."""
     r = np.random.default_rng(2)
@@ -155,6 +191,7 @@ def test_tables_sum_as_matrices_do(spark):
     xs = [np.vstack([np.frombuffer(x[c], np.float16).astype(np.float32) for x in got]) for c in "am"]
     views = [Q.View(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), r.normal(0, 0.2, x.shape[1] + 1)) for x in xs]
     a, b = Q.TablePool(table_.repartition(3)), Q.Pool(xs)
-    assert (a.histograms(views) == b.histograms(views)).all() and b.histograms(views).sum() == 84
-    cuts = [Q.surest(c, 0.5, 0.5, v) for c, v in zip(b.histograms(views), views)]
-    assert all(np.allclose(p, q) for p, q in zip(a.gradients(views, views, cuts), b.gradients(views, views, cuts)))
+    teams = [views, [Q.replace(v, coef=-v.coef) for v in views]]
+    assert (a.histograms(teams) == b.histograms(teams)).all() and b.histograms(teams).sum() == 168
+    jobs = [(vs, vs, [Q.surest(c, 0.5, 0.5, v) for c, v in zip(counts, vs)]) for vs, counts in zip(teams, b.histograms(teams))]
+    assert all(np.allclose(p, q) for gs, hs in zip(a.gradients(jobs), b.gradients(jobs)) for p, q in zip(gs, hs))
