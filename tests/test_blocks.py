@@ -33,3 +33,13 @@ def test_similar_pairs_are_counted_without_a_row_for_each(spark, monkeypatch, si
         assert got["median"] == pytest.approx((s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_dense_pairs_are_compared_in_blocks(spark, monkeypatch):
+    """Failed before: rows of a band of set-bit counts were joined one by one."""
+    monkeypatch.setattr(P, "BLOCK_ROWS", 9)
+    rows, df = made(spark, 50)
+    want = {(i, j): s for (i, a), (j, b) in itertools.combinations(enumerate(rows), 2) if (s := like(a, b)) >= 0.3}
+    assert {(r["a"], r["b"]): r["similarity"] for r in P.similarity_pairs(df, 0.3).collect()} == pytest.approx(want)
+    plan = P.similarity_classes(df, 0.3)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
