@@ -43,3 +43,19 @@ def test_dense_pairs_are_compared_in_blocks(spark, monkeypatch):
     assert {(r["a"], r["b"]): r["similarity"] for r in P.similarity_pairs(df, 0.3).collect()} == pytest.approx(want)
     plan = P.similarity_classes(df, 0.3)[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("metric", ["tanimoto", "dice", "cosine"])
+@pytest.mark.parametrize("how", ["max", "mean"])
+def test_many_references_meet_rows_in_blocks(spark, monkeypatch, metric, how):
+    """Failed before: up to 20,000 references were broadcast and met each row in the task that read it."""
+    monkeypatch.setattr(P, "BLOCK_ROWS", 100)
+    rows, df = made(spark, 260)
+    df = df.unionByName(spark.createDataFrame([(1000, None)], df.schema))
+    refs = df.where("id < 257")
+    out = P.screen_similarity(df, refs, 0.0, metric, how)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["similarity"] for r in out.collect()}
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 1000)
+    assert got == pytest.approx({r["id"]: r["similarity"] for r in P.screen_similarity(df, refs, 0.0, metric, how).collect()})
+    assert len(got) == len(rows) + 1
