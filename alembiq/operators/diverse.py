@@ -42,7 +42,7 @@ def maxmin_pick(df: DataFrame, n: int, id_: str = "id", fp: str = "fp") -> DataF
 
     Exact, with lazy bounds. Distances to the nearest pick only fall. So of the POOL_ROWS farthest rows the driver can
     pick on, as greedy picks over the whole table would, while the best of them comes before the last of them
-    as it stood: no row outside can be farther. Then all picks since are taken off all rows' distances in one pass.
+    as it stood, in order of distance and id: no row outside can come first. Then all picks since are taken off all rows' distances in one pass.
     Rows without an id or fingerprint are left out.
     """
     state = df.where(F.col(fp).isNotNull() & F.col(id_).isNotNull()).select(id_, F.col(fp).alias("f"), S.popcount(F.col(fp)).alias("c"), F.lit(2.0).alias("d"))
@@ -52,12 +52,14 @@ def maxmin_pick(df: DataFrame, n: int, id_: str = "id", fp: str = "fp") -> DataF
         if not pool:
             break
         f = np.array([r["f"] for r in pool], np.int64).reshape(len(pool), -1).view(np.uint64)
+        last, place = (pool[-1]["d"] if len(pool) == POOL_ROWS else -1.0), len(pool) - 1
+        # In order of ids argmax takes the smallest of equally far rows, also of those that came to be as far as others.
+        order = sorted(range(len(pool)), key=lambda i: pool[i][id_])
+        pool, f, place, new = [pool[i] for i in order], f[order], order.index(place), []
         sizes, d = np.bitwise_count(f).sum(axis=1, dtype=np.int64), np.array([r["d"] for r in pool])
-        # The order of the pool is that of ids among equals, and argmax takes the first.
-        last, new = (pool[-1]["d"] if len(pool) == POOL_ROWS else -1.0), []
         while len(picks) + len(new) < n:
             i = int(d.argmax())
-            if d[i] < max(last, 0.0):
+            if d[i] < max(last, 0.0) or (d[i] == last and i > place):
                 break
             new.append(i)
             d = np.minimum(d, _distances(f, sizes, i))

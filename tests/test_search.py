@@ -191,3 +191,15 @@ def test_a_thousand_picks_take_few_jobs_and_cover_within_the_factor(spark, monke
     assert radius(got) <= 4 * radius(D.farthest_first(f, 1000))
     with pytest.raises(ValueError):
         D.maxmin_coreset(df, 2000)
+
+
+@pytest.mark.parametrize("pool", [4096, 4, 3, 1])
+def test_rows_that_come_to_be_equally_far_are_picked_by_id(spark, monkeypatch, pool):
+    """Failed before: of such rows the one that had been farther came first, whatever its id."""
+    monkeypatch.setattr(D, "POOL_ROWS", pool)
+    bits = lambda *b: [sum(1 << x for x in b)]
+    first, far = bits(0, 1, 2, 3), bits(30, 31, 32)
+    # Row 10 is farther from the first pick than rows 1 to 4, and as far as these once the second is picked.
+    fps = [first, *[bits(0, 10 + i) for i in range(4)], *[first] * 4, far, bits(0, 20, 30)]
+    got = D.maxmin_pick(frame(spark, fps).repartition(3), 4).orderBy("turn").collect()
+    assert [r["id"] for r in got] == greedy(fps, range(len(fps)), 4)
