@@ -1,7 +1,8 @@
 """Molecule columns: the kernel of ``alembiq.chem`` behind Arrow UDFs.
 
-A molecule is parsed where it is needed and never stored. Each UDF takes a batch of SMILES and
-returns all its results at once, so several properties cost one parse. Failures give nulls.
+A molecule is parsed where it is needed and never stored. Each UDF takes batches of SMILES and
+returns all its results at once, so several properties cost one parse; a text that a task meets again costs none, while the last
+KNOWN are held. Failures give nulls.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from functools import wraps
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +20,41 @@ from ..chem import brics, kernel, layout, match
 from ..functions.scores import number
 from ..functions.similarity import popcount
 
+#: Texts whose results a task holds, about.
+KNOWN = 10_000
+
+
+def _of_distinct(f: Callable[[pd.Series], pd.Series | pd.DataFrame], kind: str) -> Callable[..., Column]:
+    """A pandas UDF of one column of texts that calls ``f`` with texts not met before."""
+    most = KNOWN
+
+    def results(batches: Iterator[pd.Series]) -> Iterator:
+        place, held = {}, None
+        for s in batches:
+            codes, texts = pd.factorize(s)
+            texts = [*texts, None]  # the code of null is -1
+            new = [x for x in texts if x not in place]
+            if held is not None and len(place) + len(new) > most:
+                place, held, new = {}, None, texts
+            if new:
+                place |= {x: i for i, x in enumerate(new, len(place))}
+                made = f(pd.Series(new, dtype=object))
+                held = made if held is None else pd.concat([held, made], ignore_index=True)
+            at = np.array([place[x] for x in texts])
+            yield held.take(at[codes]).reset_index(drop=True)
+
+    def columns(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from results(batches)
+
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from results(batches)
+
+    return F.pandas_udf(columns if " " in kind else column, kind)
 
 
 def _udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     """A pandas UDF that is made when it is called, since its type is parsed by a session."""
-    return lambda f: wraps(f)(lambda *columns: F.pandas_udf(f, kind)(*columns))
+    return lambda f: wraps(f)(lambda column: _of_distinct(f, kind)(column))
 
 
 PROPERTY_TYPE = "MolWt double, LogP double, TPSA double, MolMR double, QED double, HBD int, HBA int, RotatableBonds int, RingCount int, AromaticRings int, HeavyAtomCount int, NumHeteroatoms int, FractionCSP3 double, FormalCharge int"
@@ -83,22 +115,20 @@ def admet_alerts(smiles: pd.Series) -> pd.DataFrame:
 def fingerprint(smiles: Column, kind: str = "circular", bits: int = 2048) -> Column:
     """Packed words of a fingerprint."""
 
-    @F.pandas_udf("array<bigint>")
     def of(s: pd.Series) -> pd.Series:
         return pd.Series([kernel.pack(kernel.FINGERPRINTS[kind](m, bits=bits), bits) if (m := kernel.read(x)) is not None else None for x in s])
 
-    return of(smiles)
+    return _of_distinct(of, "array<bigint>")(smiles)
 
 
 def match_counts(smiles: Column, pattern: str) -> Column:
     """Distinct atom sets that match a pattern; null for unreadable molecules. A bad pattern raises at once."""
     match.compile_pattern(pattern)
 
-    @F.pandas_udf("int")
     def of(s: pd.Series) -> pd.Series:
         return pd.Series([len(match.unique_matches(match.Target(m), pattern)) if (m := kernel.read(x)) is not None else None for x in s], dtype="Int32")
 
-    return of(smiles)
+    return _of_distinct(of, "int")(smiles)
 
 
 def with_properties(df: DataFrame, smiles: str = "smiles") -> DataFrame:

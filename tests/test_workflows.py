@@ -119,3 +119,26 @@ def test_streams(spark, tmp_path):
     scoring.run(stream, lambda d: scoring.counts(d, "t", "k"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
     got = spark.read.parquet(f"file://{tmp_path}/out").collect()
     assert [(r["k"], r["n"], r["mean"]) for r in got] == [("a", 2, 2.0)]
+
+
+def test_a_text_that_comes_again_is_read_once(spark, monkeypatch):
+    """Failed before: every row was parsed."""
+    import pandas as pd
+
+    from alembiq.operators import molecules as X
+
+    for known in (X.KNOWN, 2):
+        monkeypatch.setattr(X, "KNOWN", known)
+        asked = spark.sparkContext.accumulator(0)
+
+        def lengths(s: pd.Series) -> pd.Series:
+            asked.add(len(s))
+            return pd.Series([None if x is None else len(x) for x in s], dtype="Int32")
+
+        texts = F.get(F.array(F.lit("C"), F.lit("CC"), F.lit(None).cast("string"), F.lit("CCO")), (F.col("id") % 4).cast("int"))
+        rows = spark.range(0, 30_000, 1, 1).select("id", texts.alias("smiles"))
+        got = rows.withColumn("n", X._of_distinct(lengths, "int")(F.col("smiles"))).where("NOT n <=> length(smiles)").count()
+        assert got == 0 and asked.value < 100
+    rows = spark.createDataFrame([("CCO",), (None,), ("C1CC(",), ("CCO",), ("OCC",)], "smiles string").coalesce(1)
+    assert [(r["smiles"], r["status"]) for r in X.validate(rows).collect()][1:3] == [(None, "failed"), ("C1CC(", "failed")]
+    assert len({r["smiles"] for r in X.validate(rows).where("status = 'validated'").collect()}) == 1
