@@ -59,3 +59,20 @@ def test_many_references_meet_rows_in_blocks(spark, monkeypatch, metric, how):
     monkeypatch.setattr(P, "BROADCAST_ROWS", 1000)
     assert got == pytest.approx({r["id"]: r["similarity"] for r in P.screen_similarity(df, refs, 0.0, metric, how).collect()})
     assert len(got) == len(rows) + 1
+
+
+def test_of_many_queries_only_the_best_leave_a_pair_of_blocks(spark, monkeypatch):
+    """Failed before: up to 10,000 queries were broadcast, and all their pairs with the partitions were sorted."""
+    from alembiq.operators import search
+
+    monkeypatch.setattr(search, "BLOCK_ROWS", 64)
+    r = random.Random(5)
+    rows = [[sum(1 << b for b in r.sample(range(20), 8 if i % 10 else 9))] for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, fp array<long>")
+    index = search.Index(spark, search.write_index(df, words=1), 1)
+    seen = []
+    monkeypatch.setattr(search, "best", lambda found, k, best=search.best: seen.append(found.count()) or best(found, k))
+    got = {(x["q"], x["place"]): (x["id"], x["similarity"]) for x in index.search(df, 3).collect()}
+    for q, f in enumerate(rows):
+        assert [got[q, p + 1] for p in range(3)] == sorted(((i, like(f, g)) for i, g in enumerate(rows)), key=lambda x: (-x[1], x[0]))[:3]
+    assert len(got) == 600 and max(seen) < len(rows) ** 2 / 8
