@@ -38,3 +38,15 @@ def test_the_state_store_is_set_back(spark):
     with S.stateful(spark):
         assert spark.conf.get(S._PROVIDER) == S._ROCKS
     assert spark.conf.get(S._PROVIDER) == before
+
+
+def test_keys_are_aggregated_without_python(spark, tmp_path):
+    """Failed before: each key of a batch was a call of Python, and whole numbers beside nulls lost digits."""
+    source = f"{tmp_path}/in"
+    held = [(1, "a", "2", 1.0, None, (1 << 60) + 1, None), (2, "a", "4", 0.5, None, None, None)]
+    spark.createDataFrame(held, SCHEMA).coalesce(1).write.parquet(source)
+    stream = arrivals(spark, source, spark.createDataFrame([], SCHEMA))
+    plan = S.deduplicated(stream, "compound")._jdf.queryExecution().logical().toString()
+    assert "Pandas" not in plan and "Aggregate" in plan
+    got = S.curated(stream, "compound", f"{tmp_path}/out", f"{tmp_path}/at").collect()
+    assert [(r["k"], r["standard_value"], r["n_measurements"]) for r in got] == [((1 << 60) + 1, 3.0, 2)]
