@@ -76,3 +76,18 @@ def test_of_many_queries_only_the_best_leave_a_pair_of_blocks(spark, monkeypatch
     for q, f in enumerate(rows):
         assert [got[q, p + 1] for p in range(3)] == sorted(((i, like(f, g)) for i, g in enumerate(rows)), key=lambda x: (-x[1], x[0]))[:3]
     assert len(got) == 600 and max(seen) < len(rows) ** 2 / 8
+
+
+def test_sets_that_must_share_several_bits_meet_by_several(spark):
+    """Failed before: one bit was the key, and rows met in a share of all pairs that does not fall."""
+    from alembiq.operators import prefix
+
+    r = random.Random(8)
+    rows = [[sum(1 << b for b in b8 if b < 62), sum(1 << (b - 62) for b in b8 if b >= 62)] for b8 in (r.sample(range(124), 8) for _ in range(700))]
+    rows += [[a, b ^ (1 << r.randrange(60))] for a, b in rows[:150]]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, fp array<long>")
+    classes = df.groupBy("fp").agg({"id": "min"}).toDF("f", "class").selectExpr("class", "f", "cast(bit_count(f[0]) + bit_count(f[1]) as long) n")
+    index = prefix.Prefixes(classes, 0.3, 2)
+    assert index.width > 1 and index.meetings() < 0.2 * prefix.size_pairs(classes, 0.3)
+    want = {(i, j): s for (i, a), (j, b) in itertools.combinations(enumerate(rows), 2) if (s := like(a, b)) >= 0.3}
+    assert {(x["a"], x["b"]): x["similarity"] for x in P.similarity_pairs(df, 0.3, words=2, by="prefix").collect()} == pytest.approx(want)
