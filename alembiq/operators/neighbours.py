@@ -2,7 +2,7 @@
 
 The graph starts from neighbours in random projections and is refined: a row's neighbours, and the rows whose neighbour it is, are
 compared with each other, since neighbours of a row are often neighbours; a row keeps its best, and lists are bounded, so every
-round costs the same for each row. No row meets all others.
+round costs the same for each row at most; only pairs as near as a row's farthest neighbour so far leave a task. No row meets all others.
 
 The layout moves points along a neighbour-embedding gradient: edges attract, all points repel. Repulsion comes from the cells of a
 grid over the plane, whose number is fixed, so its broadcast does not grow. A round deals the points, in order of their first
@@ -32,14 +32,15 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _best_pairs(t: pa.Table, k: int) -> pa.Table:
-    """For each of the vectors of a small group the ``k`` nearest others of it: a, b, d."""
+    """For each of the vectors of a small group the ``k`` nearest others of it, not farther than the row's ``far`` where the table has it: a, b, d."""
     id_, x = t.column("id").to_numpy(), _matrix(t.column("v"))
     sq = (x * x).sum(axis=1)
     d = np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0)
     d[id_[:, None] == id_[None]] = np.inf
+    limit = t.column("far").to_numpy()[:, None] if "far" in t.column_names else np.inf
     near = np.argsort(d, axis=1, kind="stable")[:, :k]
     a, b, far = np.repeat(id_, near.shape[1]), id_[near].ravel(), np.sqrt(np.take_along_axis(d, near, axis=1)).ravel()
-    keep = np.isfinite(far)
+    keep = np.isfinite(far) & (far <= np.broadcast_to(limit, near.shape).ravel())
     return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64()), "d": pa.array(far[keep], pa.float64())})
 
 
@@ -72,7 +73,11 @@ def neighbour_graph(df: DataFrame, vector: str, k: int = 15, rounds: int = 5, id
     Approximate: measure the recall on a sample of rows where it matters. Projections are cut into neighbourhoods by
     quantiles of a sample, ties included, so rows that are all alike are dealt by a hash.
     """
-    rows = checkpointed(df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")), "graph-vectors")
+    single = df.schema[vector].dataType.elementType.typeName() == "float"
+    v = F.col(vector) if single else F.transform(vector, lambda x: x.cast("double"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), v.alias("v"))
+    # The table may be one file; what is done with a row is not small.
+    rows = checkpointed(rows.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "id"), "graph-vectors")
     first, n = rows.first(), rows.count()
     if n < 2:
         return df.sparkSession.createDataFrame([], _EDGE)
@@ -94,7 +99,9 @@ def neighbour_graph(df: DataFrame, vector: str, k: int = 15, rounds: int = 5, id
         back = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b", F.lit(turn))))
         reverse = edges.withColumn("place", back).where(F.col("place") <= k).select(F.col("b").alias("x"), F.col("a").alias("id"))
         lists = edges.select(F.col("a").alias("x"), F.col("b").alias("id")).unionByName(reverse).unionByName(rows.select(F.col("id").alias("x"), "id")).distinct()
-        better = lists.join(rows, "id").groupBy(F.pmod(F.xxhash64("x"), F.lit(-(-n // LISTS)))).applyInArrow(lambda t: _best_of_lists(t, k), _EDGE)
+        far = edges.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= k, F.max("d")).alias("far"))
+        held = rows.join(far, "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+        better = lists.join(held, "id").groupBy(F.pmod(F.xxhash64("x"), F.lit(-(-n // LISTS)))).applyInArrow(lambda t: _best_of_lists(t, k), _EDGE)
         edges = checkpointed(_top(edges.unionByName(better), k), "graph", edges)
     return edges
 

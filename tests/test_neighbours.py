@@ -71,3 +71,16 @@ def test_little_and_equal_rows(spark):
         assert N.neighbour_graph(rows, "v").collect() == []
     assert N.layout(df.limit(0), "v", edges).collect() == []
     assert N.layout(df.where("id = 3"), "v", edges.limit(0), rounds=1).count() == 1
+
+
+def test_only_pairs_as_near_as_the_farthest_neighbour_leave_a_list():
+    """Failed before: every list gave all its pairs, of which later rounds keep few."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(1).normal(size=(30, 4))
+    t = pa.table({"id": pa.array(range(30)), "v": pa.array(x.tolist())})
+    every = N._best_pairs(t, 5).to_pandas()
+    far = np.linspace(0.5, 1.5, 30)
+    near = N._best_pairs(t.append_column("far", pa.array(far)), 5).to_pandas()
+    want = every[every["d"] <= far[every["a"]]].reset_index(drop=True)
+    assert 0 < len(near) < len(every) and near.equals(want)
