@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,40 +64,123 @@ TEXT_DIM = PAIR_BINS + N_CLASS + WORD_DIM + 2 * WORD_BINS
 META_DIM = LAYOUT_DIM + 2 * CATEGORY_BINS
 
 
-def text_view(text: str | None) -> np.ndarray:
-    out = np.zeros(TEXT_DIM, np.float32)
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+#: Characters of texts whose words are taken apart together; words that a worker remembers, and the characters of these, before it forgets them.
+PART_CHARS, REMEMBERED, REMEMBERED_CHARS = 1 << 20, 1 << 17, 1 << 23
+#: The bin of each pair of bytes, letters lower-cased.
+_low = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint32)
+_PAIR = (((_low[:, None] * 31 + _low) * np.uint32(2654435761) >> 7) & (PAIR_BINS - 1)).astype(np.uint8).ravel()
+
+
+#: Words of up to so many bytes, a space before them included, join another's CRC-32 by table.
+LONGEST = 64
+
+
+def _shifts() -> np.ndarray:
+    """For each length and each place and value of a byte of a CRC-32, what it adds to the CRC-32 of a text so much longer: the sum is by exclusive or."""
+    out = np.zeros((LONGEST + 1, 4, 256), np.uint32)
+    for n in range(LONGEST + 1):
+        zeros = bytes(n)
+        for bit in range(32):
+            at, step = divmod(bit, 8)
+            out[n, at, 1 << step : 2 << step] = out[n, at, : 1 << step] ^ np.uint32(zlib.crc32(zeros, 1 << bit) ^ zlib.crc32(zeros))
+    return out.ravel()
+
+
+_SHIFTS = _shifts()
+
+
+def _joined(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC-32 of pairs of texts from those of each and the second's bytes, at most LONGEST."""
+    at = size << 10
+    return second ^ _SHIFTS[at + (first & 255)] ^ _SHIFTS[at + 256 + (first >> 8 & 255)] ^ _SHIFTS[at + 512 + (first >> 16 & 255)] ^ _SHIFTS[at + 768 + (first >> 24)]
+
+
+class Words:
+    """What a worker remembers of words: CRC-32 of the lower-cased word, bytes and (up to LONGEST) CRC-32 of it after a space, characters, whether it begins with a capital and ends with a letter or digit."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.told = np.zeros((6, 0), np.int64)
+
+    def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words, and what is told of all numbers."""
+        if self.told.shape[1] > REMEMBERED or self.told[3].sum() > REMEMBERED_CHARS:
+            self.forget()
+        before = len(self.number)
+        number = np.fromiter(map(self.number.__getitem__, words), np.intp, len(words))
+        new = list(islice(self.number, before, None))
+        if new:
+            low = " ".join(new).lower().encode("utf-8", "surrogatepass").split(b" ")
+            crc, size, *rest = (np.fromiter(x, np.int64, len(new)) for x in (map(zlib.crc32, low), map(len, low), map(len, new), [w[0].isupper() for w in new], [w[-1].isalnum() for w in new]))
+            spaced = _joined(np.int64(zlib.crc32(b" ")), crc, np.where(size < LONGEST, size, 0))
+            self.told = np.hstack([self.told, [crc, size + 1, spaced, *rest]])
+        return number, self.told
+
+
+_words = Words()
+
+
+def forget() -> None:
+    """Forget what this process remembers of words."""
+    _words.forget()
+
+
+def text_views(texts: list[str | None]) -> np.ndarray:
+    """A row for each text."""
+    out = np.zeros((len(texts), TEXT_DIM), np.float32)
+    at, chars = 0, 0
+    for i, t in enumerate(texts):
+        _byte_view(out[i], (t or "").encode("utf-8", "surrogatepass"))
+        chars += len(t or "")
+        if chars >= PART_CHARS or i == len(texts) - 1:
+            _word_views(out[at : i + 1], [(x or "").split() for x in texts[at : i + 1]])
+            at, chars = i + 1, 0
+    return out
+
+
+def _byte_view(out: np.ndarray, text: bytes) -> None:
+    b = np.frombuffer(text, np.uint8)
     if len(b) > 1:
         for i in range(0, len(b) - 1, 1 << 20):
             part = b[i : i + (1 << 20) + 1]
-            low = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint32)
-            out[:PAIR_BINS] += np.bincount(((low[:-1] * 31 + low[1:]) * 2654435761 >> 7) & (PAIR_BINS - 1), minlength=PAIR_BINS)
+            out[:PAIR_BINS] += np.bincount(_PAIR[part[:-1].astype(np.intp) << 8 | part[1:]], minlength=PAIR_BINS)
         out[:PAIR_BINS] = np.sqrt(out[:PAIR_BINS] / (len(b) - 1))
     if len(b):
-        out[PAIR_BINS : PAIR_BINS + N_CLASS] = 4 * np.sqrt(np.bincount(_CLASS[b], minlength=N_CLASS)[:N_CLASS] / len(b))
-    words = (text or "").split()
-    if words:
-        n, distinct = len(words), len(set(words))
-        out[PAIR_BINS + N_CLASS : PAIR_BINS + N_CLASS + WORD_DIM] = (
-            distinct / n,
-            distinct / n * np.log1p(n),
-            sum(map(len, words)) / n / 5,
-            sum(1 for a, b in zip(words, words[1:]) if a == b) / n * 4,
-            sum(w[:1].isupper() for w in words) / n,
-            sum(w[-1:].isalnum() for w in words) / n,
-        )
-        low = [w.lower() for w in words]
-        _counted(out[-2 * WORD_BINS : -WORD_BINS], Counter(low))
-        _counted(out[-WORD_BINS:], Counter(map(" ".join, zip(low, low[1:]))))
-    return out
-
-
-def _counted(out: np.ndarray, terms: Counter[str]) -> None:
-    """Square roots of the shares of terms in hashed bins."""
-    if terms:
-        bins = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % WORD_BINS for t in terms), np.intp, len(terms))
-        counts = np.fromiter(terms.values(), float, len(terms))
-        out[:] = np.sqrt(np.bincount(bins, counts, WORD_BINS) / counts.sum())
+        out[PAIR_BINS : PAIR_BINS + N_CLASS] = 4 * np.sqrt(np.bincount(_CLASS, np.bincount(b, minlength=256), N_CLASS) / len(b))
+
+
+def _word_views(out: np.ndarray, texts: list[list[str]]) -> None:
+    """What is seen of words, of all texts at once: Python meets each word once while it is remembered."""
+    n = np.array([len(x) for x in texts])
+    every = [w for x in texts for w in x]
+    if not every:
+        return
+    number, told = _words.look(every)
+    crc, size, spaced, chars, upper, alnum = told[:, number]
+    doc = np.repeat(np.arange(len(texts)), n)
+    summed = lambda x: np.bincount(doc, x, len(texts))
+    some = np.nonzero(n)[0]
+    distinct, many = np.array([len(set(texts[i])) for i in some]), n[some]
+    pair = np.nonzero(doc[1:] == doc[:-1])[0]
+    again = np.bincount(doc[pair[number[pair] == number[pair + 1]]], minlength=len(texts))
+    shape = (distinct / many, distinct / many * np.log1p(many), summed(chars)[some] / many / 5, again[some] / many * 4, summed(upper)[some] / many, summed(alnum)[some] / many)
+    out[some, PAIR_BINS + N_CLASS : PAIR_BINS + N_CLASS + WORD_DIM] = np.stack(shape, axis=1)
+    _counted(out[:, -2 * WORD_BINS : -WORD_BINS], doc, crc)
+    first, second = crc[pair], pair + 1
+    long = size[second] > LONGEST
+    both = _joined(first, spaced[second], np.where(long, 0, size[second]))
+    for i in np.nonzero(long)[0].tolist():
+        both[i] = zlib.crc32(f" {every[second[i]].lower()}".encode("utf-8", "surrogatepass"), int(first[i]))
+    _counted(out[:, -WORD_BINS:], doc[pair], both)
+
+
+def _counted(out: np.ndarray, doc: np.ndarray, crc: np.ndarray) -> None:
+    """Square roots of the shares of terms in hashed bins, a row for each document."""
+    counts = np.bincount(doc * WORD_BINS + crc % WORD_BINS, minlength=len(out) * WORD_BINS).reshape(len(out), WORD_BINS)
+    out[:] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
 def metadata_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
@@ -314,13 +398,9 @@ def _calibrated(teams: list[list[View]], part: np.ndarray, xs: list[np.ndarray],
 
 
 def _vectors(b: pa.RecordBatch) -> list[np.ndarray]:
-    text, lang, source = (b.column(c) for c in ("text", "lang", "source"))
-    n = b.num_rows
-    a, m = np.zeros((n, TEXT_DIM), np.float32), np.zeros((n, META_DIM), np.float32)
-    for i in range(n):
-        t = text[i].as_py()
-        a[i], m[i] = text_view(t), metadata_view(t, lang[i].as_py(), source[i].as_py())
-    return [a, m]
+    text, lang, source = (b.column(c).to_pylist() for c in ("text", "lang", "source"))
+    m = [metadata_view(*row) for row in zip(text, lang, source)]
+    return [text_views(text), np.vstack(m) if m else np.zeros((0, META_DIM), np.float32)]
 
 
 def _typed(docs: DataFrame, *more: str) -> DataFrame:
@@ -329,7 +409,10 @@ def _typed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The vectors (a, m: 16-bit numbers as bytes) of every distinct text, language and source without a label."""
+    """The vectors (a, m: 16-bit numbers as bytes) of every distinct text, language and source without a label.
+
+    Texts stay where they are read: ids and keys tell which keys have no label, and only vectors meet these.
+    """
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,10 +420,11 @@ def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = b.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary()) for v in _vectors(part)]], ["key", "a", "m"])
 
-    rows = _typed(docs)
-    free = rows.join(labels.select(F.col("doc_id").cast("long").alias("known")).distinct(), F.col("doc_id") == F.col("known"), "left_anti")
-    keyed = free.select(F.xxhash64("text", "lang", "source").alias("key"), "text", "lang", "source")
-    return written(keyed.mapInArrow(released(vectors), "key long, a binary, m binary").dropDuplicates(["key"]).drop("key"), "quality-vectors")
+    rows = _typed(docs).withColumn("key", F.xxhash64("text", "lang", "source"))
+    known = labels.select(F.col("doc_id").cast("long").alias("known")).distinct()
+    free = rows.select("doc_id", "key").join(known, F.col("doc_id") == F.col("known"), "left_anti").select("key").distinct()
+    every = rows.select("key", "text", "lang", "source").mapInArrow(released(vectors, forget), "key long, a binary, m binary").dropDuplicates(["key"])
+    return written(every.join(free, "key", "left_semi").drop("key"), "quality-vectors")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, rounds: int = ROUNDS) -> CoTrained:
@@ -353,7 +437,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, rounds: in
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *[pa.array([x.tobytes() for x in v], pa.binary()) for v in _vectors(part)]], ["doc_id", "y", "a", "m"])
 
     sample = labelled_sample(docs, labels, "quality", ("text", "lang", "source"), most)
-    got = sorted(sample.mapInArrow(released(vectors), "doc_id long, y int, a binary, m binary").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    got = sorted(sample.mapInArrow(released(vectors, forget), "doc_id long, y int, a binary, m binary").collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     y = np.array([float(r["y"] > 0) for r in got])
     known = [np.vstack([np.frombuffer(r[c], np.float32) for r in got] or [np.zeros((0, d), np.float32)]) for c, d in (("a", TEXT_DIM), ("m", META_DIM))]
     if len(y) < 10 or y.min() == y.max():
@@ -370,7 +454,7 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
                 part = b.slice(i, 1000)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(_vectors(part)), pa.float64())], ["doc_id", "score"])
 
-    return _typed(docs).mapInArrow(released(of), "doc_id long, score double")
+    return _typed(docs).mapInArrow(released(of, forget), "doc_id long, score double")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

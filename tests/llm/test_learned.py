@@ -1,5 +1,8 @@
 import os
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,3 +198,65 @@ def test_tables_sum_as_matrices_do(spark):
     assert (a.histograms(teams) == b.histograms(teams)).all() and b.histograms(teams).sum() == 168
     jobs = [(vs, vs, [Q.surest(c, 0.5, 0.5, v) for c, v in zip(counts, vs)]) for vs, counts in zip(teams, b.histograms(teams))]
     assert all(np.allclose(p, q) for gs, hs in zip(a.gradients(jobs), b.gradients(jobs)) for p, q in zip(gs, hs))
+
+
+def plain_text_view(text):
+    """The text view of one text, word by word."""
+    out = np.zeros(Q.TEXT_DIM, np.float32)
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(b) > 1:
+        low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint32)
+        out[: Q.PAIR_BINS] = np.bincount(((low[:-1] * 31 + low[1:]) * 2654435761 >> 7) & (Q.PAIR_BINS - 1), minlength=Q.PAIR_BINS)
+        out[: Q.PAIR_BINS] = np.sqrt(out[: Q.PAIR_BINS] / (len(b) - 1))
+    if len(b):
+        out[Q.PAIR_BINS : Q.PAIR_BINS + Q.N_CLASS] = 4 * np.sqrt(np.bincount(Q._CLASS[b], minlength=Q.N_CLASS) / len(b))
+    words = (text or "").split()
+    if words:
+        n, distinct = len(words), len(set(words))
+        told = (distinct / n, distinct / n * np.log1p(n), sum(map(len, words)) / n / 5, sum(a == b for a, b in zip(words, words[1:])) / n * 4, sum(w[:1].isupper() for w in words) / n, sum(w[-1:].isalnum() for w in words) / n)
+        out[Q.PAIR_BINS + Q.N_CLASS : Q.PAIR_BINS + Q.N_CLASS + Q.WORD_DIM] = told
+        low = [w.lower() for w in words]
+        for at, terms in ((-2 * Q.WORD_BINS, low), (-Q.WORD_BINS, list(map(" ".join, zip(low, low[1:]))))):
+            for t, k in Counter(terms).items():
+                out[at + zlib.crc32(t.encode("utf-8", "surrogatepass")) % Q.WORD_BINS] += k
+            if terms:
+                end = at + Q.WORD_BINS or None
+                out[at:end] = np.sqrt(out[at:end].astype(float) / len(terms))
+    return out
+
+
+def test_texts_together_are_seen_as_one_by_one(monkeypatch):
+    """Odd words, long ones, many parts, and words forgotten in between; each word is hashed once, and pairs not at all."""
+    r = random.Random(3)
+    some = ["a", "Ab", "\u00c9COLE", "\u00df", "\u03a3\u0391\u03a3", "\u0130x", "\u6f22\u5b57", "x" * 62, "y" * 63, "Z" * 64, "w" * 300, "\ud800q", "1.", "!!", "\n", "\t", "\x85", "\xa0", "\x1c", "A", "a"]
+    texts = [None, "", "a", " ", "\n\n", "A a A a", *("".join(r.choice(some) + r.choice([" ", "", "\n"]) for _ in range(r.randint(0, 30))) for _ in range(300))]
+    want = np.stack([plain_text_view(t) for t in texts])
+    assert (Q.text_views(texts) == want).all()
+    monkeypatch.setattr(Q, "PART_CHARS", 1000)
+    monkeypatch.setattr(Q, "REMEMBERED", 20)
+    Q._words.forget()
+    assert (Q.text_views(texts) == want).all() and len(Q._words.number) < 400
+    assert Q.text_views([]).shape == (0, Q.TEXT_DIM)
+    calls = []
+    monkeypatch.undo()
+    Q._words.forget()
+    monkeypatch.setattr(Q.zlib, "crc32", lambda *x, of=zlib.crc32: calls.append(x) or of(*x))
+    Q.text_views(["one two three one two"] * 50)
+    assert len(calls) <= 4
+    Q._words.forget()
+
+
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """However many labels there are, the texts without one are told by ids and keys; only vectors are dealt."""
+    monkeypatch.setattr(Q, "written", lambda df, name: df)
+    docs = documents(spark, [(1, "one", "a"), (2, "one", "a"), (3, "two", "a"), (3, "three", "a"), (4, "four", "a"), (4, "one", "b"), (None, "two", "a")])
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = Q.unlabelled(docs, labels(spark, [(1, 1, 0), (4, 0, 0), (None, 1, 0), (4, 1, 1)]))
+        plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        dealt = re.findall(r"\) Exchange\s*\nInput[^\n]*", plan)
+        assert len(dealt) >= 3 and not any("text#" in x for x in dealt)
+        assert found.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
