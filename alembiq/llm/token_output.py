@@ -46,6 +46,8 @@ PIECE_BYTES, LONGEST = 140, 64
 #: Characters that go to the library at once.
 BATCH_CHARS = 1 << 20
 END_ID = 2
+#: A piece that begins with white space, as Python tells it.
+_BLANK = r"^[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _HEAD = struct.Struct("<BQ")
 #: Bytes of texts that are encoded together.
 GROUP_BYTES = 1 << 22
@@ -159,9 +161,10 @@ class Encoder:
             flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
             offsets = offsets - offsets[0]
             numbered = flat.dictionary_encode()
-            pieces, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().copy()
-            blank = [i for i, x in enumerate(pieces) if x[:1].isspace()]
-            if blank:  # a space before other white space need not begin a token: such texts go to the library
+            words = numbered.dictionary
+            pieces, at = words.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().copy()
+            blank = np.nonzero(pc.match_substring_regex(words, _BLANK).to_numpy(zero_copy_only=False))[0]
+            if len(blank):  # a space before other white space need not begin a token: such texts go to the library
                 hit = np.unique(np.searchsorted(offsets, np.nonzero(np.isin(at, blank))[0], side="right") - 1)
                 whole[plain[hit]] = True
                 continue

@@ -99,3 +99,10 @@ def test_texts_are_encoded_in_groups(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(a, b)), "text": texts[a:b]}) for a, b in ((0, 2), (2, 3), (3, 7))]
     groups = list(T._groups(iter(batches)))
     assert [x for g in groups for x in g.column("text").to_pylist()] == texts and [g.num_rows for g in groups] == [4, 1, 2]
+
+
+def test_white_space_is_pythons():
+    """Pieces that begin with white space are told by Arrow, not one by one, and are those that Python tells."""
+    signs = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    assert [c for c, found in zip(signs, T.pc.match_substring_regex(pa.array(signs), T._BLANK).to_pylist()) if found] == [c for c in signs if c.isspace()]
+    assert not any(T.pc.match_substring_regex(pa.array(["", "a b", "a\n"]), T._BLANK).to_pylist())
